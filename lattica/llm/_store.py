@@ -20,7 +20,6 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"{tempfile.gettempdir()}/lattica-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
