@@ -32,4 +32,6 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, max_rows: int,
     else:
         rows = rows.orderBy(*order).limit(max_rows)
     # bounded by max_rows (twice that with per_class), so it can be broadcast
-    return documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", "label")
+    found = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    # one text for each doc_id, however often it is repeated
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

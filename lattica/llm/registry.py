@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, fingerprint
+from lattica.llm import decontaminate, fingerprint, language, quality, toxicity
 
 QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_quality": quality.op5_quality,
+    "op6_language": language.op6_language,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_fingerprint": fingerprint.op9_fingerprint,
 }
 
