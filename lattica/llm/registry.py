@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, fingerprint, language, quality, toxicity
+from lattica.llm import chat, decontaminate, fingerprint, language, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_quality": quality.op5_quality,
     "op6_language": language.op6_language,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_fingerprint": fingerprint.op9_fingerprint,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 SQL = {
+    "op1_chat_format": chat.OP1_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
 }
 
