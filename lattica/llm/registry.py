@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.llm import chat, decontaminate, fingerprint, language, quality, secrets, toxicity
+from lattica.llm import chat, decontaminate, fingerprint, language, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_pii": pii.op2_pii,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_quality": quality.op5_quality,
     "op6_language": language.op6_language,
