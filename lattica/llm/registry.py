@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lattica.llm import chat, decontaminate, fingerprint, language, pii, quality, secrets, toxicity
+from lattica.llm import chat, decontaminate, fingerprint, jaccard, language, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_pii": pii.op2_pii,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_quality": quality.op5_quality,
     "op6_language": language.op6_language,
@@ -17,6 +18,7 @@ QUERIES = {
 
 SQL = {
     "op1_chat_format": chat.OP1_SQL,
+    "op3_jaccard_join": jaccard.OP3_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
 }
 
