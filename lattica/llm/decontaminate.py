@@ -252,6 +252,33 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), pa.array(np.diff(bounds), pa.int64())], names=["doc_id", "tie", "n_words"])
 
 
+def _clean(shared):
+    def run(batches):
+        found = shared.value
+        for rows, data, off in T.text_blocks(batches):
+            bounds, hits = _occurrences(data, off, found)
+            keep = np.ones(rows.num_rows, bool)
+            if hits:
+                keep[np.searchsorted(bounds, [f for f, _, _ in hits], "right") - 1] = False
+            yield rows.filter(pa.array(keep))
+
+    return run
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, without any occurrence of a benchmark window."""
+    from lattica.llm._store import save
+
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, block_bytes)
+    for k, items in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(searchers(((r["item_id"], r["text"]) for r in items.collect()), window))  # at most block_bytes
+        docs = docs.mapInArrow(_clean(shared), docs.schema)
+        if k + 1 < len(blocks):  # one block of patterns in memory at a time
+            docs = save(docs, "clean")
+    return docs
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import chat, decontaminate, fingerprint, jaccard, language, pii, quality, secrets, toxicity
+from lattica.llm import chat, decontaminate, fingerprint, jaccard, language, mixing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_language": language.op6_language,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_mixing": mixing.op8_mixing,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_secrets": secrets.op10_secrets,
 }
@@ -23,8 +24,14 @@ SQL = {
 }
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return dict(QUERIES)
+    return {**QUERIES, "pipeline": _pipeline}
 
 
 def oracle_sql():
