@@ -1 +1 @@
-"""lattica.streaming."""
+"""Structured Streaming forms of the campaign log."""
