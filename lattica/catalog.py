@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = None
+from lattica.plans import records, relations
+
+FLAGSHIP = "replicate_stats"
+_PLANS = {**records.Q, **relations.Q}
 
 
 def queries():
-    return {}
+    return {n: f for n, (f, _) in _PLANS.items()}
 
 
 def oracle_sql():
-    return {}
+    return {n: sql for n, (_, sql) in _PLANS.items() if sql}

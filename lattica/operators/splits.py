@@ -118,7 +118,7 @@ def grouped_outer_sized(sizes: DataFrame, group: str, size: str, seed, ratios: d
         return pd.DataFrame(out, columns=["g", "split"])
 
     rows = sizes.withColumn("_h", hash_order(seed, group)).select(F.col(group).cast("string").alias(group), size, "_h")
-    return rows.groupBy(F.lit(1)).applyInPandas(assign, "g string, split string").withColumnRenamed("g", group)
+    return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(assign, "g string, split string").withColumnRenamed("g", group)
 
 
 def nested_prefixes(sizes: DataFrame, group: str, size: str, order: str, fractions: list[float]) -> DataFrame:
@@ -164,7 +164,7 @@ def bounded_test_components(components: DataFrame, seed, target: int, min_train:
         return pd.DataFrame(out, columns=["comp", "n", "split"])
 
     rows = components.select(F.col("comp").cast("long").alias("comp"), F.col("n").cast("long").alias("n")).withColumn("_h", hash_order(seed, "comp"))
-    return rows.groupBy(F.lit(1)).applyInPandas(fill, "comp long, n long, split string")
+    return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(fill, "comp long, n long, split string")
 
 
 def cluster_holdouts(pairs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def cluster_holdouts(pairs: DataFrame, ids: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["id", "cluster"])
 
     rows = ids.select(F.col("id").cast("long").alias("a")).join(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("double").alias("b")), "a", "left")
-    return rows.groupBy(F.lit(1)).applyInPandas(run, "id long, cluster long")
+    return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "id long, cluster long")
 
 
 def evaluation_roles(df: DataFrame, split: str, included: Column, outcome: str) -> DataFrame:
