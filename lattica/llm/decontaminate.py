@@ -237,11 +237,13 @@ def _in_blocks(rows, blocks, send):
     n_hit = spans.withColumn("reach", reach).groupBy(*key).agg(F.sum(fresh).alias("n_hit"))
     ids = found.where("item is not null").groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("ids"))
     base = keyed.mapInArrow(_count, "doc_id long, tie long, n_words long")
-    on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tie"] == b["tie"])
-    out = base.join(n_hit, on(base, n_hit), "left").join(ids, on(base, ids), "left")
-    got = F.coalesce(n_hit["n_hit"], F.lit(0))
+    n_hit = n_hit.select(F.col("doc_id").alias("hit_doc"), F.col("tie").alias("hit_tie"), "n_hit")
+    ids = ids.select(F.col("doc_id").alias("item_doc"), F.col("tie").alias("item_tie"), "ids")
+    out = base.join(n_hit, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("tie") == F.col("hit_tie")), "left")
+    out = out.join(ids, F.col("doc_id").eqNullSafe(F.col("item_doc")) & (F.col("tie") == F.col("item_tie")), "left")
+    got = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        base["doc_id"], "n_words", got.alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", "n_words", got.alias("n_hit"), F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "ids"), F.lit("")), 256).alias("items_sha256"), (got > 0).alias("contaminated"),
     )
 

@@ -126,26 +126,29 @@ def fit_rates(groups: DataFrame, targets: list[float], iterations: int = ITERATI
     """Adds ``rate`` to groups (tokens, p): projected gradient on 1/2 * sum((totals - targets)**2).
 
     A step is r := max(0, r - p . v) with v the gradient of the domain totals.
-    It is scaled by the inverse second moments of the groups whose rate is over
-    zero; if that step does not lessen the error it is taken back, and the plain
-    step of size 1 / (largest curvature), which always does, is taken instead.
-    Totals and moments are one aggregation for each step.
+    It is scaled by the inverse second moments of the groups that are free to
+    move (rate over zero, or about to rise), in full, a half, a quarter or an
+    eighth; if none of these lessens the error enough, the plain step of size
+    1 / (largest curvature) is taken, which always does.
     """
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     at = lambda i: F.element_at("p", i + 1)
+    dot = lambda v: sum((at(i) * F.lit(float(v[i])) for i in range(k)), F.lit(0.0))
     scale = sum(targets) or 1.0
 
     def measure(state):
-        n, r = F.col("tokens"), F.col("rate")
-        total = [F.coalesce(F.sum(n * r * at(i)), F.lit(0.0)) for i in range(k)]
-        moments = [F.coalesce(F.sum(F.when(r > 0, n * at(i) * at(j))), F.lit(0.0)) for i, j in pairs]
-        got = list(state.agg(*total, *moments).first())
-        error = [s - t for s, t in zip(got[:k], targets, strict=True)]
+        got = state.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("rate") * at(i)), F.lit(0.0)) for i in range(k)]).first()
+        error = [s - t for s, t in zip(got, targets, strict=True)]
+        return error, math.sqrt(sum(e * e for e in error)) / scale
+
+    def moments(state, error):
+        free = (F.col("rate") > 0) | (dot(error) < 0)
+        got = state.agg(*[F.coalesce(F.sum(F.when(free, F.col("tokens") * at(i) * at(j))), F.lit(0.0)) for i, j in pairs]).first()
         m = [[0.0] * k for _ in range(k)]
-        for (i, j), v in zip(pairs, got[k:], strict=True):
+        for (i, j), v in zip(pairs, got, strict=True):
             m[i][j] = m[j][i] = v
-        return error, m, math.sqrt(sum(e * e for e in error)) / scale
+        return m
 
     def moved(state, moves):
         if not moves:
@@ -154,22 +157,21 @@ def fit_rates(groups: DataFrame, targets: list[float], iterations: int = ITERATI
         return state.withColumn("rate", F.aggregate(F.lit(moves), F.col("rate"), step))
 
     state = groups.withColumn("rate", F.lit(1.0))
-    error, m, loss = measure(state)
-    step = 1.0 / _largest(m)
+    error, loss = measure(state)
+    step = 1.0 / _largest(moments(state, error))
     moves: list[list[float]] = []
-    plain = False
     for _ in range(iterations):
         if loss <= tolerance:
             break
-        v = [step * e for e in error] if plain else _solve(m, error)
-        e2, m2, l2 = measure(moved(state, [*moves, v]))
-        if l2 < loss * (1 - 1e-4):
-            moves.append([float(x) for x in v])
-            error, m, loss, plain = e2, m2, l2, False
-        elif plain:
-            break
+        newton = _solve(moments(moved(state, moves), error), error)
+        for v, need in [([f * x for x in newton], f / 4) for f in (1.0, 0.5, 0.25, 0.125)] + [([step * e for e in error], 1e-6)]:
+            e2, l2 = measure(moved(state, [*moves, v]))
+            if l2 <= loss * (1 - need):
+                break
         else:
-            plain = True
+            break  # no step lessens the error any more
+        moves.append([float(x) for x in v])
+        error, loss = e2, l2
         if len(moves) == 20:  # the state is written now and then, so that plans stay short
             state, moves = save(moved(state, moves), "rates"), []
     return moved(state, moves)
