@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm._io import table
+from lattica.llm._store import save
 
 CHUNK = 1024
 RENDER = 256
@@ -81,7 +82,8 @@ def maximal(hashes: DataFrame) -> DataFrame:
 def collapse_and_render(turns: DataFrame, start: str = START, middle: str = MIDDLE, end: str = END) -> DataFrame:
     """conv_id, part, n_turns, n_copies, chat: the rendered turns of each maximal conversation."""
     ranked = ranked_turns(turns)
-    kept = maximal(prefix_hashes(ranked)).withColumnRenamed("conv_id", "kept_id")
+    hashes = save(prefix_hashes(ranked), "prefixes")  # four numbers a turn, read three times
+    kept = maximal(hashes).withColumnRenamed("conv_id", "kept_id")
     rows = ranked.join(kept, ranked["conv_id"].eqNullSafe(kept["kept_id"]))
     piece = F.concat(F.lit(start), "role", F.lit(middle), "text", F.lit(end))
     rows = rows.select("conv_id", F.floor((F.col("pos") - 1) / RENDER).alias("part"), "n_turns", "n_copies", F.struct("pos", piece.alias("s")).alias("piece"))
