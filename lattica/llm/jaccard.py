@@ -15,13 +15,16 @@ band and in the next one if its partners may lie there.  Frequent n-grams do no
 harm, as a whole fragment has to agree.
 
 Pairs that need no comparison.  Only components are asked for.  In a bucket of
-equal fragments all sets are first compared with one of them, the leader.  Then
-a bucket matters only if it still holds several components.  From it go sets
-that the triangle inequality of the Jaccard distance keeps from linking to
-another component.  Small buckets are then compared in full, pairs within a
-component excepted; larger ones are first dealt out again by the fragments of
-another order (similar sets agree in one there, too).  After ``LEVELS`` orders
-the rest is compared in full.  Nothing is capped.
+equal fragments all sets are first compared with one of them, the leader.  In
+buckets that then still hold several components, n-grams are counted over their
+sets: those of a single set are in no overlap, which rules out most sets; the
+least edited of the others lead ``STARS`` - 1 more comparisons.  Of what is
+left, sets near the leader are compared in full, pairs within a component
+excepted, and those that these counts or the triangle inequality of the Jaccard
+distance rule out.  Sets far from the leader can link to none of those; if there
+are many of them (unrelated texts that share a frequent passage), they are dealt
+out again by the fragments of another order, as similar sets agree in one there,
+too.  After ``LEVELS`` orders the rest is compared in full.  Nothing is capped.
 
 Overlaps of a pair are counted fragment by fragment (``PARTS`` of them) and
 summed.  Components come from star contraction over the links.
@@ -51,6 +54,10 @@ PERCENT = 90
 PARTS = 16
 SMALL = 32
 LEVELS = 3
+STARS = 3
+PRUNINGS = 4
+ROWS_A_FILE = 100_000  # of the tables of links, whose size is known before they are written
+FAR = 0.6  # Jaccard distance to the leader from which a set counts as unrelated to it
 BAND = 1.5
 BROADCAST_IDS = 1_000_000  # wanted doc ids up to which they are sent to all executors (16 bytes each)
 
@@ -194,63 +201,135 @@ class _Join:
         discard(parts)
         return out
 
+    def star(self, entries, comp, seen, order):
+        """Compares the members of each bucket of several components with its leader.
+
+        That is the first by hash, or, where ``own`` is known, the member with the fewest n-grams of its own.
+        Returns members (key, leader, node) and the new comparisons, or None if no bucket is left.
+        """
+        rank = ["own"] if "own" in entries.columns else []
+        first = F.min(F.struct(*rank, F.xxhash64("node", F.lit(order)).alias("h"), "node"))["node"].alias("leader")
+        if comp is None:
+            stats = entries.groupBy("key").agg(first, F.min("node").alias("c1"), F.max("node").alias("c2"))
+        else:
+            known = entries.join(comp, "node", "left").select("key", "node", *rank, F.coalesce("comp", "node").alias("comp"))
+            stats = known.groupBy("key").agg(first, F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+        stats = save(stats.where("c1 < c2").select("key", "leader"), "leaders")
+        members = save(entries.select("key", "node").join(stats, "key").distinct(), "members")
+        pairs = members.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        if comp is not None:
+            at = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+            pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        if seen is not None:
+            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = save(pairs, "pairs")
+        return members, self.verify(pairs) if pairs.limit(1).count() else None
+
     def run(self) -> DataFrame:
         """(node, comp) of all nodes that are linked to another one."""
         reach = 1 - self.percent / 100
         entries = self.rows.select(F.explode("sigs").alias("key"), "node")
-        links = comp = seen = None
+        self.comp = self.seen = self.links = None
         for level in range(LEVELS + 1):
-            # buckets with several components, and their leaders
-            if comp is None:
-                stats = entries.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
-            else:
-                known = entries.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-                stats = known.groupBy("key").agg(F.min("node").alias("leader"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key", "leader")
-            stats = save(stats, "leaders")
-            members = save(entries.join(stats, "key").distinct(), "members")
-            pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-            if seen is not None:
-                pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-            pairs = save(pairs, "pairs")
-            if not pairs.limit(1).count() and seen is None:
+            members, got = self.star(entries, self.comp, self.seen, 0)
+            self.add(got)
+            if self.seen is None:
                 break
-            got = self.verify(pairs)
-            seen = got if seen is None else seen.unionByName(got)
-            fresh = got.where("link").select("a", "b")
-            links = fresh if links is None else links.unionByName(fresh)
-            comp = components(links)
-            # sets that may still link across components of their bucket
-            dist = seen.select(F.col("a").alias("leader"), F.col("b").alias("node"), "d")
-            far = members.join(comp, "node", "left").select("key", "leader", "node", F.coalesce("comp", "node").alias("comp"))
-            far = far.join(dist, ["leader", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("d")))
-            own = comp.select(F.col("node").alias("leader"), F.col("comp").alias("own"))
-            far = far.join(own, "leader", "left").withColumn("mine", F.col("comp") == F.coalesce("own", "leader"))
-            far = save(far.select("key", "node", "comp", "d", "mine").where("node <> leader or mine is null"), "far")
-            near = far.groupBy("key").agg(F.min(F.when(~F.col("mine"), F.col("d"))).alias("least"), F.max(F.when(F.col("mine"), F.col("d"))).alias("most"))
-            near = save(near.where("least is not null"), "near")
-            kept = far.join(near, "key").where(F.when(F.col("mine"), F.col("d") >= F.col("least") - reach - 1e-9).otherwise(F.lit(True)))
-            counts = kept.groupBy("key").agg(F.countDistinct("comp").alias("comps"), F.count("*").alias("n")).where("comps > 1").select("key", "n")
-            kept = save(kept.join(save(counts, "counts"), "key").select("key", "node", "comp", "d", "n"), "kept")
-            last = level == LEVELS
-            small = kept if last else kept.where(F.col("n") <= SMALL)
-            x = small.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("d").alias("da"))
-            y = small.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("d").alias("db"))
-            rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= reach + 1e-9)).select("a", "b").distinct()
-            rest = save(rest.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+            # members that may still link to another component of their bucket, with their distance to its leader
+            a, b = F.least("leader", "node"), F.greatest("leader", "node")
+            far = self.labelled(members.withColumns({"a": a, "b": b}).join(self.seen.select("a", "b", "d"), ["a", "b"], "left"))
+            far = far.withColumn("d", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("d", F.lit(0.0))))
+            far = save(self.active(far.select("key", "node", "comp", "d")), "far")
+            # n-grams that no set of another component has are in no overlap that matters: most sets can't link any more
+            grams = self.grams(far)
+            far = self.pruned(far, grams)
+            # other leaders, the least edited ones, join most of what is left of groups of near copies
+            for order in range(1, STARS):
+                if not far.limit(1).count():
+                    break
+                _, got = self.star(far.select("key", "node", "own"), self.comp, self.seen, order)
+                if got is None:
+                    break
+                self.add(got)
+                far = self.pruned(save(self.active(self.labelled(far.select("key", "node", "d"))), "far"), grams)
+            # near the leader: all pairs of different components that the triangle inequality leaves
+            n = far.where(F.col("d") > FAR - reach).groupBy("key").agg(F.count("*").alias("n"))
+            far = save(far.join(n, "key", "left"), "far")
+            small = far if level == LEVELS else far.where((F.col("d") <= FAR) | (F.col("n") <= SMALL))
+            x = small.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("d").alias("da"), F.col("size").alias("na"), F.col("own").alias("oa"))
+            y = small.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("d").alias("db"), F.col("size").alias("nb"), F.col("own").alias("ob"))
+            both = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+            rest = x.join(y, "key").where(
+                (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= reach + 1e-9) & self.enough(both, F.col("na"), F.col("nb"))
+            ).select("a", "b").distinct()
+            rest = save(rest.join(self.seen.select("a", "b"), ["a", "b"], "left_anti"), "rest")
             if rest.limit(1).count():
-                got = self.verify(rest)
-                seen = seen.unionByName(got)
-                fresh = got.where("link").select("a", "b")
-                if fresh.limit(1).count():
-                    links = links.unionByName(fresh)
-                    comp = components(links)
-            large = kept.where(F.col("n") > SMALL).select("key", "node")
-            if last or not large.limit(1).count():
+                self.add(self.verify(rest))
+            # far from it, in large buckets: another order of n-grams
+            large = far.where((F.col("d") > FAR - reach) & (F.col("n") > SMALL)).select("key", "node")
+            if level == LEVELS or not large.limit(1).count():
                 break
             sigs = self.texts(large.select("node").distinct()).mapInArrow(_again(self.bands, level + 1), "node long, sigs array<long>").dropDuplicates(["node"])
             entries = large.join(sigs, "node").select("node", "key", F.explode("sigs").alias("sig"))
             entries = save(entries.select(F.xxhash64("key", "sig").alias("key"), "node"), "entries")
-        return comp
+        return self.comp
+
+    def enough(self, common, a, b):
+        """An overlap of ``common`` reaches the threshold for sets of a and b n-grams."""
+        return (100 + self.percent) * common >= self.percent * (a + b)
+
+    def grams(self, far: DataFrame) -> DataFrame:
+        """(node, size, gram) of the sets of ``far``."""
+        nodes = far.select("node").distinct()
+        parts = self.texts(nodes).mapInArrow(_parts, "node long, size long, part int, grams array<long>").join(nodes, "node", "left_semi")
+        parts = parts.dropDuplicates(["node", "part"])
+        return save(parts.select("node", "size", F.explode("grams").alias("gram")), "grams")
+
+    def pruned(self, far: DataFrame, grams: DataFrame) -> DataFrame:
+        """Rows (key, node, comp, d, size, own) that may still link to another component of their bucket.
+
+        ``own`` counts n-grams that no set of another component in ``far`` has;
+        sets that can still link share a bucket, so both are in ``far``.  Sets
+        that drop out leave more such n-grams to the others, hence the repetition.
+        """
+        rows = None
+        for _ in range(PRUNINGS):
+            comps = far.select("node", "comp").distinct()
+            g = grams.join(comps, "node")
+            alone = g.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 = c2").select("gram")
+            own = g.join(alone, "gram").groupBy("node").agg(F.count("*").alias("own"))
+            size = grams.groupBy("node").agg(F.max("size").alias("size"))
+            out = far.select("key", "node", "comp", "d").join(size, "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+            far = save(self.active(self.able(out)), "far")
+            n = far.count()
+            if not n or (rows is not None and n > 0.9 * rows):
+                break
+            rows = n
+        return far
+
+    def able(self, df: DataFrame) -> DataFrame:
+        """Rows whose shared n-grams suffice for a partner as small as the smallest set of the bucket."""
+        least = df.groupBy("key").agg(F.min("size").alias("least"))
+        return df.join(least, "key").where(self.enough(F.col("size") - F.col("own"), F.col("size"), F.col("least"))).drop("least")
+
+    def labelled(self, df: DataFrame) -> DataFrame:
+        if self.comp is None:
+            return df.withColumn("comp", F.col("node"))
+        return df.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def active(self, df: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several components."""
+        keys = df.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
+        return df.join(keys, "key")
+
+    def add(self, got: DataFrame | None) -> None:
+        if got is None:
+            return
+        self.seen = got if self.seen is None else self.seen.unionByName(got)
+        fresh = got.where("link").select("a", "b")
+        if fresh.limit(1).count():
+            self.links = fresh if self.links is None else self.links.unionByName(fresh)
+            self.comp = components(self.links)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -259,17 +338,19 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each is written, so a lost
     executor costs one step.
     """
-    edges = save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    few = 1 + links.count() // ROWS_A_FILE
+    edges = save(links.coalesce(few), "edges")
     digest = None
     while True:
         for large in (True, False):
             both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-            least = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+            least = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(few), "least")
             if large:
                 new = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             else:
                 new = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-            new = save(new.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+            new = save(new.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(few), "edges")
             discard(edges, least)
             edges = new
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -277,7 +358,7 @@ def components(links: DataFrame) -> DataFrame:
             break
         digest = tuple(now)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
+    return save(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots).coalesce(few), "components")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
