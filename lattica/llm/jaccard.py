@@ -15,10 +15,11 @@ band and in the next one if its partners may lie there.  Frequent n-grams do no
 harm, as a whole fragment has to agree.
 
 Pairs that need no comparison.  Only components are asked for.  In a bucket of
-equal fragments all sets are first compared with one of them, the leader.  In
-buckets that then still hold several components, n-grams are counted over their
-sets: those of a single set are in no overlap, which rules out most sets; the
-least edited of the others lead ``STARS`` - 1 more comparisons.  Of what is
+equal fragments all sets are first compared with one of them, the leader, which
+is then done.  A set stays if another component has a set in its bucket whose
+distance to the leader is like its own.  N-grams are counted over the sets that
+stay: those of a single component are in no overlap that matters, which rules out
+more; the least edited of the others lead ``STARS`` - 1 more comparisons.  Of what is
 left, sets near the leader are compared in full, pairs within a component
 excepted, and those that these counts or the triangle inequality of the Jaccard
 distance rule out.  Sets far from the leader can link to none of those; if there
@@ -54,8 +55,7 @@ PERCENT = 90
 PARTS = 16
 SMALL = 32
 LEVELS = 3
-STARS = 3
-PRUNINGS = 4
+STARS = 2
 ROWS_A_FILE = 100_000  # of the tables of links, whose size is known before they are written
 FAR = 0.6  # Jaccard distance to the leader from which a set counts as unrelated to it
 BAND = 1.5
@@ -178,80 +178,84 @@ class _Join:
         self.percent, self.bands = percent, Bands(percent)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.rows = save(self.docs.mapInArrow(_register(self.bands), "doc_id long, n long, node long, sigs array<long>"), "sets")
+        self.repeated = bool(self.rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+        self.comp = self.seen = None
 
-    def texts(self, nodes: DataFrame) -> DataFrame:
-        """doc_id and text of a document of each node (at least one; rows of repeated ids may come along)."""
+    def texts(self, nodes: DataFrame, run, schema: str, key: list[str]) -> DataFrame:
+        """What ``run`` makes of a text of each node; ``key`` is unique in the result.  More nodes than asked for may come along if ids repeat."""
         ids = self.rows.join(nodes, "node").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("id")).select("id").distinct()
         ids = save(ids, "ids")
         few = ids.count() <= BROADCAST_IDS
-        return self.docs.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
+        docs = self.docs.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
+        out = docs.mapInArrow(run, schema)
+        return out.dropDuplicates(key) if self.repeated else out
+
+    def parts(self, nodes: DataFrame) -> DataFrame:
+        return self.texts(nodes, _parts, "node long, size long, part int, grams array<long>", ["node", "part"])
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) with the similarity's parts: common, total sizes, and whether they link."""
+        """(a, b) with their Jaccard distance d, sizes na and nb, and whether they link."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        parts = self.texts(nodes).mapInArrow(_parts, "node long, size long, part int, grams array<long>")
-        parts = save(parts.dropDuplicates(["node", "part"]), "parts")
-        left = parts.select(F.col("node").alias("b"), "part", F.col("size").alias("size_b"), F.col("grams").alias("grams_b"))
-        right = parts.select(F.col("node").alias("a"), "part", F.col("size").alias("size_a"), F.col("grams").alias("grams_a"))
+        parts = save(self.parts(nodes), "parts")
+        left = parts.select(F.col("node").alias("b"), "part", F.col("size").alias("nb"), F.col("grams").alias("grams_b"))
+        right = parts.select(F.col("node").alias("a"), "part", F.col("size").alias("na"), F.col("grams").alias("grams_a"))
         both = pairs.join(left, "b").join(right, ["a", "part"])
-        partial = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("common"))
-        total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
-        union = F.col("size_a") + F.col("size_b") - F.col("common")
-        out = save(total.select("a", "b", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= self.percent * union).alias("link")), "verified")
+        partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("common"))
+        total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+        union = F.col("na") + F.col("nb") - F.col("common")
+        out = save(total.select("a", "b", "na", "nb", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= self.percent * union).alias("link")), "verified")
         discard(parts)
         return out
 
-    def star(self, entries, comp, seen, order):
+    def star(self, entries: DataFrame, known: bool):
         """Compares the members of each bucket of several components with its leader.
 
-        That is the first by hash, or, where ``own`` is known, the member with the fewest n-grams of its own.
-        Returns members (key, leader, node) and the new comparisons, or None if no bucket is left.
+        Entries are (key, node, comp), or (key, node, comp, own) if ``known``:
+        then the member with the fewest n-grams of its own leads and pairs within
+        a component are left out.  Else the smallest node leads, and the distance
+        of each member to it will be known.  Returns members (key, leader, node)
+        and the new comparisons, or None if there are none.
         """
-        rank = ["own"] if "own" in entries.columns else []
-        first = F.min(F.struct(*rank, F.xxhash64("node", F.lit(order)).alias("h"), "node"))["node"].alias("leader")
-        if comp is None:
-            stats = entries.groupBy("key").agg(first, F.min("node").alias("c1"), F.max("node").alias("c2"))
-        else:
-            known = entries.join(comp, "node", "left").select("key", "node", *rank, F.coalesce("comp", "node").alias("comp"))
-            stats = known.groupBy("key").agg(first, F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+        first = F.min(F.struct("own", "node"))["node"] if known else F.min("node")
+        stats = entries.groupBy("key").agg(first.alias("leader"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
         stats = save(stats.where("c1 < c2").select("key", "leader"), "leaders")
         members = save(entries.select("key", "node").join(stats, "key").distinct(), "members")
         pairs = members.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if comp is not None:
-            at = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-            pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        if seen is not None:
-            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        if known:
+            pairs = self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+        if self.seen is not None:
+            pairs = pairs.join(self.seen.select("a", "b"), ["a", "b"], "left_anti")
         pairs = save(pairs, "pairs")
+        discard(stats)
         return members, self.verify(pairs) if pairs.limit(1).count() else None
 
-    def run(self) -> DataFrame:
-        """(node, comp) of all nodes that are linked to another one."""
+    def run(self) -> DataFrame | None:
+        """(node, comp) of all nodes that are linked to another one, or None."""
         reach = 1 - self.percent / 100
-        entries = self.rows.select(F.explode("sigs").alias("key"), "node")
-        self.comp = self.seen = self.links = None
+        entries = self.rows.select(F.explode("sigs").alias("key"), "node").withColumn("comp", F.col("node"))
         for level in range(LEVELS + 1):
-            members, got = self.star(entries, self.comp, self.seen, 0)
+            members, got = self.star(entries, False)
             self.add(got)
             if self.seen is None:
                 break
-            # members that may still link to another component of their bucket, with their distance to its leader
+            # what may still link to another component of its bucket, with its distance to the leader, which is done
             a, b = F.least("leader", "node"), F.greatest("leader", "node")
-            far = self.labelled(members.withColumns({"a": a, "b": b}).join(self.seen.select("a", "b", "d"), ["a", "b"], "left"))
-            far = far.withColumn("d", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("d", F.lit(0.0))))
-            far = save(self.active(far.select("key", "node", "comp", "d")), "far")
-            # n-grams that no set of another component has are in no overlap that matters: most sets can't link any more
-            grams = self.grams(far)
-            far = self.pruned(far, grams)
-            # other leaders, the least edited ones, join most of what is left of groups of near copies
-            for order in range(1, STARS):
+            far = members.where("node <> leader").withColumns({"a": a, "b": b}).join(self.seen.select("a", "b", "d", "na", "nb"), ["a", "b"])
+            far = far.select("key", "node", "d", F.when(F.col("node") == F.col("a"), F.col("na")).otherwise(F.col("nb")).alias("size"))
+            far = save(self.active(self.labelled(far)), "far")
+            discard(members)
+            grams = None
+            for order in range(STARS):
                 if not far.limit(1).count():
                     break
-                _, got = self.star(far.select("key", "node", "own"), self.comp, self.seen, order)
-                if got is None:
-                    break
-                self.add(got)
-                far = self.pruned(save(self.active(self.labelled(far.select("key", "node", "d"))), "far"), grams)
+                if order:  # the least edited of the others lead once more
+                    members, got = self.star(far.select("key", "node", "comp", "own"), True)
+                    self.add(got)
+                    done = members.where("node = leader").select("key", "node")
+                    far = save(self.active(self.labelled(far.select("key", "node", "d", "size").join(done, ["key", "node"], "left_anti"))), "far")
+                far, grams = self.pruned(far, grams)
+            if not far.limit(1).count():
+                break
             # near the leader: all pairs of different components that the triangle inequality leaves
             n = far.where(F.col("d") > FAR - reach).groupBy("key").agg(F.count("*").alias("n"))
             far = save(far.join(n, "key", "left"), "far")
@@ -269,96 +273,98 @@ class _Join:
             large = far.where((F.col("d") > FAR - reach) & (F.col("n") > SMALL)).select("key", "node")
             if level == LEVELS or not large.limit(1).count():
                 break
-            sigs = self.texts(large.select("node").distinct()).mapInArrow(_again(self.bands, level + 1), "node long, sigs array<long>").dropDuplicates(["node"])
+            sigs = self.texts(large.select("node").distinct(), _again(self.bands, level + 1), "node long, sigs array<long>", ["node"])
             entries = large.join(sigs, "node").select("node", "key", F.explode("sigs").alias("sig"))
-            entries = save(entries.select(F.xxhash64("key", "sig").alias("key"), "node"), "entries")
+            entries = save(self.labelled(entries.select(F.xxhash64("key", "sig").alias("key"), "node")), "entries")
         return self.comp
 
     def enough(self, common, a, b):
         """An overlap of ``common`` reaches the threshold for sets of a and b n-grams."""
         return (100 + self.percent) * common >= self.percent * (a + b)
 
-    def grams(self, far: DataFrame) -> DataFrame:
-        """(node, size, gram) of the sets of ``far``."""
-        nodes = far.select("node").distinct()
-        parts = self.texts(nodes).mapInArrow(_parts, "node long, size long, part int, grams array<long>").join(nodes, "node", "left_semi")
-        parts = parts.dropDuplicates(["node", "part"])
-        return save(parts.select("node", "size", F.explode("grams").alias("gram")), "grams")
-
-    def pruned(self, far: DataFrame, grams: DataFrame) -> DataFrame:
-        """Rows (key, node, comp, d, size, own) that may still link to another component of their bucket.
+    def pruned(self, far: DataFrame, grams: DataFrame | None):
+        """Rows (key, node, comp, d, size, own) that may still link to another component of their bucket, and their n-grams.
 
-        ``own`` counts n-grams that no set of another component in ``far`` has;
-        sets that can still link share a bucket, so both are in ``far``.  Sets
-        that drop out leave more such n-grams to the others, hence the repetition.
+        ``own`` counts n-grams that no set of another component in ``far`` has:
+        sets that can still link share a bucket, so both are in ``far``.  The
+        other n-grams (node, gram) are returned; no later call needs more, as
+        sets only drop out and components only grow.
         """
-        rows = None
-        for _ in range(PRUNINGS):
-            comps = far.select("node", "comp").distinct()
-            g = grams.join(comps, "node")
-            alone = g.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 = c2").select("gram")
-            own = g.join(alone, "gram").groupBy("node").agg(F.count("*").alias("own"))
-            size = grams.groupBy("node").agg(F.max("size").alias("size"))
-            out = far.select("key", "node", "comp", "d").join(size, "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-            far = save(self.active(self.able(out)), "far")
-            n = far.count()
-            if not n or (rows is not None and n > 0.9 * rows):
-                break
-            rows = n
-        return far
-
-    def able(self, df: DataFrame) -> DataFrame:
-        """Rows whose shared n-grams suffice for a partner as small as the smallest set of the bucket."""
-        least = df.groupBy("key").agg(F.min("size").alias("least"))
-        return df.join(least, "key").where(self.enough(F.col("size") - F.col("own"), F.col("size"), F.col("least"))).drop("least")
-
-    def labelled(self, df: DataFrame) -> DataFrame:
+        comps = far.select("node", "comp").distinct()
+        if grams is None:
+            grams = save(self.parts(comps.select("node")).join(comps.select("node"), "node", "left_semi").select("node", F.explode("grams").alias("gram")), "grams")
+        g = grams.join(comps, "node")
+        shared = g.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("gram")
+        kept = save(g.join(shared, "gram").select("node", "gram"), "grams")
+        discard(grams)
+        out = far.join(kept.groupBy("node").agg(F.count("*").alias("shared")), "node").withColumn("own", F.col("size") - F.col("shared")).drop("shared")
+        least = out.groupBy("key").agg(F.min("size").alias("least"))
+        out = out.join(least, "key").where(self.enough(F.col("size") - F.col("own"), F.col("size"), F.col("least"))).drop("least")
+        return save(self.active(out), "far"), kept
+
+    def labelled(self, df: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
         if self.comp is None:
-            return df.withColumn("comp", F.col("node"))
-        return df.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            return df.withColumn(name, F.col(node))
+        comp = self.comp.select(F.col("node").alias(node), F.col("comp").alias(name))
+        return df.join(comp, node, "left").withColumn(name, F.coalesce(name, node))
 
     def active(self, df: DataFrame) -> DataFrame:
-        """Rows of buckets that hold several components."""
-        keys = df.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-        return df.join(keys, "key")
+        """Rows with a set of another component in their bucket whose distance to the leader is like theirs.
+
+        Distances are put into cells of the largest distance of a link, so only
+        the same cell and its neighbours count.
+        """
+        width = 1 - self.percent / 100 + 1e-9
+        cell = F.floor(F.col("d") / width)
+        cells = df.groupBy("key", cell.alias("cell")).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+        near = cells.select("key", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), "c1", "c2")
+        near = near.groupBy("key", "cell").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).where("c1 < c2").select("key", "cell")
+        return df.withColumn("cell", cell).join(near, ["key", "cell"], "left_semi").drop("cell")
 
     def add(self, got: DataFrame | None) -> None:
+        """Takes in comparisons; their links join components, so only a graph of components is contracted."""
         if got is None:
             return
         self.seen = got if self.seen is None else self.seen.unionByName(got)
-        fresh = got.where("link").select("a", "b")
-        if fresh.limit(1).count():
-            self.links = fresh if self.links is None else self.links.unionByName(fresh)
-            self.comp = components(self.links)
+        links = self.labelled(self.labelled(got.where("link").select("a", "b"), "a", "ca"), "b", "cb")
+        new = components(links.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        if self.comp is None:
+            self.comp = new
+        elif new is not None:
+            old = self.comp.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left")
+            added = new.join(self.comp, "node", "left_anti")
+            self.comp = save(old.select("node", F.coalesce("now", "comp").alias("comp")).unionByName(added), "components")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp): each node of the links (a, b), and the smallest node it reaches.
+def components(links: DataFrame) -> DataFrame | None:
+    """(node, comp): each node of the links (a, b), and the smallest node it reaches; None without links.
 
-    Alternating large-star and small-star steps; each is written, so a lost
-    executor costs one step.
+    Alternating large-star and small-star steps until all edges lead to roots;
+    each is written, so a lost executor costs one step.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    few = 1 + links.count() // ROWS_A_FILE
-    edges = save(links.coalesce(few), "edges")
-    digest = None
+    edges = save(links, "edges")
+    n = edges.count()
+    if not n:
+        return None
+    few, large = 1 + n // ROWS_A_FILE, True
     while True:
-        for large in (True, False):
-            both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-            least = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(few), "least")
-            if large:
-                new = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            else:
-                new = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-            new = save(new.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(few), "edges")
-            discard(edges, least)
-            edges = new
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if digest == tuple(now):
+        ends = edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"))).groupBy("u").agg(F.sum("up").alias("n"), F.min("up").alias("root"))
+        if not ends.where("n > 1 or (n = 1 and root = 0)").limit(1).count():
             break
-        digest = tuple(now)
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        if large:
+            new = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        else:
+            new = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        new = save(new.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(few), "edges")
+        discard(edges)
+        edges, large = new, not large
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    return save(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots).coalesce(few), "components")
+    out = save(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots).coalesce(few), "components")
+    discard(edges)
+    return out
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
