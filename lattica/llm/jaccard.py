@@ -22,7 +22,8 @@ stay: those of a single component are in no overlap that matters, which rules ou
 more; the least edited of the others lead ``STARS`` - 1 more comparisons.  Of what is
 left, sets near the leader are compared in full, pairs within a component
 excepted, and those that these counts or the triangle inequality of the Jaccard
-distance rule out.  Sets far from the leader can link to none of those; if there
+distance rule out, and pairs whose n-grams outside the overlap, counted from
+below by parity sketches, are too many.  Sets far from the leader can link to none of those; if there
 are many of them (unrelated texts that share a frequent passage), they are dealt
 out again by the fragments of another order, as similar sets agree in one there,
 too.  After ``LEVELS`` orders the rest is compared in full.  Nothing is capped.
@@ -56,6 +57,7 @@ PARTS = 16
 SMALL = 32
 LEVELS = 3
 STARS = 2
+SKETCH = 32  # words of a parity sketch, a power of two
 ROWS_A_FILE = 100_000  # of the tables of links, whose size is known before they are written
 FAR = 0.6  # Jaccard distance to the leader from which a set counts as unrelated to it
 BAND = 1.5
@@ -266,7 +268,7 @@ class _Join:
             rest = x.join(y, "key").where(
                 (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= reach + 1e-9) & self.enough(both, F.col("na"), F.col("nb"))
             ).select("a", "b").distinct()
-            rest = save(rest.join(self.seen.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+            rest = save(self.alike(rest.join(self.seen.select("a", "b"), ["a", "b"], "left_anti"), far, grams), "rest")
             if rest.limit(1).count():
                 self.add(self.verify(rest))
             # far from it, in large buckets: another order of n-grams
@@ -302,6 +304,23 @@ class _Join:
         out = out.join(least, "key").where(self.enough(F.col("size") - F.col("own"), F.col("size"), F.col("least"))).drop("least")
         return save(self.active(out), "far"), kept
 
+    def alike(self, pairs: DataFrame, far: DataFrame, grams: DataFrame) -> DataFrame:
+        """Pairs (a, b) that a lower bound of their symmetric difference leaves.
+
+        That is the n-grams that a and b have of their own, and the bits in which
+        parity sketches of their other n-grams differ: one n-gram flips one bit.
+        """
+        nodes = far.groupBy("node").agg(F.max("size").alias("size"), F.max("own").alias("own"))
+        bits = grams.select("node", F.expr(f"shiftrightunsigned(gram, 6) & {SKETCH - 1}").cast("int").alias("word"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit"))
+        words = bits.groupBy("node", "word").agg(F.bit_xor("bit").alias("bits"))
+        sketch = words.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of"))  # SKETCH entries at most
+        dense = F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.coalesce(F.col("of")[i], F.lit(0)))
+        sketch = save(nodes.join(sketch.select("node", dense.alias("words")), "node"), "sketches")
+        at = lambda c: sketch.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("own").alias(f"o{c}"), F.col("words").alias(f"w{c}"))
+        flips = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        unlike = F.col("oa") + F.col("ob") + flips
+        return pairs.join(at("a"), "a").join(at("b"), "b").where((100 + self.percent) * unlike <= (100 - self.percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
     def labelled(self, df: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
         if self.comp is None:
             return df.withColumn(name, F.col(node))

@@ -66,6 +66,27 @@ def test_matches_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
 
+@pytest.mark.parametrize("stars", [1, 3])
+def test_links_past_the_leader(spark, monkeypatch, stars):
+    """Families in which most links are not to the leader: the last comparison, behind the sketches, or later leaders find them."""
+    monkeypatch.setattr(jaccard, "STARS", stars)
+    rnd = random.Random(11)
+    rows = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(120)]
+        for c in range(8):  # each centre is far from the others, its copies are near it
+            centre = list(base)
+            for i in rnd.sample(range(120), 7):
+                centre[i] = f"c{c}x{i}"
+            for k in range(4):
+                w = list(centre)
+                if k:
+                    w[rnd.randrange(120)] = f"k{k}c{c}"
+                rows.append((len(rows), " ".join(w)))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute(rows))
+
+
 def test_empty(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], SCHEMA)).collect() == []
 
