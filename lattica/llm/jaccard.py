@@ -262,13 +262,10 @@ class _Join:
             n = far.where(F.col("d") > FAR - reach).groupBy("key").agg(F.count("*").alias("n"))
             far = save(far.join(n, "key", "left"), "far")
             small = far if level == LEVELS else far.where((F.col("d") <= FAR) | (F.col("n") <= SMALL))
-            x = small.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("d").alias("da"), F.col("size").alias("na"), F.col("own").alias("oa"))
-            y = small.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("d").alias("db"), F.col("size").alias("nb"), F.col("own").alias("ob"))
-            both = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
-            rest = x.join(y, "key").where(
-                (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= reach + 1e-9) & self.enough(both, F.col("na"), F.col("nb"))
-            ).select("a", "b").distinct()
-            rest = save(self.alike(rest.join(self.seen.select("a", "b"), ["a", "b"], "left_anti"), far, grams), "rest")
+            small = small.join(self.sketches(small, grams), "node")
+            side = lambda c: small.select("key", F.col("node").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "d", "size", "own", "words")])
+            rest = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= reach + 1e-9) & self.alike())
+            rest = save(rest.select("a", "b").distinct().join(self.seen.select("a", "b"), ["a", "b"], "left_anti"), "rest")
             if rest.limit(1).count():
                 self.add(self.verify(rest))
             # far from it, in large buckets: another order of n-grams
@@ -304,22 +301,24 @@ class _Join:
         out = out.join(least, "key").where(self.enough(F.col("size") - F.col("own"), F.col("size"), F.col("least"))).drop("least")
         return save(self.active(out), "far"), kept
 
-    def alike(self, pairs: DataFrame, far: DataFrame, grams: DataFrame) -> DataFrame:
-        """Pairs (a, b) that a lower bound of their symmetric difference leaves.
-
-        That is the n-grams that a and b have of their own, and the bits in which
-        parity sketches of their other n-grams differ: one n-gram flips one bit.
-        """
-        nodes = far.groupBy("node").agg(F.max("size").alias("size"), F.max("own").alias("own"))
-        bits = grams.select("node", F.expr(f"shiftrightunsigned(gram, 6) & {SKETCH - 1}").cast("int").alias("word"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit"))
+    def sketches(self, far: DataFrame, grams: DataFrame) -> DataFrame:
+        """(node, words): a parity sketch of the n-grams of each node that are not its own; an n-gram flips one bit."""
+        bits = grams.join(far.select("node").distinct(), "node", "left_semi")
+        bits = bits.select("node", F.expr(f"shiftrightunsigned(gram, 6) & {SKETCH - 1}").cast("int").alias("word"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit"))
         words = bits.groupBy("node", "word").agg(F.bit_xor("bit").alias("bits"))
         sketch = words.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of"))  # SKETCH entries at most
         dense = F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.coalesce(F.col("of")[i], F.lit(0)))
-        sketch = save(nodes.join(sketch.select("node", dense.alias("words")), "node"), "sketches")
-        at = lambda c: sketch.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("own").alias(f"o{c}"), F.col("words").alias(f"w{c}"))
+        return save(sketch.select("node", dense.alias("words")), "sketches")
+
+    def alike(self):
+        """Two rows a and b of a bucket may reach the threshold, by lower bounds of their symmetric difference.
+
+        These are the n-grams that each has of its own, and with them the bits in which the sketches differ.
+        """
+        small = lambda unlike: (100 + self.percent) * unlike <= (100 - self.percent) * (F.col("sa") + F.col("sb"))
+        own = F.col("oa") + F.col("ob")
         flips = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        unlike = F.col("oa") + F.col("ob") + flips
-        return pairs.join(at("a"), "a").join(at("b"), "b").where((100 + self.percent) * unlike <= (100 - self.percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+        return small(own) & self.enough(F.least(F.col("sa") - F.col("oa"), F.col("sb") - F.col("ob")), F.col("sa"), F.col("sb")) & small(own + flips)
 
     def labelled(self, df: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
         if self.comp is None:
