@@ -42,6 +42,9 @@ read, so other columns may have any name.  Equal hashes count as equal n-grams
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -57,7 +60,7 @@ PARTS = 16
 SMALL = 32
 LEVELS = 3
 STARS = 2
-SKETCH = 32  # words of a parity sketch, a power of two
+SKETCH = 16  # words of a parity sketch, a power of two
 ROWS_A_FILE = 100_000  # of the tables of links, whose size is known before they are written
 FAR = 0.6  # Jaccard distance to the leader from which a set counts as unrelated to it
 BAND = 1.5
@@ -317,7 +320,7 @@ class _Join:
         """
         small = lambda unlike: (100 + self.percent) * unlike <= (100 - self.percent) * (F.col("sa") + F.col("sb"))
         own = F.col("oa") + F.col("ob")
-        flips = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        flips = reduce(add, [F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(SKETCH)])  # compiled, without an object a word
         return small(own) & self.enough(F.least(F.col("sa") - F.col("oa"), F.col("sb") - F.col("ob")), F.col("sa"), F.col("sb")) & small(own + flips)
 
     def labelled(self, df: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
