@@ -19,6 +19,10 @@ from lattica.llm._io import table
 from lattica.llm._store import save
 
 
+COPY_WORDS = 5  # words of a shingle of the near-copy stage; op3's own query keeps its contract of 3 words and 90 percent
+COPY_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a toxicity score below the threshold; learned from all labels but those of the held-out fold."""
     labels = table(spark, sf_dir, "labels").where(toxicity.fold("doc_id", 4) != 2)
@@ -29,9 +33,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of the n-gram Jaccard join: that of the smallest doc_id.
 
+    Near copies share COPY_PERCENT of their distinct shingles of COPY_WORDS words.
+
     Rows that share a doc_id are one document, of which the smallest text stays.
     """
-    found = jaccard.jaccard_components(docs)
+    found = jaccard.jaccard_components(docs, COPY_PERCENT, COPY_WORDS)
     ids = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
     ids = save(ids.where("doc_id is not null and (component_id <> doc_id or n > 1)"), "extra")
     kept = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)

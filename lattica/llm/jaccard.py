@@ -1,6 +1,6 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The set of a text is its distinct word shingles (see ``SHINGLE``), as 64-bit
+The set of a text is its distinct word shingles (``SHINGLE`` words by default), as 64-bit
 hashes; ascending hash is the global order of n-grams.  That order is cut into
 fragments, a text's set falls into one part for each fragment, and the overlap
 of two texts is the sum of the overlaps of their parts.
@@ -68,7 +68,7 @@ BROADCAST_IDS = 1_000_000  # wanted doc ids up to which they are sent to all exe
 
 
 def sets(data, off, n=SHINGLE):
-    """For each row its sorted distinct shingle hashes."""
+    """For each row its sorted distinct hashes of shingles of ``n`` words."""
     s, e, bounds = T.word_bounds(data, off, T.SPACE_WORDS)
     h = T.span_hashes(data, s, e)
     rows = len(bounds) - 1
@@ -143,10 +143,10 @@ def _lists(arrays):
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
 
 
-def _register(bands):
+def _register(bands, shingle):
     def run(batches):
         for rows, data, off in T.text_blocks(batches):
-            got = list(sets(data, off))
+            got = list(sets(data, off, shingle))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array([len(u) for u in got], pa.int64()), pa.array([_node(u) for u in got], pa.int64()), _lists([bands.signatures(u, 0) for u in got])],
                 names=["doc_id", "n", "node", "sigs"],
@@ -155,34 +155,38 @@ def _register(bands):
     return run
 
 
-def _again(bands, level):
+def _again(bands, level, shingle):
     def run(batches):
         for rows, data, off in T.text_blocks(batches):
-            got = list(sets(data, off))
+            got = list(sets(data, off, shingle))
             yield pa.RecordBatch.from_arrays([pa.array([_node(u) for u in got], pa.int64()), _lists([bands.signatures(u, level) for u in got])], names=["node", "sigs"])
 
     return run
 
 
-def _parts(batches):
+def _parts(shingle):
     """(node, size, fragment, its n-grams) of each text."""
-    for rows, data, off in T.text_blocks(batches, block_bytes=1 << 20):
-        node, size, part, grams = [], [], [], []
-        for u in sets(data, off):
-            cut = np.searchsorted(u, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(60)) if PARTS == 16 else np.searchsorted(u, (np.arange(1, PARTS) * (2**64 // PARTS)).astype(np.uint64))
-            for p, g in enumerate(np.split(u, cut)):
-                node.append(_node(u))
-                size.append(len(u))
-                part.append(p)
-                grams.append(g)
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(part, pa.int32()), _lists(grams)], names=["node", "size", "part", "grams"])
+
+    def run(batches):
+        for rows, data, off in T.text_blocks(batches, block_bytes=1 << 20):
+            node, size, part, grams = [], [], [], []
+            for u in sets(data, off, shingle):
+                cut = np.searchsorted(u, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(60)) if PARTS == 16 else np.searchsorted(u, (np.arange(1, PARTS) * (2**64 // PARTS)).astype(np.uint64))
+                for p, g in enumerate(np.split(u, cut)):
+                    node.append(_node(u))
+                    size.append(len(u))
+                    part.append(p)
+                    grams.append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(part, pa.int32()), _lists(grams)], names=["node", "size", "part", "grams"])
+
+    return run
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, percent: int):
-        self.percent, self.bands = percent, Bands(percent)
+    def __init__(self, docs: DataFrame, percent: int, shingle: int):
+        self.percent, self.shingle, self.bands = percent, shingle, Bands(percent)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.rows = save(self.docs.mapInArrow(_register(self.bands), "doc_id long, n long, node long, sigs array<long>"), "sets")
+        self.rows = save(self.docs.mapInArrow(_register(self.bands, shingle), "doc_id long, n long, node long, sigs array<long>"), "sets")
         self.repeated = bool(self.rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
         self.comp = self.seen = None
 
@@ -196,7 +200,7 @@ class _Join:
         return out.dropDuplicates(key) if self.repeated else out
 
     def parts(self, nodes: DataFrame) -> DataFrame:
-        return self.texts(nodes, _parts, "node long, size long, part int, grams array<long>", ["node", "part"])
+        return self.texts(nodes, _parts(self.shingle), "node long, size long, part int, grams array<long>", ["node", "part"])
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b) with their Jaccard distance d, sizes na and nb, and whether they link."""
@@ -275,7 +279,7 @@ class _Join:
             large = far.where((F.col("d") > FAR - reach) & (F.col("n") > SMALL)).select("key", "node")
             if level == LEVELS or not large.limit(1).count():
                 break
-            sigs = self.texts(large.select("node").distinct(), _again(self.bands, level + 1), "node long, sigs array<long>", ["node"])
+            sigs = self.texts(large.select("node").distinct(), _again(self.bands, level + 1, self.shingle), "node long, sigs array<long>", ["node"])
             entries = large.join(sigs, "node").select("node", "key", F.explode("sigs").alias("sig"))
             entries = save(self.labelled(entries.select(F.xxhash64("key", "sig").alias("key"), "node")), "entries")
         return self.comp
@@ -388,9 +392,9 @@ def components(links: DataFrame) -> DataFrame | None:
     return out
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
-    join = _Join(docs, percent)
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row, by shingles of ``shingle`` words and similarity of ``percent`` at least."""
+    join = _Join(docs, percent, shingle)
     comp = join.run()
     rows = join.rows.select("doc_id", F.col("n").alias("n_shingles"), "node")
     if comp is not None:
