@@ -107,7 +107,7 @@ def _(s, d):
 
 @query("pair_quantiles")
 def _(s, d):
-    return sm.quantiles(sm.similar_pairs(_vectors(s, d), 0.2))
+    return sm.pair_quantiles(_vectors(s, d))
 
 
 # ---- candidates
