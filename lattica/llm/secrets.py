@@ -20,9 +20,9 @@ it takes :func:`labelled_findings`, a seeded set of true and false findings of
 both kinds of formats.
 
 Defined results: null or empty texts have no finding; repeated documents give
-their findings each; tokens of over ``MAX_TOKEN`` characters are findings like
-others, with features of their first ``MAX_TOKEN`` characters and their whole
-length; an empty table gives an empty result.  Only the id, text and path
+their findings each; a token of over ``LONG`` characters is one finding like others, with
+the highest score of the windows of ``WINDOW`` characters that cover it, so a key
+inside it is judged by its own characters; an empty table gives an empty result.  Only the id, text and path
 columns are read, so other columns may have any name.
 """
 
@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from lattica.llm import _text as T
 from lattica.llm._io import table
 
-MAX_TOKEN = 512
+LONG = 512  # characters of a token up to which it is described as one
+WINDOW, STEP = 64, 16  # of longer ones
 THRESHOLD = 0.5
 TREES = 40
 DEPTH = 8
@@ -77,7 +78,7 @@ def _class(c: str) -> int:
 
 def describe(token: str, before: str, after: str, path: str) -> list[float]:
     """Features of a candidate; ``before`` and ``after`` are its neighbourhood."""
-    t = token[:MAX_TOKEN]
+    t = token
     n = max(1, len(t))
     count: dict[str, int] = {}
     for c in t:
@@ -218,6 +219,18 @@ def fit(findings=None, trees: int = TREES, depth: int = DEPTH, seed: int = 5) ->
     return Forest([_grow(x, y, rng, depth) for _ in range(trees)])
 
 
+def windows(token: str):
+    """Lists of at most 4,096 windows that cover a token, each one once in its list."""
+    starts = [*range(0, len(token) - WINDOW, STEP), len(token) - WINDOW]
+    for k in range(0, len(starts), 4096):
+        yield list(dict.fromkeys(token[i : i + WINDOW] for i in starts[k : k + 4096]))
+
+
+def judge(forest: Forest, token: str, before: str, after: str, path: str) -> float:
+    """The score of a long token: the highest one of its windows."""
+    return max(float(forest.probability(np.array([describe(w, before, after, path) for w in part])).max()) for part in windows(token))
+
+
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", path_col: str | None = "source") -> DataFrame:
     """id, start and end (code points), token_sha256, score of every candidate; the token itself is not repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # TREES trees of at most 2**(DEPTH+1) nodes
@@ -231,7 +244,7 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", path_col: str
             batch = pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns], names=batch.schema.names)
             for part, data, off in T.text_blocks([batch]):
                 ids, paths = part.column("doc_id").to_pylist(), part.column("path").to_pylist()
-                out, feats = [], []
+                out, feats, long = [], [], {}
                 for i in range(part.num_rows):
                     raw = data[off[i] : off[i + 1]].tobytes()
                     chars, seen = 0, 0
@@ -244,10 +257,14 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", path_col: str
                             continue
                         before = raw[max(0, s - 64) : s].decode("utf-8", "ignore")
                         after = raw[e : e + 32].decode("utf-8", "ignore")
-                        feats.append(describe(t, before, after, paths[i]))
+                        if len(t) > LONG:
+                            long[len(feats)] = judge(model, t, before, after, paths[i])
+                        feats.append(describe(t if len(t) <= LONG else "", before, after, paths[i]))
                         out.append((ids[i], chars, chars + len(t), hashlib.sha256(m.group()).hexdigest()))
                 if out:
                     p = model.probability(np.array(feats))
+                    for k, score in long.items():
+                        p[k] = score
                     c = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(p, pa.float64())],
