@@ -8,9 +8,10 @@ times the inverse document frequency, so a text's score is a mean over its
 n-grams and can be summed in one pass over texts of any length.
 
 Training is follow-the-regularised-leader with elastic-net penalties on at most
-``max_rows`` texts with a language (smallest hash of doc_id; whole texts); a
-fifth of them is kept from it to fit the temperature of the softmax.  The
-document frequencies are those of the sample.
+``max_rows`` texts of each language (smallest hash of doc_id; whole texts), so
+that rare languages are learned, too; a fifth of them is kept from it to fit the
+temperature of the softmax.  Languages of more texts count alike in the scores.
+The document frequencies are those of all texts with a language.
 
 Defined results: ``und`` with score 0.0 for a null text or one without any
 letter, and for every text where nothing could be learned; rows whose lang or
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import _text as T
@@ -96,6 +97,43 @@ def _counts(batches):
         )
 
 
+def _frequencies(batches):
+    """(at, n): in how many texts each coordinate is, and at -1 the number of texts; DIMS + 1 rows a task at most."""
+    total, texts = np.zeros(DIMS, np.int64), 0
+    for rows, data, off in T.text_blocks(batches, block_bytes=1 << 20):
+        key = np.unique(np.concatenate([row * DIMS + at for row, at in _grams(data, off)]))
+        total += np.bincount(key & (DIMS - 1), minlength=DIMS)
+        texts += rows.num_rows
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], texts), pa.int64())], names=["at", "n"])
+
+
+def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Of all texts of rows (doc_id, text), one for each doc_id: the texts with each coordinate, and their number."""
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.limit(1).count():
+        once = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        rows = rows.join(repeated, "doc_id", "left_anti").select("doc_id", "text").unionByName(once)
+    got = rows.select("text").mapInArrow(_frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # DIMS + 1 rows at most
+    out = np.zeros(DIMS + 1, np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()  # -1 is the last place
+    return out[:-1], int(out[-1])
+
+
+def sampled_ids(rows: DataFrame, max_rows: int) -> DataFrame:
+    """doc_id of the ``max_rows`` smallest hashes of each language of rows (doc_id, lang).
+
+    Hashes far above that rank are left out first, by the number of texts of
+    the language, so only a few times ``max_rows`` of them are ranked.
+    """
+    ids = rows.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("hash", F.xxhash64("doc_id"))
+    n = ids.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
+    share = (F.col("hash").cast("double") + 2.0**63) / 2.0**64
+    few = ids.join(F.broadcast(n), "lang").where(share * F.col("n") <= 2 * max_rows + 1000)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    return few.withColumn("place", place).where(F.col("place") <= max_rows).select("doc_id")
+
+
 class LanguageModel:
     """table: (DIMS, classes), weights times inverse document frequency; temperature divides the sums."""
 
@@ -128,11 +166,10 @@ class LanguageModel:
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS, alpha: float = 0.3, l1: float = 0.05, l2: float = 0.1) -> LanguageModel:
     """Learn from text and lang of ``docs`` (the caller leaves out what must not be learned from)."""
-    ids = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and text is not null")
-    sample = sample.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
-    got = sample.mapInArrow(_counts, "doc_id long, lang string, at binary, n binary").toArrow()
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id is not null and lang is not null and text is not null")
+    ids = sampled_ids(sample.select("doc_id", "lang"), max_rows)  # max_rows a language at most
+    drawn = sample.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
+    got = drawn.mapInArrow(_counts, "doc_id long, lang string, at binary, n binary").toArrow()
     lang = got.column("lang").to_pylist()
     names = sorted(set(lang))
     if not names:
@@ -142,8 +179,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS, alpha:
     at_, n_ = got.column("at").combine_chunks(), got.column("n").combine_chunks()
     at = [np.frombuffer(x.as_buffer(), "<i4") for x in at_]
     tf = [np.frombuffer(x.as_buffer(), "<i4") for x in n_]
-    df = np.bincount(np.concatenate(at), minlength=DIMS) if at else np.zeros(DIMS)
-    idf = np.log((1 + len(y)) / (1 + df)) + 1
+    df, texts = document_frequencies(sample.select("doc_id", "text"))
+    idf = np.log((1 + texts) / (1 + df)) + 1
     value = lambda i: _SCALE * tf[i] * idf[at[i]] / max(1, tf[i].sum())
     kept = order[4::5]
     m = FTRL(DIMS, max(2, len(names)), alpha=alpha, l1=l1, l2=l2)
