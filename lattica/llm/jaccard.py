@@ -3,33 +3,37 @@
 The set of a text is its distinct word shingles (``SHINGLE`` words by default), as 64-bit
 hashes; ascending hash is the global order of n-grams.  That order is cut into
 fragments, a text's set falls into one part for each fragment, and the overlap
-of two texts is the sum of the overlaps of their parts.
-
-Pairs that can reach the threshold t.  Two sets of a and b n-grams with Jaccard
-similarity t or more differ in at most k = (1-t)/(1+t) * (a+b) n-grams.  Sets
-are put into bands of size; for a band the order is cut into more than k
-fragments, so similar sets have at least one fragment in which they agree
-entirely and that is not empty (a set with too many empty fragments also
-registers those).  A set registers the hash of each of its fragments, in its own
-band and in the next one if its partners may lie there.  Frequent n-grams do no
-harm, as a whole fragment has to agree.
-
-Pairs that need no comparison.  Only components are asked for.  In a bucket of
-equal fragments all sets are first compared with one of them, the leader, which
-is then done.  A set stays if another component has a set in its bucket whose
-distance to the leader is like its own.  N-grams are counted over the sets that
-stay: those of a single component are in no overlap that matters, which rules out
-more; the least edited of the others lead ``STARS`` - 1 more comparisons.  Of what is
-left, sets near the leader are compared in full, pairs within a component
-excepted, and those that these counts or the triangle inequality of the Jaccard
-distance rule out, and pairs whose n-grams outside the overlap, counted from
-below by parity sketches, are too many.  Sets far from the leader can link to none of those; if there
-are many of them (unrelated texts that share a frequent passage), they are dealt
-out again by the fragments of another order, as similar sets agree in one there,
-too.  After ``LEVELS`` orders the rest is compared in full.  Nothing is capped.
+of two texts is the sum of the overlaps of their parts.  Texts of equal sets
+are one node; only components of nodes are asked for.
+
+1. Overlaps with anything.  Each fragment counts which n-grams are in more than
+   one set; the counts of a set are summed over the fragments.  A set whose sum
+   is below the threshold's share of its size can link to nothing.  A batch of
+   texts sends an n-gram once at most, so frequent n-grams are no hot keys;
+   fragments hold ``FRAGMENT`` n-grams each, however large the input.  Texts of
+   equal sets in different batches count as different here, which only keeps more.
+2. Pairs that can reach the threshold t.  Two sets of a and b n-grams with
+   similarity t or more differ in at most k = (1-t)/(1+t) * (a+b) n-grams.  Sets
+   are put into bands of size; for a band the order is cut into more than k
+   fragments, so similar sets have at least one fragment in which they agree
+   entirely and that is not empty (a set with too many empty fragments also
+   registers those).  A set registers the hash of each of its fragments, in its
+   own band and in the next one if its partners may lie there.
+3. Pairs that need no comparison.  In a bucket of equal fragments all sets are
+   compared with one of them, the leader, which is then done: first by parity
+   sketches, a lower bound of the distance, then by n-grams.  Sets stay whose
+   bucket has another component, and of whose n-grams enough are in sets of other
+   components.  Of these, pairs of different components are compared, but for a
+   set that is linked to the leader and one far from it (triangle inequality),
+   and pairs that sketches rule out.  Sets far from the leader, if there are many
+   of them (unrelated texts that share a frequent passage), are dealt out again by
+   the fragments of another order, as similar sets agree in one there, too, until
+   none are left.  Nothing is capped.
 
 Overlaps of a pair are counted fragment by fragment (``PARTS`` of them) and
-summed.  Components come from star contraction over the links.
+summed.  Components come from star contraction over the links.  The pairs
+compared within a bucket grow with the square of the sets that are neither
+linked to its leader nor far from it; their number is no other's.
 
 Defined results: a null text, or one without words, has no n-gram and is linked
 with nothing; a text of fewer words than a shingle has one n-gram, the whole
@@ -37,7 +41,9 @@ sequence.  Texts of equal sets are in one component, repeated rows too.  A null
 doc_id never is the name of a component; a component without any doc_id has the
 name null.  An empty table gives an empty result.  Only doc_id and text are
 read, so other columns may have any name.  Equal hashes count as equal n-grams
-(64 bits, so a wrong match of two given n-grams has odds of 2**-64).
+(64 bits, so a wrong match of two given n-grams has odds of 2**-64); equal sets
+are told by two such sums (128 bits).  ``docs`` is read more than once, so it
+should be a table or a scan that gives the same rows again.
 """
 
 from __future__ import annotations
@@ -47,7 +53,8 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import _text as T
@@ -58,13 +65,15 @@ SHINGLE = 3
 PERCENT = 90
 PARTS = 16
 SMALL = 32
-LEVELS = 3
-STARS = 2
-SKETCH = 16  # words of a parity sketch, a power of two
+STARS = 1  # leaders of a bucket before its rest is compared
+SKETCH = 32  # words of a parity sketch, a power of two
 ROWS_A_FILE = 100_000  # of the tables of links, whose size is known before they are written
 FAR = 0.6  # Jaccard distance to the leader from which a set counts as unrelated to it
 BAND = 1.5
 BROADCAST_IDS = 1_000_000  # wanted doc ids up to which they are sent to all executors (16 bytes each)
+FRAGMENT = 2_000_000  # n-grams of a fragment of step 1
+BATCH = 2_000_000  # n-grams of a batch of texts of step 1
+HOT = 4096  # a node of over 1 / HOT of all rows is joined by broadcast; there are fewer than HOT of them
 
 
 def sets(data, off, n=SHINGLE):
@@ -132,8 +141,17 @@ class Bands:
         return np.concatenate(out) if out else u[:0]
 
 
-def _node(u):
-    return int(T.mix(u).sum(dtype=np.uint64).astype(np.int64)) if len(u) else None
+def _sums(u):
+    """Two independent hashes of a sorted set, or (None, None) for an empty one."""
+    if not len(u):
+        return None, None
+    return tuple(int(T.mix(u ^ np.uint64(k)).sum(dtype=np.uint64).astype(np.int64)) for k in (0, 0x3C79AC492BA7B653))
+
+
+def _node(u, clash):
+    """The name of a set: its first hash, or the second one if different sets share the first."""
+    a, b = _sums(u)
+    return b if a in clash else a
 
 
 def _lists(arrays):
@@ -143,41 +161,171 @@ def _lists(arrays):
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
 
 
-def _register(bands, shingle):
+def _sketch(u):
+    """Parity sketch: an n-gram flips one bit of SKETCH words."""
+    bit = (u >> np.uint64(20)) & np.uint64(64 * SKETCH - 1)
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _measured(shingle):
+    """(doc_id, size, both hashes) of each text."""
+
     def run(batches):
         for rows, data, off in T.text_blocks(batches):
             got = list(sets(data, off, shingle))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array([len(u) for u in got], pa.int64()), pa.array([_node(u) for u in got], pa.int64()), _lists([bands.signatures(u, 0) for u in got])],
-                names=["doc_id", "n", "node", "sigs"],
-            )
+            sums = [_sums(u) for u in got]
+            columns = [rows.column("doc_id"), pa.array([len(u) for u in got], pa.int64()), *(pa.array([x[k] for x in sums], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", "other"])
 
     return run
 
 
-def _again(bands, level, shingle):
+# ---- step 1: n-grams that are in more than one set, fragment by fragment -----------------
+
+_ASKS = "to int, batch long, who binary, gram binary, told binary, nodes binary, sizes binary, counts binary"
+_names = [c.split()[0] for c in _ASKS.split(", ")]
+_types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+
+
+def _table(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_types)], names=_names)
+
+
+def _steps(x):
+    """Sorted uint16 numbers as differences, which compress well; _back undoes it."""
+    return np.diff(x, prepend=np.uint16(0)).astype("<u2").tobytes()
+
+
+def _back(b):
+    return np.cumsum(np.frombuffer(b, "<u2"), dtype=np.int64)
+
+
+def _asks(fragments, shingle, clash):
+    """For each batch of texts a row for each fragment: n-grams of one set of the batch with the set's number (``who``
+    asks whether another set has ``gram``), and n-grams of several sets (``told``).  One more row holds the batch's sets."""
+    low = np.array([-(-f * 2**32 // fragments) << 32 for f in range(fragments)], np.uint64)
+
+    def rows(held, batch):
+        node, first = np.unique(np.array([x for x, _ in held], np.int64), return_index=True)
+        held = [held[i][1] for i in first]
+        size = np.array([len(u) for u in held], np.int64)
+        gram = np.concatenate(held)
+        order = np.argsort(gram, kind="stable")
+        gram, own = gram[order], np.repeat(np.arange(len(size), dtype=np.uint16), size)[order]
+        start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        n = np.diff(np.append(start, len(gram)))
+        several = np.repeat(n > 1, n)
+        counts = np.bincount(own[several], minlength=len(size))
+        told, asked, own = gram[start[n > 1]], gram[~several], own[~several]
+        cut, cut_told = np.append(np.searchsorted(asked, low), len(asked)), np.append(np.searchsorted(told, low), len(told))
+        part = lambda x: (x & np.uint64(0xFFFFFFFF)).astype("<u4")
+        for f in range(fragments):
+            who, what = own[cut[f] : cut[f + 1]], part(asked[cut[f] : cut[f + 1]])
+            by = np.argsort(who, kind="stable")
+            yield (f, batch, _steps(who[by]), what[by].tobytes(), part(told[cut_told[f] : cut_told[f + 1]]).tobytes(), None, None, None)
+        yield (batch % fragments, batch, None, None, None, node.astype("<i8").tobytes(), size.astype("<i8").tobytes(), counts.astype("<i8").tobytes())
+
     def run(batches):
-        for rows, data, off in T.text_blocks(batches):
-            got = list(sets(data, off, shingle))
-            yield pa.RecordBatch.from_arrays([pa.array([_node(u) for u in got], pa.int64()), _lists([bands.signatures(u, level) for u in got])], names=["node", "sigs"])
+        batch = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+        for _, data, off in T.text_blocks(batches):
+            for u in sets(data, off, shingle):
+                if not len(u):
+                    continue
+                held.append((_node(u, clash), u))
+                size += len(u)
+                if size >= BATCH or len(held) == 1 << 16:
+                    yield _table(list(rows(held, batch)))
+                    held, size, batch = [], 0, batch + 1
+        if held:
+            yield _table(list(rows(held, batch)))
 
     return run
 
 
-def _parts(shingle):
-    """(node, size, fragment, its n-grams) of each text."""
+def _runs(batches, column):
+    """Lists of rows that are next to each other and agree in ``column``."""
+    now, rows = None, []
+    for b in batches:
+        for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+            if r[column] != now and rows:
+                yield rows
+                rows = []
+            now = r[column]
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _answers(batches):
+    """For each batch and fragment the sets' numbers, once for each n-gram that another set has, too."""
+    for rows in _runs(batches, 0):
+        asks = [r for r in rows if r[2] is not None]
+        if asks:
+            gram = np.concatenate([np.frombuffer(r[3], "<u4") for r in asks])
+            told = np.unique(np.concatenate([np.frombuffer(r[4], "<u4") for r in asks]))
+            order = np.argsort(gram, kind="stable")
+            by = gram[order]
+            start = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1]))) if len(by) else np.zeros(0, np.int64)
+            n = np.diff(np.append(start, len(by)))
+            yes = np.empty(len(by), bool)
+            yes[order] = np.repeat((n > 1) | np.isin(by[start], told), n)
+            out, at = [], 0
+            for r in asks:
+                who = _back(r[2])
+                out.append((None, r[1], _steps(who[yes[at : at + len(who)]].astype(np.uint16)), None, None, None, None, None))
+                at += len(who)
+            yield _table(out)
+        if len(asks) < len(rows):
+            yield _table([r for r in rows if r[2] is None])
+
+
+def _enough(percent):
+    """The sets of each batch whose summed counts reach the threshold's share of their size."""
 
     def run(batches):
-        for rows, data, off in T.text_blocks(batches, block_bytes=1 << 20):
-            node, size, part, grams = [], [], [], []
-            for u in sets(data, off, shingle):
-                cut = np.searchsorted(u, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(60)) if PARTS == 16 else np.searchsorted(u, (np.arange(1, PARTS) * (2**64 // PARTS)).astype(np.uint64))
-                for p, g in enumerate(np.split(u, cut)):
-                    node.append(_node(u))
-                    size.append(len(u))
-                    part.append(p)
-                    grams.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(part, pa.int32()), _lists(grams)], names=["node", "size", "part", "grams"])
+        for rows in _runs(batches, 1):
+            own = next(r for r in rows if r[5] is not None)
+            node, size, total = (np.frombuffer(own[i], "<i8") for i in (5, 6, 7))
+            for r in rows:
+                if r[2] is not None:
+                    total = total + np.bincount(_back(r[2]), minlength=len(node))
+            yield pa.RecordBatch.from_arrays([pa.array(node[100 * total >= percent * size], pa.int64())], names=["node"])
+
+    return run
+
+
+# ---- steps 2 and 3 ------------------------------------------------------------------------
+
+_SETS = "node long, size long, parts array<array<long>>, words array<long>, sigs array<long>"
+
+
+def _kept(bands, shingle, clash):
+    """Sets by fragment, with sketches and signatures."""
+    cuts = (np.arange(1, PARTS, dtype=object) * (2**64 // PARTS)).astype(np.uint64)
+
+    def run(batches):
+        for _, data, off in T.text_blocks(batches, block_bytes=1 << 20):
+            got = [u for u in sets(data, off, shingle) if len(u)]
+            if not got:
+                continue
+            parts = _lists([g for u in got for g in np.split(u, np.searchsorted(u, cuts))])
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * PARTS), parts)
+            names = pa.array([_node(u, clash) for u in got], pa.int64())
+            columns = [names, pa.array([len(u) for u in got], pa.int64()), parts, _lists([_sketch(u) for u in got]), _lists([bands.signatures(u, 0) for u in got])]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "parts", "words", "sigs"])
+
+    return run
+
+
+def _again(bands, level):
+    """Signatures of sets in another order."""
+
+    def run(batches):
+        for b in batches:
+            sigs = [bands.signatures(np.sort(np.array([x for p in parts for x in p], np.int64).view(np.uint64)), level) for parts in b.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), _lists(sigs)], names=["node", "sigs"])
 
     return run
 
@@ -185,147 +333,154 @@ def _parts(shingle):
 class _Join:
     def __init__(self, docs: DataFrame, percent: int, shingle: int):
         self.percent, self.shingle, self.bands = percent, shingle, Bands(percent)
+        self.reach = 1 - percent / 100
+        self.far = max(FAR, 2 * self.reach)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.rows = save(self.docs.mapInArrow(_register(self.bands, shingle), "doc_id long, n long, node long, sigs array<long>"), "sets")
-        self.repeated = bool(self.rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
-        self.comp = self.seen = None
-
-    def texts(self, nodes: DataFrame, run, schema: str, key: list[str]) -> DataFrame:
-        """What ``run`` makes of a text of each node; ``key`` is unique in the result.  More nodes than asked for may come along if ids repeat."""
-        ids = self.rows.join(nodes, "node").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("id")).select("id").distinct()
-        ids = save(ids, "ids")
+        rows = save(self.docs.mapInArrow(_measured(shingle), "doc_id long, n long, node long, other long"), "sets")
+        self.clash = [r[0] for r in rows.where("node is not null").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a < b").select("node").collect()]  # none, or a few among 10**10 sets
+        self.rows = rows.withColumn("node", F.when(F.col("node").isin(self.clash), F.col("other")).otherwise(F.col("node"))).drop("other") if self.clash else rows.drop("other")
+        nodes = self.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"))
+        self.nodes = save(nodes, "nodes")  # a row for each distinct set
+        self.count, self.distinct, self.grams, ids = self.nodes.agg(F.sum("copies"), F.count("*"), F.sum(F.col("copies") * F.col("n")), F.count("id")).first()
+        self.comp = self.seen = self.sets = None
+
+    def close(self):
+        discard(self.rows, self.nodes, self.sets)
+
+    def survivors(self) -> DataFrame:
+        """Nodes of which enough n-grams are in other sets, too."""
+        fragments = self.grams // FRAGMENT + 1
+        asks = self.docs.mapInArrow(_asks(fragments, self.shingle, frozenset(self.clash)), _ASKS)
+        answers = asks.repartition(fragments, "to").sortWithinPartitions("to").mapInArrow(_answers, _ASKS)
+        return answers.repartition("batch").sortWithinPartitions("batch").mapInArrow(_enough(self.percent), "node long").distinct()
+
+    def kept(self) -> DataFrame:
+        """The sets of the survivors, from a text of each."""
+        nodes = save(self.survivors(), "survivors")
+        found = nodes.join(self.nodes, "node")
+        ids = save(found.select(F.coalesce("id", F.lit(-(2**63))).alias("id")).distinct(), "ids")
         few = ids.count() <= BROADCAST_IDS
         docs = self.docs.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
-        out = docs.mapInArrow(run, schema)
-        return out.dropDuplicates(key) if self.repeated else out
-
-    def parts(self, nodes: DataFrame) -> DataFrame:
-        return self.texts(nodes, _parts(self.shingle), "node long, size long, part int, grams array<long>", ["node", "part"])
+        out = docs.mapInArrow(_kept(self.bands, self.shingle, frozenset(self.clash)), _SETS)
+        if self.rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():  # a repeated id brings other texts along
+            out = out.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+        out = save(out, "kept")
+        discard(nodes, ids)
+        return out
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) with their Jaccard distance d, sizes na and nb, and whether they link."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        parts = save(self.parts(nodes), "parts")
-        left = parts.select(F.col("node").alias("b"), "part", F.col("size").alias("nb"), F.col("grams").alias("grams_b"))
-        right = parts.select(F.col("node").alias("a"), "part", F.col("size").alias("na"), F.col("grams").alias("grams_a"))
-        both = pairs.join(left, "b").join(right, ["a", "part"])
-        partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("common"))
+        """The pairs (a, b) that link: overlaps of their parts are counted fragment by fragment and summed."""
+        b = self.sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("parts").alias("pb"))
+        a = self.sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.posexplode("parts").alias("part", "ga"))
+        both = pairs.join(b, "b").select("a", "b", "nb", F.posexplode("pb").alias("part", "gb")).where(F.size("gb") > 0).join(a, ["a", "part"])
+        partial = save(both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common")).where("common > 0"), "partial")
         total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-        union = F.col("na") + F.col("nb") - F.col("common")
-        out = save(total.select("a", "b", "na", "nb", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= self.percent * union).alias("link")), "verified")
-        discard(parts)
+        out = save(total.where((100 + self.percent) * F.col("common") >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+        discard(partial)
         return out
 
-    def star(self, entries: DataFrame, known: bool):
-        """Compares the members of each bucket of several components with its leader.
+    def small(self, unlike, a, b):
+        """Sets of a and b n-grams that differ in ``unlike`` may reach the threshold."""
+        return (100 + self.percent) * unlike <= (100 - self.percent) * (a + b)
+
+    def unlike(self):
+        """A lower bound of the number of n-grams in which two rows a and b (sizes sa, sb; sketches wa, wb) differ."""
+        flips = reduce(add, [F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(SKETCH)])  # compiled, without an object a word
+        return F.greatest(flips.cast("long"), F.abs(F.col("sa") - F.col("sb")))
 
-        Entries are (key, node, comp), or (key, node, comp, own) if ``known``:
-        then the member with the fewest n-grams of its own leads and pairs within
-        a component are left out.  Else the smallest node leads, and the distance
-        of each member to it will be known.  Returns members (key, leader, node)
-        and the new comparisons, or None if there are none.
+    def star(self, entries: DataFrame) -> DataFrame | None:
+        """Compares the members of each bucket of several components with its leader, which is then done.
+
+        Entries are (key, node) and, if known, own: the member with the fewest
+        n-grams of its own leads, else the smallest.  Returns (key, node, near) of
+        buckets that still have several components; near: 2 linked to the leader, 1
+        perhaps within ``far`` of it, 0 surely not.
         """
-        first = F.min(F.struct("own", "node"))["node"] if known else F.min("node")
-        stats = entries.groupBy("key").agg(first.alias("leader"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-        stats = save(stats.where("c1 < c2").select("key", "leader"), "leaders")
-        members = save(entries.select("key", "node").join(stats, "key").distinct(), "members")
-        pairs = members.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if known:
-            pairs = self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-        if self.seen is not None:
-            pairs = pairs.join(self.seen.select("a", "b"), ["a", "b"], "left_anti")
+        entries = self.labelled(entries)
+        first = F.min(F.struct("own", "node"))["node"] if "own" in entries.columns else F.min("node")
+        stats = entries.groupBy("key").agg(first.alias("leader"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key", "leader")
+        members = save(entries.select("key", "node").join(stats, "key").where("node <> leader"), "members")
+        side = lambda s: self.sets.select(F.col("node").alias(s), F.col("size").alias("s" + s), F.col("words").alias("w" + s))
+        pairs = members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(side("b"), "b").join(side("a"), "a")
+        unlike = self.unlike()
+        pairs = pairs.select("a", "b", (2 * unlike / (F.col("sa") + F.col("sb") + unlike) <= self.far).alias("close"), self.small(unlike, F.col("sa"), F.col("sb")).alias("maybe"))
         pairs = save(pairs, "pairs")
-        discard(stats)
-        return members, self.verify(pairs) if pairs.limit(1).count() else None
+        if not pairs.limit(1).count():
+            return None
+        maybe = pairs.where("maybe").select("a", "b")
+        cross = self.labelled(self.labelled(maybe, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+        if self.seen is not None:
+            cross = cross.join(self.seen, ["a", "b"], "left_anti").join(self.seen.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        links = self.verify(cross)
+        known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        self.seen = known if self.seen is None else self.seen.unionByName(known)
+        self.add(links)
+        near = pairs.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+        near = near.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.when(F.col("linked"), 2).when(F.col("close"), 1).otherwise(0).alias("near"))
+        out = save(members.join(near, ["leader", "node"]).select("key", "node", "near"), "stars")
+        discard(members)
+        return out
+
+    def active(self, stars: DataFrame) -> DataFrame:
+        """Rows (key, node, comp, near) that may still find a link in their bucket; ``rest`` counts those not linked to its leader."""
+        rows = self.labelled(stars)
+        stats = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.sum(F.when(F.col("near") == 1, 1).otherwise(0)).alias("some"), F.sum(F.when(F.col("near") < 2, 1).otherwise(0)).alias("rest"))
+        stats = stats.where("c1 < c2 and (some > 0 or rest > 1)").select("key", "some", "rest")
+        return rows.join(stats, "key").where("near < 2 or some > 0").select("key", "node", "comp", "near", "rest")
+
+    def pruned(self, rows: DataFrame) -> DataFrame:
+        """Adds ``own``, a set's n-grams that no set of another component in ``rows`` has, and drops rows that have too many.
+
+        Sets that can still link share a bucket, so both are in ``rows``.
+        """
+        rows = save(rows, "active")
+        nodes = rows.select("node", "comp").distinct()
+        grams = self.sets.select("node", "size", F.explode(F.flatten("parts")).alias("gram")).join(nodes, "node")
+        shared = grams.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("gram")
+        counts = save(grams.join(shared, "gram", "left_semi").select("node", "size"), "shared")
+        counts = counts.groupBy("node", "size").agg(F.count("*").alias("n")).select("node", "size", (F.col("size") - F.col("n")).alias("own"))
+        counts = counts.where(100 * (F.col("size") - F.col("own")) >= self.percent * F.col("size"))
+        out = save(rows.join(counts, "node"), "pruned")
+        discard(rows)
+        return out
+
+    def compared(self, rows: DataFrame) -> None:
+        """Pairs of different components within a bucket, but those that sizes, own n-grams, sketches or the leader rule out."""
+        rows = rows.where(f"near > 0 or rest <= {SMALL}").join(self.sets.select("node", "words"), "node")
+        side = lambda c: rows.select("key", F.col("node").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "near", "size", "own", "words")])
+        both = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("na") - F.col("nb")) < 2))
+        size = F.col("sa"), F.col("sb")
+        both = both.where(self.small(F.col("oa") + F.col("ob"), *size) & self.small(self.unlike(), *size))
+        pairs = both.select("a", "b").distinct().join(self.seen, ["a", "b"], "left_anti")
+        pairs = save(pairs, "rest")
+        if pairs.limit(1).count():
+            self.seen = self.seen.unionByName(pairs)
+            self.add(self.verify(pairs))
 
     def run(self) -> DataFrame | None:
         """(node, comp) of all nodes that are linked to another one, or None."""
-        reach = 1 - self.percent / 100
-        entries = self.rows.select(F.explode("sigs").alias("key"), "node").withColumn("comp", F.col("node"))
-        for level in range(LEVELS + 1):
-            members, got = self.star(entries, False)
-            self.add(got)
-            if self.seen is None:
-                break
-            # what may still link to another component of its bucket, with its distance to the leader, which is done
-            a, b = F.least("leader", "node"), F.greatest("leader", "node")
-            far = members.where("node <> leader").withColumns({"a": a, "b": b}).join(self.seen.select("a", "b", "d", "na", "nb"), ["a", "b"])
-            far = far.select("key", "node", "d", F.when(F.col("node") == F.col("a"), F.col("na")).otherwise(F.col("nb")).alias("size"))
-            far = save(self.active(self.labelled(far)), "far")
-            discard(members)
-            grams = None
-            for order in range(STARS):
-                if not far.limit(1).count():
-                    break
-                if order:  # the least edited of the others lead once more
-                    members, got = self.star(far.select("key", "node", "comp", "own"), True)
-                    self.add(got)
-                    done = members.where("node = leader").select("key", "node")
-                    far = save(self.active(self.labelled(far.select("key", "node", "d", "size").join(done, ["key", "node"], "left_anti"))), "far")
-                far, grams = self.pruned(far, grams)
-            if not far.limit(1).count():
-                break
-            # near the leader: all pairs of different components that the triangle inequality leaves
-            n = far.where(F.col("d") > FAR - reach).groupBy("key").agg(F.count("*").alias("n"))
-            far = save(far.join(n, "key", "left"), "far")
-            small = far if level == LEVELS else far.where((F.col("d") <= FAR) | (F.col("n") <= SMALL))
-            small = small.join(self.sketches(small, grams), "node")
-            side = lambda c: small.select("key", F.col("node").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "d", "size", "own", "words")])
-            rest = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= reach + 1e-9) & self.alike())
-            rest = save(rest.select("a", "b").distinct().join(self.seen.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-            if rest.limit(1).count():
-                self.add(self.verify(rest))
-            # far from it, in large buckets: another order of n-grams
-            large = far.where((F.col("d") > FAR - reach) & (F.col("n") > SMALL)).select("key", "node")
-            if level == LEVELS or not large.limit(1).count():
-                break
-            sigs = self.texts(large.select("node").distinct(), _again(self.bands, level + 1, self.shingle), "node long, sigs array<long>", ["node"])
-            entries = large.join(sigs, "node").select("node", "key", F.explode("sigs").alias("sig"))
-            entries = save(self.labelled(entries.select(F.xxhash64("key", "sig").alias("key"), "node")), "entries")
-        return self.comp
-
-    def enough(self, common, a, b):
-        """An overlap of ``common`` reaches the threshold for sets of a and b n-grams."""
-        return (100 + self.percent) * common >= self.percent * (a + b)
-
-    def pruned(self, far: DataFrame, grams: DataFrame | None):
-        """Rows (key, node, comp, d, size, own) that may still link to another component of their bucket, and their n-grams.
-
-        ``own`` counts n-grams that no set of another component in ``far`` has:
-        sets that can still link share a bucket, so both are in ``far``.  The
-        other n-grams (node, gram) are returned; no later call needs more, as
-        sets only drop out and components only grow.
-        """
-        comps = far.select("node", "comp").distinct()
-        if grams is None:
-            grams = save(self.parts(comps.select("node")).join(comps.select("node"), "node", "left_semi").select("node", F.explode("grams").alias("gram")), "grams")
-        g = grams.join(comps, "node")
-        shared = g.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("gram")
-        kept = save(g.join(shared, "gram").select("node", "gram"), "grams")
-        discard(grams)
-        out = far.join(kept.groupBy("node").agg(F.count("*").alias("shared")), "node").withColumn("own", F.col("size") - F.col("shared")).drop("shared")
-        least = out.groupBy("key").agg(F.min("size").alias("least"))
-        out = out.join(least, "key").where(self.enough(F.col("size") - F.col("own"), F.col("size"), F.col("least"))).drop("least")
-        return save(self.active(out), "far"), kept
-
-    def sketches(self, far: DataFrame, grams: DataFrame) -> DataFrame:
-        """(node, words): a parity sketch of the n-grams of each node that are not its own; an n-gram flips one bit."""
-        bits = grams.join(far.select("node").distinct(), "node", "left_semi")
-        bits = bits.select("node", F.expr(f"shiftrightunsigned(gram, 6) & {SKETCH - 1}").cast("int").alias("word"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit"))
-        words = bits.groupBy("node", "word").agg(F.bit_xor("bit").alias("bits"))
-        sketch = words.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of"))  # SKETCH entries at most
-        dense = F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda i: F.coalesce(F.col("of")[i], F.lit(0)))
-        return save(sketch.select("node", dense.alias("words")), "sketches")
-
-    def alike(self):
-        """Two rows a and b of a bucket may reach the threshold, by lower bounds of their symmetric difference.
-
-        These are the n-grams that each has of its own, and with them the bits in which the sketches differ.
-        """
-        small = lambda unlike: (100 + self.percent) * unlike <= (100 - self.percent) * (F.col("sa") + F.col("sb"))
-        own = F.col("oa") + F.col("ob")
-        flips = reduce(add, [F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(SKETCH)])  # compiled, without an object a word
-        return small(own) & self.enough(F.least(F.col("sa") - F.col("oa"), F.col("sb") - F.col("ob")), F.col("sa"), F.col("sb")) & small(own + flips)
+        if self.distinct < 2:
+            return None
+        self.sets = self.kept()
+        entries, level = self.sets.select(F.explode("sigs").alias("key"), "node"), 0
+        while True:
+            for _ in range(STARS):
+                stars = self.star(entries)
+                if stars is None:
+                    return self.comp
+                rows = self.pruned(self.active(stars))
+                discard(stars)
+                entries = rows.select("key", "node", "own")
+            rows = save(self.active(rows.drop("comp", "rest", "size", "own")).join(rows.select("key", "node", "size", "own"), ["key", "node"]), "rest")
+            if not rows.limit(1).count():
+                return self.comp
+            self.compared(rows)
+            large = rows.where(f"near < 2 and rest > {SMALL}").select("key", "node")
+            if not large.limit(1).count():
+                return self.comp
+            level += 1
+            sigs = self.sets.join(large.select("node").distinct(), "node", "left_semi").select("node", "parts").mapInArrow(_again(self.bands, level), "node long, sigs array<long>")
+            entries = save(large.join(sigs, "node").select("node", "key", F.explode("sigs").alias("sig")).select(F.xxhash64("key", "sig").alias("key"), "node"), "entries")
 
     def labelled(self, df: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
         if self.comp is None:
@@ -333,25 +488,9 @@ class _Join:
         comp = self.comp.select(F.col("node").alias(node), F.col("comp").alias(name))
         return df.join(comp, node, "left").withColumn(name, F.coalesce(name, node))
 
-    def active(self, df: DataFrame) -> DataFrame:
-        """Rows with a set of another component in their bucket whose distance to the leader is like theirs.
-
-        Distances are put into cells of the largest distance of a link, so only
-        the same cell and its neighbours count.
-        """
-        width = 1 - self.percent / 100 + 1e-9
-        cell = F.floor(F.col("d") / width)
-        cells = df.groupBy("key", cell.alias("cell")).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-        near = cells.select("key", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), "c1", "c2")
-        near = near.groupBy("key", "cell").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).where("c1 < c2").select("key", "cell")
-        return df.withColumn("cell", cell).join(near, ["key", "cell"], "left_semi").drop("cell")
-
-    def add(self, got: DataFrame | None) -> None:
-        """Takes in comparisons; their links join components, so only a graph of components is contracted."""
-        if got is None:
-            return
-        self.seen = got if self.seen is None else self.seen.unionByName(got)
-        links = self.labelled(self.labelled(got.where("link").select("a", "b"), "a", "ca"), "b", "cb")
+    def add(self, found: DataFrame) -> None:
+        """Takes in links, which join components, so only a graph of components is contracted."""
+        links = self.labelled(self.labelled(found, "a", "ca"), "b", "cb")
         new = components(links.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         if self.comp is None:
             self.comp = new
@@ -396,12 +535,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     """doc_id, n_shingles and component_id of each row, by shingles of ``shingle`` words and similarity of ``percent`` at least."""
     join = _Join(docs, percent, shingle)
     comp = join.run()
-    rows = join.rows.select("doc_id", F.col("n").alias("n_shingles"), "node")
+    names = join.nodes.select("node", "id", "copies")
     if comp is not None:
-        rows = rows.join(comp, "node", "left").withColumn("node", F.coalesce("comp", "node"))
-    names = save(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("component_id")), "names")
-    out = rows.join(names, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        linked = save(names.join(comp, "node"), "linked")
+        least = linked.groupBy("comp").agg(F.min("id").alias("name"))
+        names = linked.join(least, "comp").select("node", F.col("name").alias("id"), "copies").unionByName(names.join(comp, "node", "left_anti").where("copies > 1"))
+    else:
+        names = names.where("copies > 1")
+    names = save(names.select("node", F.col("id").alias("component_id"), "copies", F.lit(True).alias("named")), "names")
+    # most sets have one row and no link, so their row names itself; a set with very many rows is not joined by its key
+    many = (join.count or 0) / HOT
+    hot = F.broadcast(names.where(F.col("copies") > many).select("node", "component_id"))  # fewer than HOT rows
+    rows = join.rows.select("doc_id", F.col("n").alias("n_shingles"), "node")
+    one = rows.join(hot, "node")
+    other = rows.join(hot, "node", "left_anti").join(names.where(F.col("copies") <= many).drop("copies"), "node", "left")
+    own = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return one.select("doc_id", "n_shingles", "component_id").unionByName(other.select("doc_id", "n_shingles", own.alias("component_id")))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
