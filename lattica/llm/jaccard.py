@@ -64,9 +64,9 @@ from lattica.llm._store import discard, save
 SHINGLE = 3
 PERCENT = 90
 PARTS = 16
-SMALL = 32
+SMALL = 512  # sets of a bucket far from its leader up to which they are compared with the others
 STARS = 1  # leaders of a bucket before its rest is compared
-SKETCH = 32  # words of a parity sketch, a power of two
+SKETCH = 16  # words of a parity sketch, a power of two; with more, the compiled comparison is too long for the JVM's own compiler
 ROWS_A_FILE = 100_000  # of the tables of links, whose size is known before they are written
 FAR = 0.6  # Jaccard distance to the leader from which a set counts as unrelated to it
 BAND = 1.5
@@ -422,11 +422,11 @@ class _Join:
         return out
 
     def active(self, stars: DataFrame) -> DataFrame:
-        """Rows (key, node, comp, near) that may still find a link in their bucket; ``rest`` counts those not linked to its leader."""
+        """Rows (key, node, comp, near) that may still find a link in their bucket; ``apart`` counts those far from its leader."""
         rows = self.labelled(stars)
-        stats = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.sum(F.when(F.col("near") == 1, 1).otherwise(0)).alias("some"), F.sum(F.when(F.col("near") < 2, 1).otherwise(0)).alias("rest"))
-        stats = stats.where("c1 < c2 and (some > 0 or rest > 1)").select("key", "some", "rest")
-        return rows.join(stats, "key").where("near < 2 or some > 0").select("key", "node", "comp", "near", "rest")
+        stats = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.sum(F.when(F.col("near") == 1, 1).otherwise(0)).alias("some"), F.sum(F.when(F.col("near") == 0, 1).otherwise(0)).alias("apart"))
+        stats = stats.where("c1 < c2 and (some > 0 or apart > 1)").select("key", "some", "apart")
+        return rows.join(stats, "key").where("near < 2 or some > 0").select("key", "node", "comp", "near", "apart")
 
     def pruned(self, rows: DataFrame) -> DataFrame:
         """Adds ``own``, a set's n-grams that no set of another component in ``rows`` has, and drops rows that have too many.
@@ -446,7 +446,7 @@ class _Join:
 
     def compared(self, rows: DataFrame) -> None:
         """Pairs of different components within a bucket, but those that sizes, own n-grams, sketches or the leader rule out."""
-        rows = rows.where(f"near > 0 or rest <= {SMALL}").join(self.sets.select("node", "words"), "node")
+        rows = rows.where(f"near > 0 or apart <= {SMALL}").join(self.sets.select("node", "words"), "node")
         side = lambda c: rows.select("key", F.col("node").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "near", "size", "own", "words")])
         both = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("na") - F.col("nb")) < 2))
         size = F.col("sa"), F.col("sb")
@@ -471,11 +471,11 @@ class _Join:
                 rows = self.pruned(self.active(stars))
                 discard(stars)
                 entries = rows.select("key", "node", "own")
-            rows = save(self.active(rows.drop("comp", "rest", "size", "own")).join(rows.select("key", "node", "size", "own"), ["key", "node"]), "rest")
+            rows = save(self.active(rows.drop("comp", "apart", "size", "own")).join(rows.select("key", "node", "size", "own"), ["key", "node"]), "rest")
             if not rows.limit(1).count():
                 return self.comp
             self.compared(rows)
-            large = rows.where(f"near < 2 and rest > {SMALL}").select("key", "node")
+            large = rows.where(f"near < 2 and apart > {SMALL}").select("key", "node")
             if not large.limit(1).count():
                 return self.comp
             level += 1
