@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,17 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, max_rows: int,
     found = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     # one text for each doc_id, however often it is repeated
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
+def learned(sample: DataFrame, learn):
+    """What ``learn`` makes of a bounded sample (an Arrow table, or None without rows), in one task of an executor.
+
+    Only the result comes to the driver; a lost executor costs the task.
+    """
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(pa.Table.from_batches(got) if got else None))], pa.binary())], names=["model"])
+
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row[0]) if row else learn(None)

@@ -22,6 +22,8 @@ read, so other columns may have any name.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import _text as T
 from lattica.llm._ftrl import FTRL
-from lattica.llm._io import fold, table
+from lattica.llm._io import fold, learned, table
 
 DIMS = 1 << 16
 MAX_N = 3
@@ -44,7 +46,7 @@ def _classes() -> np.ndarray:
     out = np.arange(0x10000, dtype=np.uint32)
     for c in range(0x10000):
         ch = chr(c)
-        if not ch.isalnum():
+        if not ch.isalnum() and unicodedata.category(ch)[0] != "M":
             out[c] = 32
     out[65:91] += 32
     return out
@@ -169,21 +171,25 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS, alpha:
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id is not null and lang is not null and text is not null")
     ids = sampled_ids(sample.select("doc_id", "lang"), max_rows)  # max_rows a language at most
     drawn = sample.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
-    got = drawn.mapInArrow(_counts, "doc_id long, lang string, at binary, n binary").toArrow()
-    lang = got.column("lang").to_pylist()
-    names = sorted(set(lang))
-    if not names:
-        return LanguageModel([], np.zeros((0, DIMS), np.float32), np.zeros(0), 1.0)
-    y = np.array([names.index(x) for x in lang])
-    order = np.argsort(T.mix(np.asarray(got.column("doc_id").to_pylist(), np.uint64)), kind="stable")
-    at_, n_ = got.column("at").combine_chunks(), got.column("n").combine_chunks()
-    at = [np.frombuffer(x.as_buffer(), "<i4") for x in at_]
-    tf = [np.frombuffer(x.as_buffer(), "<i4") for x in n_]
     df, texts = document_frequencies(sample.select("doc_id", "text"))
     idf = np.log((1 + texts) / (1 + df)) + 1
+    settings = {"alpha": alpha, "l1": l1, "l2": l2}
+    return learned(drawn.mapInArrow(_counts, "doc_id long, lang string, at binary, n binary"), lambda rows: _learn(rows, idf, epochs, settings))
+
+
+def _learn(rows, idf, epochs, settings) -> LanguageModel:
+    """The model of an Arrow table (doc_id, lang, at, n), or of None."""
+    if rows is None:
+        return LanguageModel([], np.zeros((0, DIMS), np.float32), np.zeros(0), 1.0)
+    lang = rows.column("lang").to_pylist()
+    names = sorted(set(lang))
+    y = np.array([names.index(x) for x in lang])
+    order = np.argsort(T.mix(np.asarray(rows.column("doc_id").to_pylist(), np.uint64)), kind="stable")
+    at = [np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("at").combine_chunks()]
+    tf = [np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("n").combine_chunks()]
     value = lambda i: _SCALE * tf[i] * idf[at[i]] / max(1, tf[i].sum())
     kept = order[4::5]
-    m = FTRL(DIMS, max(2, len(names)), alpha=alpha, l1=l1, l2=l2)
+    m = FTRL(DIMS, max(2, len(names)), **settings)
     for _ in range(epochs):
         for i in np.setdiff1d(order, kept, assume_unique=True):
             if len(at[i]):

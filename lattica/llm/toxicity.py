@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import _text as T
 from lattica.llm._ftrl import FTRL, platt, sigmoid
-from lattica.llm._io import fold, labelled, table
+from lattica.llm._io import fold, labelled, learned, table
 
 DIMS = 1 << 20
 MAX_ROWS = 12_000
@@ -83,50 +83,56 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, epochs: int = EPOCHS, **params) -> ToxicityModel:
-    """Learn from labelled rows (both frames as given; the caller leaves out what must not be learned from)."""
+    """Learn from labelled rows (both frames as given; the caller leaves out what must not be learned from).
+
+    One task holds the sample: 12 bytes for each word of ``max_rows`` texts.
+    """
     sample = labelled(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, label, max_rows)
-    got = sample.mapInArrow(_vectors, "doc_id long, label int, at binary").toArrow()
-    y = np.asarray(got.column("label").to_pylist(), np.int64)
+    settings = {"alpha": 1.0, "beta": 1.0, "l1": 3.0, "l2": 0.0} | params
+    return learned(sample.mapInArrow(_vectors, "doc_id long, label int, at binary"), lambda rows: _learn(rows, epochs, settings))
+
+
+def _learn(rows, epochs, settings) -> ToxicityModel:
+    """The model of an Arrow table (doc_id, label, at), or of None."""
+    y = np.asarray(rows.column("label").to_pylist() if rows else [], np.int64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 1.0, 0.0, float(y.mean()) if len(y) else 0.0)
-    ids = np.asarray(got.column("doc_id").to_pylist(), np.uint64)
+    ids = np.asarray(rows.column("doc_id").to_pylist(), np.uint64)
     order = np.argsort(T.mix(ids), kind="stable")  # the same order however rows were partitioned
-    at = got.column("at").combine_chunks()
+    at = rows.column("at").combine_chunks()
     vec = lambda i: np.frombuffer(at[i].as_buffer(), "<i4")
 
-    def learn(rows):
-        m = FTRL(DIMS, **({"alpha": 1.0, "beta": 1.0, "l1": 3.0, "l2": 0.0} | params))
+    def weights(numbers):
+        m = FTRL(DIMS, **settings)
         for _ in range(epochs):
-            for i in rows:
+            for i in numbers:
                 m.update(vec(i), 1.0, int(y[i]))
-        return m
+        return m.weights()[0], float(m.bias()[0])
 
     # each half is scored by the weights of the other one, for the calibration
     raw = np.zeros(len(y))
     halves = (order[::2], order[1::2])
     for own, other in (halves, halves[::-1]):
-        m = learn(own)
-        w, b = m.weights()[0], m.bias()[0]
+        w, b = weights(own)
         raw[other] = [w[vec(i)].sum() + b for i in other]
     a, b = platt(raw, y)
-    m = learn(order)
-    w = m.weights()[0]
-    at_ = np.flatnonzero(w)
-    return ToxicityModel(at_, w[at_].astype(np.float32), float(m.bias()[0]), max(a, 1e-6), b)
+    w, bias = weights(order)
+    found = np.flatnonzero(w)
+    return ToxicityModel(found, w[found].astype(np.float32), bias, max(a, 1e-6), b)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep=("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` and ``score`` for each row."""
+def score(docs: DataFrame, model: ToxicityModel, keep=("doc_id",), name: str = "score") -> DataFrame:
+    """The columns of ``keep`` and the score, called ``name``, for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most DIMS weights
     keep = list(keep)
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches):
         m = shared.value
         dense = m.dense()
         for part, data, off in T.text_blocks(batches):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(m.scores(data, off, dense), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(m.scores(data, off, dense), pa.float64())], names=[*keep, name])
 
     return rows.mapInArrow(run, schema)
 
