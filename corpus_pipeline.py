@@ -6,7 +6,9 @@ in the folder that the cluster shares, and reads it as the next stage's input.
 
 Defined results: every stage gives a row at most for each row it gets; a null
 text is never toxic or contaminated and has no personal data; rows without words
-stay in stage two, as do rows with a null doc_id whose component has no name.
+stay in stage two; a row with a null doc_id is known by its text there, so of
+its copies one stays, and none if a copy has an id.  Other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -17,17 +19,26 @@ from pyspark.sql import functions as F
 from lattica.llm import decontaminate, jaccard, mixing, pii, toxicity
 from lattica.llm._io import table
 from lattica.llm._store import save
-
+from lattica.shipping import ship
 
 COPY_WORDS = 5  # words of a shingle of the near-copy stage; op3's own query keeps its contract of 3 words and 90 percent
 COPY_PERCENT = 80
 
 
+def _fresh(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a toxicity score below the threshold; learned from all labels but those of the held-out fold."""
+    ship(spark)
     labels = table(spark, sf_dir, "labels").where(toxicity.fold("doc_id", 4) != 2)
-    model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model, keep=docs.columns).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    model, name = toxicity.fit(docs, labels), _fresh("score", docs)
+    return toxicity.score(docs, model, keep=docs.columns, name=name).where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,20 +47,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Near copies share COPY_PERCENT of their distinct shingles of COPY_WORDS words.
 
     Rows that share a doc_id are one document, of which the smallest text stays.
+    A row with words but no doc_id gets a large number made of its text's hash.
     """
-    found = jaccard.jaccard_components(docs, COPY_PERCENT, COPY_WORDS)
+    ship(spark)
+    key = _fresh("key", docs)
+    stand_in = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    found = jaccard.jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), COPY_PERCENT, COPY_WORDS)
     ids = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    ids = save(ids.where("doc_id is not null and (component_id <> doc_id or n > 1)"), "extra")
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    again = ids.where("component_id = doc_id").select("doc_id")  # repeated ids that stay
+    ids = save(ids.where("doc_id is not null and (component_id <> doc_id or n > 1)").select(F.col("doc_id").alias(key), "component_id"), "extra")
+    kept = keyed.join(ids.select(key), key, "left_anti").select(*docs.columns)
+    again = ids.where(F.col("component_id") == F.col(key)).select(key)  # repeated ids that stay
     if not again.limit(1).count():
         return kept
-    first = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row"))
+    row = F.struct("text", *[c for c in docs.columns if c != "text"])
+    first = keyed.join(again, key, "left_semi").groupBy(key).agg(F.min(row).alias("row"))
     return kept.unionByName(first.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without any benchmark window."""
+    ship(spark)
     return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
