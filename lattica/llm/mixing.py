@@ -4,8 +4,8 @@
    probabilities over domains.  The domains are the distinct values of
    ``domain`` (here: the pair of labels) among labelled rows.  It is a naive
    Bayes model over features that are cut into a few bins: the length, shares of
-   marks, and for each domain how many of its typical words occur.  A document
-   is then described by one integer, its code.
+   the marks that differ most between domains, and for each domain how many of
+   its typical words occur.  A document is then described by one integer, its code.
 2. Target totals of tokens are set for each domain.
 3. Distributed projected-gradient least squares finds a rate r >= 0 for each
    document with sum over documents of r * tokens * P(domain | document) equal
@@ -14,13 +14,14 @@
    one rate, so the iteration runs over (code, tokens) sums: exact, and bounded
    by the number of codes instead of that of documents.
 
-Typical words are learned from at most ``max_rows`` labelled documents (smallest
-hash of doc_id); the bins' counts from all labelled documents; tokens, totals
-and rates from all documents.
+Typical words and marks are learned from at most ``max_rows`` labelled documents
+(smallest hash of doc_id); the bins' counts from all labelled documents; tokens,
+totals and rates from all documents.
 
 Defined results: a null or empty text has no token and gets the rate of its
 code; without labels there is one domain, named ``all``; labels that are null or
-of a null doc_id are not used; of several labels of a doc_id the largest pair
+of a null doc_id are not used; labels may have any values, but over MAX_DOMAINS
+pairs of them are an error; of several labels of a doc_id the largest pair
 counts; repeated documents count and are returned as often as they occur; a
 domain with a target but no probability mass stays short of it.  Empty tables
 give empty results.  Only doc_id, text and the labels are read, so other columns
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,10 @@ from lattica.llm._store import save
 
 MAX_ROWS = 4_000
 TYPICAL = 48
-MARKS = ("|", "!", "%", "$", "\n")
+MARKS = 5
+MAX_DOMAINS = 16
 ITERATIONS = 60
+RUNS = (1, 4, 16, 64, 256, 1024, 4096)  # plain steps that are tried at once
 TOLERANCE = 1e-9
 TEMPERATURE = 0.5
 
@@ -74,16 +78,29 @@ def typical_words(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     return out
 
 
+def typical_marks(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, top: int = MARKS) -> list[str]:
+    """The ASCII marks (and line feeds) whose mean share of a text differs most between domains, by its spread over its mean."""
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()] + ["\n"]
+    text = F.coalesce("text", F.lit(""))
+    share = lambda m: (F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))) / F.greatest(F.length(text), F.lit(1))
+    rows = labelled(docs, labels, "domain_no", max_rows).groupBy("label").agg(*[F.avg(share(m)).alias(f"m{i}") for i, m in enumerate(marks)]).collect()  # a row for each domain
+    if len(rows) < 2:
+        return []
+    means = np.array([[r[f"m{i}"] for i in range(len(marks))] for r in rows])
+    spread = means.std(0) / (means.mean(0) + 1e-4)
+    return [marks[i] for i in np.argsort(-spread, kind="stable")[:top]]
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def coded(docs: DataFrame, words: dict) -> tuple[DataFrame, list[int]]:
+def coded(docs: DataFrame, words: dict, marks: list[str]) -> tuple[DataFrame, list[int]]:
     """Adds n_tokens and _code; also returns the number of bins of each feature (first: lowest digit of the code)."""
     text = F.coalesce("text", F.lit(""))
     out = docs.withColumn("_words", _tokens(F.translate(text, _UPPER, _LOWER))).withColumn("n_tokens", F.size("_words").cast("long"))
     length = F.greatest(F.length(text), F.lit(1))
     features = [(_bin(F.col("n_tokens"), (20, 100, 500, 2000)), 5)]
-    for m in MARKS:
+    for m in marks:
         features.append((_bin((F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))) / length, (1e-9, 0.01)), 3))
     for k in sorted(words):
         if words[k]:
@@ -125,82 +142,62 @@ def posteriors(codes: DataFrame, labelled_codes: DataFrame, bins: list[int], dom
 def fit_rates(groups: DataFrame, targets: list[float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """Adds ``rate`` to groups (tokens, p): projected gradient on 1/2 * sum((totals - targets)**2).
 
-    A step is r := max(0, r - p . v) with v the gradient of the domain totals.
-    It is scaled by the inverse second moments of the groups that are free to
-    move (rate over zero, or about to rise), in full, a half, a quarter or an
-    eighth; if none of these lessens the error enough, the plain step of size
-    1 / (largest curvature) is taken, which always does.
+    A plain step is r := max(0, r - p . (totals - targets) / m), m the largest
+    present total, which bounds the curvature, so the error lessens for sure.
+    While no rate reaches zero, j plain steps are one move, known from the
+    curvature over the groups that are free to move; so runs of j = 1, 4, 16 ...
+    steps, each projected once, are the trials of a line search.  One aggregation
+    gives the totals after every trial, that curvature and the residual of the
+    optimality conditions.  Ends when targets are met, no group wants to move, or
+    no trial lessens the error.
     """
     k = len(targets)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     at = lambda i: F.element_at("p", i + 1)
     dot = lambda v: sum((at(i) * F.lit(float(v[i])) for i in range(k)), F.lit(0.0))
-    scale = sum(targets) or 1.0
-
-    def measure(state):
-        got = state.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("rate") * at(i)), F.lit(0.0)) for i in range(k)]).first()
-        error = [s - t for s, t in zip(got, targets, strict=True)]
-        return error, math.sqrt(sum(e * e for e in error)) / scale
-
-    def moments(state, error):
-        free = (F.col("rate") > 0) | (dot(error) < 0)
-        got = state.agg(*[F.coalesce(F.sum(F.when(free, F.col("tokens") * at(i) * at(j))), F.lit(0.0)) for i, j in pairs]).first()
-        m = [[0.0] * k for _ in range(k)]
-        for (i, j), v in zip(pairs, got, strict=True):
-            m[i][j] = m[j][i] = v
-        return m
-
-    def moved(state, moves):
-        if not moves:
-            return state
-        step = lambda r, v: F.greatest(F.lit(0.0), r - sum((at(i) * F.element_at(v, i + 1) for i in range(k)), F.lit(0.0)))
-        return state.withColumn("rate", F.aggregate(F.lit(moves), F.col("rate"), step))
-
-    state = groups.withColumn("rate", F.lit(1.0))
-    error, loss = measure(state)
-    step = 1.0 / _largest(moments(state, error))
-    moves: list[list[float]] = []
+    second = lambda free: [F.coalesce(F.sum(F.when(free, F.col("tokens") * at(i) * at(j))), F.lit(0.0)) for i in range(k) for j in range(k)]
+    mass = [F.coalesce(F.sum(F.col("tokens") * at(i)), F.lit(0.0)) for i in range(k)]
+    got = np.array(groups.agg(*mass, *second(F.lit(True)), F.coalesce(F.sum(F.col("tokens").cast("double")), F.lit(0.0))).first(), float)
+    present, target, largest, tokens = got[:k], np.array(targets, float), got[:k].max(), got[-1]
+    state, moves = groups.withColumn("rate", F.lit(1.0)), []
+    if not largest:
+        return state
+    error, curve = present - target, got[k:-1].reshape(k, k) / largest
     for _ in range(iterations):
-        if loss <= tolerance:
+        if np.linalg.norm(error) <= tolerance * (target.sum() or 1.0):
+            break
+        trials = [_run(error / largest, curve, j) for j in RUNS]
+        now = _moved(state, moves, k)
+        after = lambda v: F.greatest(F.lit(0.0), F.col("rate") - dot(v))
+        plain = after(trials[0])
+        sums = [F.sum(F.col("tokens") * at(i) * after(v)) for v in trials for i in range(k)]
+        sums += second((F.col("rate") > 0) | (dot(error) < 0))
+        got = np.array(now.agg(*sums, F.sum(F.col("tokens") * (F.col("rate") - plain) ** 2)).first(), float)
+        if math.sqrt(got[-1] / tokens) <= tolerance:
+            break
+        errors = got[: len(RUNS) * k].reshape(-1, k) - target
+        best = int(np.argmin((errors**2).sum(1)))
+        if not (errors[best] ** 2).sum() < (error**2).sum():
             break
-        newton = _solve(moments(moved(state, moves), error), error)
-        for v, need in [([f * x for x in newton], f / 4) for f in (1.0, 0.5, 0.25, 0.125)] + [([step * e for e in error], 1e-6)]:
-            e2, l2 = measure(moved(state, [*moves, v]))
-            if l2 <= loss * (1 - need):
-                break
-        else:
-            break  # no step lessens the error any more
-        moves.append([float(x) for x in v])
-        error, loss = e2, l2
+        moves.append([float(x) for x in trials[best]])
+        error, curve = errors[best], got[len(RUNS) * k : -1].reshape(k, k) / largest
         if len(moves) == 20:  # the state is written now and then, so that plans stay short
-            state, moves = save(moved(state, moves), "rates"), []
-    return moved(state, moves)
-
-
-def _largest(m):
-    """The largest eigenvalue by powers, and 1 % more."""
-    k = len(m)
-    v = [1.0] * k
-    for _ in range(200):
-        w = [sum(m[i][j] * v[j] for j in range(k)) for i in range(k)]
-        n = math.sqrt(sum(x * x for x in w)) or 1.0
-        v = [x / n for x in w]
-    return 1.01 * n if n else 1.0
-
-
-def _solve(m, t):
-    """(m + a little) x = t by elimination."""
-    k = len(t)
-    eps = 1e-9 * (sum(m[i][i] for i in range(k)) or 1.0)
-    a = [[*(m[i][j] + (eps if i == j else 0.0) for j in range(k)), float(t[i])] for i in range(k)]
-    for i in range(k):
-        p = max(range(i, k), key=lambda r: abs(a[r][i]))
-        a[i], a[p] = a[p], a[i]
-        for r in range(k):
-            if r != i and a[i][i]:
-                f = a[r][i] / a[i][i]
-                a[r] = [x - f * y for x, y in zip(a[r], a[i], strict=True)]
-    return [a[i][k] / a[i][i] if a[i][i] else 0.0 for i in range(k)]
+            state, moves = save(_moved(state, moves, k), "rates"), []
+    return _moved(state, moves, k)
+
+
+def _run(gradient, curve, j: int):
+    """The sum of j plain steps, if the gradient changes by ``curve`` with each of them."""
+    value, vector = np.linalg.eigh(curve)
+    times = np.where(value > 1e-12, (1 - (1 - np.clip(value, 0, 1)) ** j) / np.maximum(value, 1e-12), float(j))
+    return vector @ (times * (vector.T @ gradient)) if j > 1 else gradient
+
+
+def _moved(state: DataFrame, moves: list, k: int) -> DataFrame:
+    """The rates after steps along ``moves``."""
+    if not moves:
+        return state
+    step = lambda r, v: F.greatest(F.lit(0.0), r - sum((F.element_at("p", i + 1) * F.element_at(v, i + 1) for i in range(k)), F.lit(0.0)))
+    return state.withColumn("rate", F.aggregate(F.lit(moves), F.col("rate"), step))
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, label_cols=("quality", "toxic")) -> DataFrame:
@@ -212,11 +209,19 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None
     """
     a, b = label_cols
     known = labels.where(F.col("doc_id").isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
-    known = known.groupBy("doc_id").agg(F.max(F.col(a) * 2 + F.col(b)).cast("int").alias("domain_no"))
-    domains = sorted(r[0] for r in known.select("domain_no").distinct().collect()) or [0]  # at most four
-    names = [f"{a[0]}{d >> 1}{b[0]}{d & 1}" for d in domains] if len(domains) > 1 else ["all"]
+    known = known.groupBy("doc_id").agg(F.max(F.struct(F.col(a).alias("x"), F.col(b).alias("y"))).alias("pair"))
+    pairs = sorted(tuple(r) for r in known.select("pair.x", "pair.y").distinct().limit(MAX_DOMAINS + 1).collect())
+    if len(pairs) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} pairs of labels")
+    number = F.lit(0)
+    for i, (x, y) in enumerate(pairs):
+        number = F.when((F.col("pair.x") == F.lit(x)) & (F.col("pair.y") == F.lit(y)), i).otherwise(number)
+    known = known.select("doc_id", number.alias("domain_no"))
+    domains = list(range(len(pairs))) or [0]
+    names = [f"{a[0]}{x}{b[0]}{y}" for x, y in pairs] if len(domains) > 1 else ["all"]
     docs = docs.select("doc_id", "text")
-    rows, bins = coded(docs, typical_words(docs, known) if len(domains) > 1 else {})
+    several = len(domains) > 1
+    rows, bins = coded(docs, typical_words(docs, known) if several else {}, typical_marks(docs, known) if several else [])
     rows = save(rows.select("doc_id", "n_tokens", "_code"), "codes")
     groups = save(posteriors(rows.groupBy("_code").agg(F.sum("n_tokens").alias("tokens")), rows.join(known, "doc_id"), bins, domains), "groups")
     k = len(domains)
@@ -226,7 +231,8 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None
     rates = fit_rates(groups, targets)
     top = F.array_max("p")
     rates = rates.select("_code", F.element_at(F.lit(names), F.array_position("p", top).cast("int")).alias("domain"), top.alias("p_domain"), "rate")
-    return rows.join(save(rates, "rates"), "_code").select("doc_id", "n_tokens", "domain", "p_domain", "rate")
+    # a row for each code in use: 5 * 3**MARKS * 4**domains at most, some 10 MB with four domains
+    return rows.join(F.broadcast(save(rates, "rates")), "_code").select("doc_id", "n_tokens", "domain", "p_domain", "rate")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
