@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm._io import labelled, table
-from lattica.llm._store import save
+from lattica.llm._store import discard, save
 
 MAX_ROWS = 4_000
 TYPICAL = 48
@@ -60,14 +60,13 @@ def _bin(value, cuts):
     return out
 
 
-def typical_words(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, top: int = TYPICAL) -> dict[str, list[str]]:
-    """For each domain the words whose share of its documents most exceeds that of the others."""
-    rows = labelled(docs, labels, "domain_no", max_rows)
+def typical_words(rows: DataFrame, top: int = TYPICAL) -> dict[str, list[str]]:
+    """For each domain (label) of the sample ``rows`` the words whose share of its texts most exceeds that of the others."""
     words = rows.select("label", F.explode(F.array_distinct(_tokens(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)))).alias("word"))
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a row for each domain
     if len(n) < 2:
         return {k: [] for k in n}
-    per = words.groupBy("word").pivot("label", sorted(n)).count().na.fill(0)
+    per = save(words.groupBy("word").pivot("label", sorted(n)).count().na.fill(0), "words")
     out = {}
     total = sum(n.values())
     for k, nk in n.items():
@@ -75,15 +74,16 @@ def typical_words(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
         gain = F.log((own + 0.5) / (nk + 1)) - F.log((others + 0.5) / (total - nk + 1))
         best = per.where((own >= 3) & (gain > math.log(4.0))).orderBy((gain * own).desc(), "word").limit(top).select("word").collect()
         out[k] = [r["word"] for r in best]
+    discard(per)
     return out
 
 
-def typical_marks(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, top: int = MARKS) -> list[str]:
+def typical_marks(rows: DataFrame, top: int = MARKS) -> list[str]:
     """The ASCII marks (and line feeds) whose mean share of a text differs most between domains, by its spread over its mean."""
     marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()] + ["\n"]
     text = F.coalesce("text", F.lit(""))
     share = lambda m: (F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))) / F.greatest(F.length(text), F.lit(1))
-    rows = labelled(docs, labels, "domain_no", max_rows).groupBy("label").agg(*[F.avg(share(m)).alias(f"m{i}") for i, m in enumerate(marks)]).collect()  # a row for each domain
+    rows = rows.groupBy("label").agg(*[F.avg(share(m)).alias(f"m{i}") for i, m in enumerate(marks)]).collect()  # a row for each domain
     if len(rows) < 2:
         return []
     means = np.array([[r[f"m{i}"] for i in range(len(marks))] for r in rows])
@@ -200,7 +200,7 @@ def _moved(state: DataFrame, moves: list, k: int) -> DataFrame:
     return state.withColumn("rate", F.aggregate(F.lit(moves), F.col("rate"), step))
 
 
-def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, label_cols=("quality", "toxic")) -> DataFrame:
+def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, label_cols=("quality", "toxic"), max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), p_domain, rate of each row.
 
     weights: share of tokens wanted for each domain name such as ``q1t0``; by
@@ -220,8 +220,13 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None
     domains = list(range(len(pairs))) or [0]
     names = [f"{a[0]}{x}{b[0]}{y}" for x, y in pairs] if len(domains) > 1 else ["all"]
     docs = docs.select("doc_id", "text")
-    several = len(domains) > 1
-    rows, bins = coded(docs, typical_words(docs, known) if several else {}, typical_marks(docs, known) if several else [])
+    if len(domains) > 1:
+        sample = save(labelled(docs, known, "domain_no", max_rows), "sample")
+        words, marks = typical_words(sample), typical_marks(sample)
+        discard(sample)
+    else:
+        words, marks = {}, []
+    rows, bins = coded(docs, words, marks)
     rows = save(rows.select("doc_id", "n_tokens", "_code"), "codes")
     groups = save(posteriors(rows.groupBy("_code").agg(F.sum("n_tokens").alias("tokens")), rows.join(known, "doc_id"), bins, domains), "groups")
     k = len(domains)
