@@ -2,7 +2,8 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: one copy that
 every executor can read again after another one is lost.  The setting is read
-from the session; a folder of our own is only used where it is unset (tests).
+from the session; a folder of our own is only used where it is unset and driver
+and executors are one machine (local mode, as in tests).  Anywhere else that is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = f"{tempfile.gettempdir()}/lattica-shared"
     return base.rstrip("/")
 

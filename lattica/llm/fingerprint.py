@@ -19,7 +19,8 @@ Defined results: a null or empty text has no paragraph and the zero vector;
 two zero vectors are alike (1.0); texts without any word are alike only if
 equal.  Repeated rows are documents of their own.  Rows whose doc_id is null
 come before all others in the order of documents; ties in doc_id are ordered by
-the hash of their text.  An empty table gives an empty result.  Only doc_id and
+the hash of their text.  Rows of one doc_id and one text are in one task, however
+many there are.  An empty table gives an empty result.  Only doc_id and
 text are read, so other columns may have any name.
 """
 
@@ -37,6 +38,7 @@ from lattica.llm._io import table
 
 EQUAL_LANES = 4
 NEAR_LANES = 128
+PART_BYTES = 32 << 20  # of text that one task sorts and scans
 HEX = EQUAL_LANES * 16 + NEAR_LANES * 4
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -111,17 +113,23 @@ def likeness(ea, na, eb, nb) -> np.ndarray:
     return np.where(same, 1.0, np.where(s > 0, np.minimum(raw, 1 - 1e-9), 0.0))
 
 
-def _ordered(docs: DataFrame, partitions: int) -> DataFrame:
-    """Rows (part, head, doc_id, tie, text), each part in order of documents.
+def _ordered(docs: DataFrame, partitions: int | None) -> tuple[DataFrame, int]:
+    """Rows (part, head, doc_id, tie, text), each part in order of documents, and the number of parts.
 
     The parts follow each other in that order.  Each also gets, after its own
     rows, the first row of the next part (head = true), so that no row needs
-    another part.  Splits are quantiles of doc_id; a doc_id that fills several
-    of them is dealt out by the hash of its text.
+    another part.  Their number comes from the bytes of text.  Splits are quantiles
+    of doc_id; rows without one, and a doc_id that fills several parts, are dealt
+    out by the hash of their text.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
-    cuts = ids.select(F.percentile_approx("doc_id", [i / partitions for i in range(1, partitions)] or [0.5], 10000)).first()[0]
-    cuts = sorted(cuts or [])
+    size, rows_, known = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1)), F.count("doc_id")).first()
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    blank = -(-n * (rows_ - known) // rows_) if rows_ else 0  # parts of rows without an id
+    cuts = []
+    if known and n - blank > 1:
+        k = n - blank
+        cuts = sorted(ids.select(F.percentile_approx("doc_id", [i / k for i in range(1, k)], max(10_000, 4 * k))).first()[0])
     step = max(1, int(len(cuts) ** 0.5))
 
     def passed(test):
@@ -136,7 +144,8 @@ def _ordered(docs: DataFrame, partitions: int) -> DataFrame:
         low, high = passed(lambda c: c < F.col("doc_id")), passed(lambda c: c <= F.col("doc_id"))
         unit = (F.col("tie").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
         inside = F.least(F.floor(unit * (high - low)), F.greatest(high - low - 1, F.lit(0)))
-        return df.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(low + inside).cast("int"))
+        nulls = F.least(F.floor(unit * blank), F.lit(max(0, blank - 1)))
+        return df.withColumn("part", F.when(F.col("doc_id").isNull(), nulls).otherwise(blank + low + inside).cast("int"))
 
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
     heads = parted(ids).groupBy("part").agg(F.min(key).alias("first"))
@@ -144,7 +153,7 @@ def _ordered(docs: DataFrame, partitions: int) -> DataFrame:
     full = [p for p, _ in first]
     rows = parted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")))
     if not full:
-        return rows.select("part", F.lit(False).alias("head"), "doc_id", "tie", "text")
+        return rows.select("part", F.lit(False).alias("head"), "doc_id", "tie", "text"), 1
     before = {p: full[i - 1] for i, p in enumerate(full)}  # the part of the last row is followed by the first
     starts = docs.sparkSession.createDataFrame([(p, k[1], k[2], before[p]) for p, k in first], "part int, first_id long, first_tie long, before int")
     rows = rows.join(F.broadcast(starts), "part")  # a row for each part
@@ -152,7 +161,7 @@ def _ordered(docs: DataFrame, partitions: int) -> DataFrame:
     own = F.struct(F.col("part").alias("p"), F.lit(False).alias("h"))
     extra = F.struct(F.col("before").alias("p"), F.lit(True).alias("h"))
     rows = rows.withColumn("at", F.explode(F.when(is_head, F.array(own, extra)).otherwise(F.array(own))))
-    return rows.select(F.col("at.p").alias("part"), F.col("at.h").alias("head"), "doc_id", "tie", "text")
+    return rows.select(F.col("at.p").alias("part"), F.col("at.h").alias("head"), "doc_id", "tie", "text"), max(full) + 1
 
 
 def _scan(batches):
@@ -218,10 +227,10 @@ def _rows(todo):
 def fingerprint_edits(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Fingerprints of each document and of its edited text (see the module and SCHEMA).
 
-    Texts are shuffled once, into ranges of doc_id that are sorted within each task.
+    Texts are shuffled once, into ranges of doc_id, one a task, that are sorted within it.
     """
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _ordered(docs, n).repartition(n, "part").sortWithinPartitions("part", "head", F.col("doc_id").asc_nulls_first(), "tie", "text")
+    rows, n = _ordered(docs, partitions)
+    rows = rows.repartitionById(n, "part").sortWithinPartitions("part", "head", F.col("doc_id").asc_nulls_first(), "tie", "text")
     return rows.select("part", "head", "doc_id", "text").mapInArrow(_scan, SCHEMA)
 
 
