@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -53,20 +54,6 @@ def random_batch(df: DataFrame, key: str, seed, k: int) -> DataFrame:
     return df.orderBy(hash_order(seed, key), key).limit(k)
 
 
-#: Named strategies; callers may add their own.
-STRATEGIES: dict[str, Callable[..., Column]] = {
-    "greedy": lambda mean, half_width, **_: mean,
-    "ucb": lambda mean, half_width, beta=1.0, **_: ucb(mean, half_width, beta),
-    "expected_improvement": lambda mean, half_width, best=None, **_: expected_improvement(mean, half_width, F.lit(0.0) if best is None else best),
-}
-
-
-def register_strategy(name: str, rule: Callable[..., Column]) -> None:
-    if name in STRATEGIES:
-        raise ValueError(f"{name} is taken")
-    STRATEGIES[name] = rule
-
-
 def greedy_diverse(df: DataFrame, campaign: str, key: str, mean: str, vec: str, k: int, weight: float) -> DataFrame:
     """One pick after the other by mean - weight * highest cosine to the picks so far.
 
@@ -91,19 +78,26 @@ def greedy_diverse(df: DataFrame, campaign: str, key: str, mean: str, vec: str,
     return df.select(campaign, key, mean, vec).groupBy(campaign).applyInPandas(run, f"campaign {kind}, key long, place int, score double")
 
 
-def campaign(df: DataFrame, campaign_col: str, key: str, y: str, seed: int, n_seed: int, rounds: int, batch: int, strategy: str = "greedy", feature: str | None = None) -> DataFrame:
+def campaign(df: DataFrame, campaign_col: str, key: str, y: str, seed: int, n_seed: int, rounds: int, batch: int, strategy: str = "greedy", feature: str | None = None, **settings) -> DataFrame:
     """Rounds of acquisition with an outcome gate: a model only sees outcomes acquired before.
 
     The model is the mean outcome of acquired rows of the same ``feature``
-    (overall mean where there is none); ``random`` ignores it.  Serial within a
-    campaign, which is one cogrouped task; output (campaign, round, key, outcome).
+    (overall mean where there is none), its half width the sample deviation over
+    the root of their number (of all acquired rows where there are fewer than two).
+    ``random`` takes rows in hash order; ``greedy``, ``ucb`` (beta), ``expected_improvement``
+    (xi) and ``thompson`` score them, ties in hash order; another name is an error.  Serial
+    within a campaign, which is one task over its pool; output (campaign, round, key, outcome).
     """
+    if strategy not in POLICIES:
+        raise ValueError(f"unknown strategy {strategy}; known: {', '.join(sorted(POLICIES))}")
+    score = POLICIES[strategy]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_h").reset_index(drop=True)
         out, got = [], np.zeros(len(pdf), bool)
         outcome = pdf[y].to_numpy(float)
         f = pdf[feature].to_numpy() if feature else np.zeros(len(pdf))
+        draw = pdf["_u"].to_numpy(float)
         pick = np.arange(min(n_seed, len(pdf)))
         for r in range(rounds + 1):
             got[pick] = True
@@ -111,15 +105,45 @@ def campaign(df: DataFrame, campaign_col: str, key: str, y: str, seed: int, n_se
             rest = np.flatnonzero(~got)
             if not len(rest):
                 break
-            if strategy == "random":
-                pick = rest[:batch]
-            else:
-                seen = pd.Series(outcome[got]).groupby(f[got]).mean()
-                guess = pd.Series(f[rest]).map(seen).fillna(outcome[got].mean()).to_numpy()
-                pick = rest[np.argsort(-guess, kind="stable")[:batch]]
+            seen = pd.Series(outcome[got]).groupby(f[got]).agg(["mean", "std", "count"])
+            own = seen.reindex(f[rest])
+            spread = float(np.std(outcome[got], ddof=1)) if got.sum() > 1 else 0.0
+            mean = own["mean"].fillna(outcome[got].mean()).to_numpy()
+            half = (own["std"].fillna(spread) / np.sqrt(own["count"].fillna(1.0))).to_numpy()
+            guess = score(mean, half, best=float(outcome[got].max()), draw=draw[rest], **settings)
+            pick = rest[:batch] if guess is None else rest[np.argsort(-np.round(guess, 9), kind="stable")[:batch]]
         return pd.DataFrame(out, columns=["campaign", "round", "key", "outcome"])
 
     kind = dict(df.dtypes)[campaign_col]
-    cols = [campaign_col, key, y] + ([feature] if feature else [])
-    rows = df.select(*cols, hash_order(seed, campaign_col, key).alias("_h"))
+    cols = dict.fromkeys([campaign_col, key, y] + ([feature] if feature else []))
+    rows = df.select(*cols, hash_order(seed, campaign_col, key).alias("_h"), uniform(f"{seed}:draw", F.col(key)).alias("_u"))
     return rows.groupBy(campaign_col).applyInPandas(run, f"campaign {kind}, round int, key long, outcome double")
+
+
+def _improvement(mean, half, best=0.0, xi=0.0, coverage_z=1.6448536269514722, **_):
+    sigma = np.maximum(half / coverage_z, 1e-9)
+    gap = mean - best - xi
+    z = gap / sigma
+    return gap * np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z]) + sigma * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+
+
+def _draw(mean, half, draw=None, **_):
+    normal = NormalDist()
+    return mean + half * np.array([normal.inv_cdf(min(max(u, 1e-12), 1 - 1e-12)) for u in draw])
+
+
+#: The strategies of campaigns; a rule gets arrays (mean, half width) and best, draw and the caller's settings.
+POLICIES: dict[str, Callable] = {
+    "random": lambda mean, half, **_: None,
+    "greedy": lambda mean, half, **_: mean,
+    "ucb": lambda mean, half, beta=1.0, **_: mean + beta * half,
+    "expected_improvement": _improvement,
+    "thompson": _draw,
+}
+
+
+def register_strategy(name: str, rule: Callable) -> None:
+    """Adds a strategy for campaigns."""
+    if name in POLICIES:
+        raise ValueError(f"{name} is taken")
+    POLICIES[name] = rule

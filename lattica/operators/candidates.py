@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.identity import hash_order
+from lattica.functions.identity import hash_order, uniform
 from lattica.schema import RoleSchema
 
 
@@ -84,25 +84,26 @@ def capped(pairs: DataFrame, source: str, order: list[Column], per_source: int,
     return kept.orderBy("place", source, *order).limit(budget)
 
 
-def recombine(sources: DataFrame, donors: DataFrame, schema: RoleSchema, per_source: int, seed) -> DataFrame:
-    """Each source's substrate with the conditions of ``per_source`` donors drawn by hash.
+def recombine(sources: DataFrame, donors: DataFrame, schema: RoleSchema, per_source: int, seed, tries: int = 12) -> DataFrame:
+    """Each source's substrate with the conditions of ``per_source`` donor rows, drawn by the hash of (seed, source, try).
 
-    Distinct conditions, not rows, are the donors: each source draws positions
-    in the list of conditions from its own hash, so no cross join of rows arises.
+    Each of ``tries`` draws takes a row of the donors, so frequent conditions come
+    more often; draws of the source's own conditions and repeated ones are passed
+    over.  The donors are counted by condition: a draw is a place in the running
+    counts, so no cross join of rows arises.
     """
-    cond = donors.select(*schema.condition).distinct()
-    w = Window.orderBy(hash_order(seed, *schema.condition), *schema.condition)  # the table of distinct conditions
-    cond = cond.withColumn("_at", F.row_number().over(w) - 1)
-    n = cond.count()
-    own = sources.select(schema.row_id, *schema.substrate, F.struct(*schema.condition).alias("_own"))
-    if not n:
-        return own.drop("_own").limit(0)
-    start = F.pmod(F.xxhash64(F.lit(str(seed)), schema.row_id), F.lit(n))
-    draws = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_source))).alias("_k")).withColumn("_at", F.pmod(start + F.col("_k"), F.lit(n)))
-    out = draws.join(cond, "_at").where(~F.struct(*schema.condition).eqNullSafe(F.col("_own")))
-    w2 = Window.partitionBy(schema.row_id).orderBy("_k")
-    out = out.withColumn("place", F.row_number().over(w2)).where(F.col("place") <= min(per_source, n))
-    return out.dropDuplicates([schema.row_id, *schema.condition]).select(schema.row_id, *schema.substrate, *schema.condition, "place")
+    counts = donors.groupBy(*schema.condition).agg(F.count("*").alias("_n"))
+    w = Window.orderBy(*schema.condition).rowsBetween(Window.unboundedPreceding, 0)  # the table of distinct conditions
+    counts = counts.withColumn("_high", F.sum("_n").over(w))
+    total = donors.count()
+    own = sources.select(schema.row_id, *schema.substrate, F.struct(*schema.condition).alias("_own"), F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_k"))
+    if not total:
+        return sources.select(schema.row_id, *schema.substrate, *schema.condition, F.lit(1).alias("place")).limit(0)
+    draws = own.withColumn("_at", F.floor(uniform(seed, F.concat_ws(":", F.col(schema.row_id).cast("string"), F.col("_k").cast("string"))) * total))
+    found = draws.join(counts, (F.col("_at") >= F.col("_high") - F.col("_n")) & (F.col("_at") < F.col("_high")))
+    other = found.where(~F.struct(*schema.condition).eqNullSafe(F.col("_own"))).groupBy(schema.row_id, *schema.substrate, *schema.condition).agg(F.min("_k").alias("_k"))
+    place = F.row_number().over(Window.partitionBy(schema.row_id).orderBy("_k"))
+    return other.withColumn("place", place).where(F.col("place") <= per_source).select(schema.row_id, *schema.substrate, *schema.condition, "place")
 
 
 def unmeasured_cells(df: DataFrame, schema: RoleSchema) -> DataFrame:

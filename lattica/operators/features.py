@@ -9,20 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.cleaning import fill_unknown
-
-#: Number of blocks of each feature layout.
-BLOCKS = {
-    "reaction_sum": 1,
-    "section_concat": 3,
-    "section_concat_delta": 4,
-    "substrate_only": 2,
-    "condition_only": 4,
-    "product_free": 6,
-    "product_aware": 7,
-    "role_separated": 7,
-    "role_separated_delta": 10,
-}
-
+from lattica.schema import RoleSchema
 
 def ngrams(c: Column, widths: list[int]) -> Column:
     """All character n-grams of the widths, and the whole string first."""
@@ -90,11 +77,18 @@ def one_hot(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return filled.select(id_col, *[(F.col(c) == v).cast("int").alias(f"{c}__{v}") for c in columns for v in cats[c]])
 
 
-def layout(kind: str, n_bits: int) -> dict:
-    """the width and block slices of a feature kind."""
-    if kind not in BLOCKS:
-        raise ValueError(f"unknown feature kind {kind}; known: {', '.join(sorted(BLOCKS))}")
-    return {"kind": kind, "n_bits": n_bits, "width": BLOCKS[kind] * n_bits, "slices": [[i * n_bits, (i + 1) * n_bits] for i in range(BLOCKS[kind])]}
+def layout(schema: RoleSchema, n_bits: int, by: str = "role", parts: tuple[str, ...] = ("substrate", "condition", "product"), deltas: tuple = ()) -> dict:
+    """names, slices and width of the blocks of a feature layout.
+
+    A block for each role, each of ``parts`` that the schema has, or one for ``all``
+    of them, and one more for each pair of ``deltas``, a signed difference.
+    """
+    if by not in ("role", "part", "all") or not set(parts) <= {"substrate", "condition", "product"}:
+        raise ValueError(f"unknown feature layout: {by} of {', '.join(parts)}")
+    own = {p: getattr(schema, p) for p in parts if getattr(schema, p)}
+    names = ["all"] if by == "all" else list(own) if by == "part" else [r for roles in own.values() for r in roles]
+    names += [f"{plus}-{minus}" for minus, plus in deltas]
+    return {"by": by, "n_bits": n_bits, "names": names, "width": len(names) * n_bits, "slices": [[i * n_bits, (i + 1) * n_bits] for i in range(len(names))]}
 
 
 def incompatible(a: dict, b: dict) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -162,15 +164,15 @@ def stratified_errors(df: DataFrame, dimensions: list[str], target: str, y: str,
 
 
 def oracle_diagnostic(pred: DataFrame, truth: DataFrame, key: str, p: str, y: str, threshold) -> DataFrame:
-    """Replicates averaged, inner join, error, bias, prevalence, precision, recall and enrichment of predicted hits."""
+    """Replicates averaged, inner join; mae, rmse, bias, prevalence, precision, recall and enrichment of predicted hits."""
     t = truth.groupBy(key).agg((F.sum(y).cast("double") / F.count(y)).alias("y"))
     q = pred.groupBy(key).agg((F.sum(p).cast("double") / F.count(p)).alias("p"))
-    j = t.join(q, key).select(F.floor("y").cast("long").alias("y"), F.floor("p").cast("long").alias("p"))
+    j = t.join(q, key).select("y", "p")
     hit, said = F.col("y") >= threshold, F.col("p") >= threshold
-    g = j.agg(F.count("*").alias("n"), F.sum(F.abs(F.col("p") - F.col("y"))).alias("_e"), F.sum(F.col("p") - F.col("y")).alias("_b"), F.count_if(hit).alias("_h"), F.count_if(said).alias("_s"), F.count_if(hit & said).alias("_t"))
+    g = j.agg(F.count("*").alias("n"), F.sum(F.abs(F.col("p") - F.col("y"))).alias("_e"), F.sum(F.col("p") - F.col("y")).alias("_b"), F.sum((F.col("p") - F.col("y")) ** 2).alias("_q"), F.count_if(hit).alias("_h"), F.count_if(said).alias("_s"), F.count_if(hit & said).alias("_t"))
     d = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     prevalence, precision = d(F.col("_h"), F.col("n")), d(F.col("_t"), F.col("_s"))
-    return g.select("n", d(F.col("_e"), F.col("n")).alias("mae"), d(F.col("_b"), F.col("n")).alias("bias"), prevalence.alias("prevalence"), precision.alias("precision"), d(F.col("_t"), F.col("_h")).alias("recall"), F.try_divide(precision, prevalence).alias("enrichment"))
+    return g.select("n", d(F.col("_e"), F.col("n")).alias("mae"), d(F.col("_b"), F.col("n")).alias("bias"), F.sqrt(d(F.col("_q"), F.col("n"))).alias("rmse"), prevalence.alias("prevalence"), precision.alias("precision"), d(F.col("_t"), F.col("_h")).alias("recall"), F.try_divide(precision, prevalence).alias("enrichment"))
 
 
 def support_summary(df: DataFrame, by: list[str], metric: str, distance: str) -> DataFrame:
@@ -202,22 +204,34 @@ def random_distribution(df: DataFrame, by: list[str], v: str) -> DataFrame:
 
 
 def midrank_percentile(df: DataFrame, random: DataFrame, by: list[str], v: str) -> DataFrame:
-    """100 * (values below + half of those equal) / n against the random rows of the same unit."""
-    r = random.select(*by, F.col(v).alias("_r"))
-    g = df.join(r, by).groupBy(*df.columns).agg(F.count("*").alias("n_random"), (2 * F.count_if(F.col("_r") < F.col(v)) + F.count_if(F.col("_r") == F.col(v))).alias("_x"))
-    return g.withColumn("percentile", 50 * F.col("_x") / F.col("n_random")).drop("_x")
+    """100 * (values below + half of those equal) / n against the random rows of the same unit; advantage over their mean, and z.
+
+    Values of both tables are counted first, so the running window has one row a
+    distinct value and no row meets all random rows of its unit.  Each row of
+    ``df`` stays; one of a unit without random rows doesn't.
+    """
+    r = random.where(F.col(v).isNotNull()).groupBy(*by, F.col(v).alias("_v")).agg(F.count("*").alias("_n"))
+    both = r.unionByName(df.select(*by, F.col(v).alias("_v"), F.lit(0).cast("long").alias("_n"))).groupBy(*by, "_v").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    below = both.select(*by, F.col("_v").alias(v), (2 * F.coalesce(F.sum("_n").over(w), F.lit(0)) + F.col("_n")).alias("_x"))
+    e = _integral(random, v)
+    unit = random.where(F.col(v).isNotNull()).groupBy(*by).agg(F.count("*").alias("n_random"), (_sum(F.col(v), e).cast("double") / F.count("*")).alias("_mean"), std_samp(random, v).alias("_std"))
+    g = df.join(below, [*by, v]).join(unit, by)
+    advantage = F.col(v) - F.col("_mean")
+    return g.select(*df.columns, "n_random", (50 * F.col("_x") / F.col("n_random")).alias("percentile"), advantage.alias("advantage"), F.try_divide(advantage, F.col("_std")).alias("z"))
 
 
 def bootstrap_ci(df: DataFrame, by: list[str], v: str, draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Percentile bootstrap of the mean of a group's values (one for each seed: a small group).
 
-    One task a group; the generator is seeded by the caller and the group.
+    One task a group; the generator is seeded by the caller's seed and the group's key.
     """
     lo, hi = (1 - level) / 2, (1 + level) / 2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf[v].to_numpy(float))
-        rng = np.random.default_rng(seed)
+        key = hashlib.sha256("|".join([str(seed), *(str(pdf[c].iloc[0]) for c in by)]).encode()).digest()
+        rng = np.random.default_rng(int.from_bytes(key[:8], "little"))
         means = x[rng.integers(0, len(x), (draws, len(x)))].mean(1)
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [len(x)], "mean": [x.mean()], "low": [np.quantile(means, lo)], "high": [np.quantile(means, hi)]})
 

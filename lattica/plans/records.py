@@ -287,7 +287,15 @@ def _(s, d):
     return sp.grouped_outer(read(s, d, "customer").select("c_custkey"), "c_custkey", 9, {"train": 0.7, "valid": 0.15, "test": 0.15})
 
 
-@query("grouped_outer_sized")
+@query("grouped_outer_sized", f"""
+WITH RECURSIVE {T}, g AS (SELECT n_name, CAST(count(*) AS DOUBLE) AS size, row_number() OVER (ORDER BY count(*) DESC, sha256('3:' || n_name), n_name) AS k, CAST(sum(count(*)) OVER () AS DOUBLE) AS total FROM t GROUP BY 1),
+w AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS n_name, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, CAST(NULL AS VARCHAR) AS split
+  UNION ALL SELECT k, n_name, a + CASE WHEN s = 'train' THEN size ELSE 0 END, b + CASE WHEN s = 'valid' THEN size ELSE 0 END, c + CASE WHEN s = 'test' THEN size ELSE 0 END, s FROM (
+    SELECT g.k, g.n_name, g.size, w.a, w.b, w.c,
+      CASE WHEN (0.7::DOUBLE * total - w.a) / (0.7::DOUBLE * total) >= greatest((0.15::DOUBLE * total - w.b) / (0.15::DOUBLE * total), (0.15::DOUBLE * total - w.c) / (0.15::DOUBLE * total)) THEN 'train'
+           WHEN (0.15::DOUBLE * total - w.b) / (0.15::DOUBLE * total) >= (0.15::DOUBLE * total - w.c) / (0.15::DOUBLE * total) THEN 'valid' ELSE 'test' END AS s
+    FROM w JOIN g ON g.k = w.k + 1))
+SELECT n_name, split FROM w WHERE k > 0""")
 def _(s, d):
     g = typed_orders(s, d).groupBy("n_name").agg(F.count("*").alias("size"))
     return sp.grouped_outer_sized(g, "n_name", "size", 3, {"train": 0.7, "valid": 0.15, "test": 0.15})
@@ -381,10 +389,15 @@ def _(s, d):
     return ft.diagnostics(read(s, d, "part").select(F.array_distinct(F.split("p_name", " ")).alias("b")), "b")
 
 
-@query("f_score_topk")
+@query("f_score_topk", """
+WITH p AS (SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) AS y, unnest(list_distinct(string_split(p_name, ' '))) AS bit FROM part),
+o AS (SELECT DISTINCT p_partkey, y FROM p), t AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(y * y) AS DOUBLE) AS syy FROM o),
+g AS (SELECT bit, CAST(count(*) AS DOUBLE) AS m, CAST(sum(y) AS DOUBLE) AS s FROM p GROUP BY 1),
+r AS (SELECT bit, n, (n * s - m * sy) * (n * s - m * sy) / nullif(m * (n - m) * (n * syy - sy * sy), 0) AS r2 FROM g, t)
+SELECT bit, round(r2 * (n - 2) / nullif(1 - r2, 0), 8) AS score FROM r ORDER BY score DESC NULLS LAST, bit LIMIT 10""")
 def _(s, d):
     p = read(s, d, "part").select("p_partkey", F.floor("p_retailprice").cast("long").alias("y"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("bit"))
-    return ft.f_scores(p.select("p_partkey", "bit"), "p_partkey", p.select("p_partkey", "y").distinct(), "y", 10)
+    return ft.f_scores(p.select("p_partkey", "bit"), "p_partkey", p.select("p_partkey", "y").distinct(), "y", 10).withColumn("score", F.round("score", 8))
 
 
 # ---- quality: no row comes back
@@ -407,7 +420,19 @@ def _(s, d):
     return ql.overlapping_parts(typed_orders(s, d), "n_name", "o_orderstatus")
 
 
-@query("quality_nested", "SELECT 'x' AS g, 0.1 AS low, 1 AS n, 1 AS expected WHERE false")
+@query("quality_nested", """
+WITH x AS (SELECT DISTINCT l_partkey AS k, l_linenumber AS level FROM lineitem), l AS (SELECT DISTINCT level FROM x), r AS (SELECT k, min(level) AS low, count(*) AS n FROM x GROUP BY 1)
+SELECT k, low, n, (SELECT count(*) FROM l WHERE level >= low) AS expected FROM r WHERE n < (SELECT count(*) FROM l WHERE level >= low)""")
 def _(s, d):
-    x = Q["nested_prefixes"][0](s, d)
-    return ql.not_nested(x, "g", "fraction").withColumn("low", F.col("low").cast("decimal(2,1)")).withColumns({"n": F.col("n").cast("int"), "expected": F.col("expected").cast("int")})
+    x = read(s, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("level"))
+    return ql.not_nested(x, "k", "level")
+
+
+@query("quality_nested_prefixes", f"""
+WITH {T}, g AS (SELECT c_mktsegment || ':' || n_name AS g, count(*) AS c, sha256('1:' || c_mktsegment || ':' || n_name) AS h FROM t GROUP BY 1, 3),
+b AS (SELECT *, coalesce(sum(c) OVER (ORDER BY h, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(c) OVER () AS n FROM g),
+f AS (SELECT unnest([0.01, 0.05, 0.1, 0.2, 1.0]::DOUBLE[]) AS fraction), x AS (SELECT g, fraction FROM b, f WHERE fraction = 1.0 OR before < greatest(1, ceil(n * fraction))),
+r AS (SELECT g, min(fraction) AS low, count(*) AS n FROM x GROUP BY 1)
+SELECT g, low, n, (SELECT count(*) FROM f WHERE fraction >= low) AS expected FROM r WHERE n < (SELECT count(*) FROM f WHERE fraction >= low)""")
+def _(s, d):
+    return ql.not_nested(Q["nested_prefixes"][0](s, d), "g", "fraction")

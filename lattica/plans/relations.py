@@ -60,7 +60,13 @@ def _(s, d):
     return sp.cluster_holdouts(sm.similar_pairs(e, 0.6), e)
 
 
-@query("bounded_test_split")
+@query("bounded_test_split", f"""
+WITH RECURSIVE {_E}, g AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id <> b.id WHERE {_COS} >= 0.6),
+r AS (SELECT id AS a, id AS b FROM e UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a), m AS (SELECT a AS id, min(b) AS comp FROM r GROUP BY a),
+c AS (SELECT comp, count(*) AS n, row_number() OVER (ORDER BY sha256('4:' || comp), comp) AS k, sum(count(*)) OVER () AS total FROM m GROUP BY comp),
+w AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS comp, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS test, false AS take
+  UNION ALL SELECT c.k, c.comp, c.n, CAST(w.test + CASE WHEN w.test < 100 AND c.total - w.test - c.n >= 100 THEN c.n ELSE 0 END AS BIGINT), w.test < 100 AND c.total - w.test - c.n >= 100 FROM w JOIN c ON c.k = w.k + 1)
+SELECT comp, n, CASE WHEN take THEN 'test' ELSE 'train' END AS split FROM w WHERE k > 0""")
 def _(s, d):
     c = Q["similarity_components"][0](s, d).groupBy("comp").agg(F.count("*").alias("n"))
     return sp.bounded_test_components(c, 4, 100, 100)
@@ -74,10 +80,10 @@ def _(s, d):
 
 
 @query("diversity", f"""
-WITH {_E}, f AS (SELECT * FROM e WHERE label = 3), m AS (SELECT a.id, max({_COS}) AS s FROM f a JOIN f b ON a.id <> b.id GROUP BY a.id)
-SELECT id, round(coalesce(1 - s, 1.0), 6) AS diversity FROM f LEFT JOIN m USING (id)""")
+WITH {_E}, m AS (SELECT a.id, max({_COS}) AS s FROM e a JOIN e b ON a.id <> b.id AND a.label = b.label GROUP BY a.id)
+SELECT id, round(coalesce(1 - s, 1.0), 6) AS diversity FROM e LEFT JOIN m USING (id)""")
 def _(s, d):
-    return sm.diversity(_vectors(s, d).where("label = 3")).withColumn("diversity", F.round("diversity", 6))
+    return sm.diversity(_vectors(s, d), "label").withColumn("diversity", F.round("diversity", 6))
 
 
 @query("tanimoto_nearest", """
@@ -105,9 +111,12 @@ def _(s, d):
     return sm.count_cosine(c, c)
 
 
-@query("pair_quantiles")
+@query("pair_quantiles", f"""
+WITH {_E}, p AS (SELECT {_COS} AS s FROM e a JOIN e b ON a.id < b.id)
+SELECT count(*) AS n, round(quantile_cont(s, 0.05), 8) AS q05, round(quantile_cont(s, 0.25), 8) AS q25, round(quantile_cont(s, 0.5), 8) AS q50, round(quantile_cont(s, 0.75), 8) AS q75, round(quantile_cont(s, 0.95), 8) AS q95 FROM p""")
 def _(s, d):
-    return sm.pair_quantiles(_vectors(s, d))
+    q = sm.pair_quantiles(_vectors(s, d))
+    return q.select("n", *[F.round(c, 8).alias(c) for c in q.columns if c != "n"])
 
 
 # ---- candidates
@@ -125,15 +134,22 @@ def _(s, d):
 @query("donor_all_change", f"""
 WITH {T}, r AS (SELECT * FROM t WHERE o_orderkey % 20 = 0),
 p AS (SELECT a.o_orderkey, b.o_orderkey AS donor, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY sha256('3:' || a.o_orderkey || ':' || b.o_orderkey), b.o_orderkey) AS k
-  FROM r a JOIN r b ON a.n_name = b.n_name AND a.c_mktsegment = b.c_mktsegment AND a.o_orderkey <> b.o_orderkey AND a.o_orderpriority <> b.o_orderpriority AND a.o_orderstatus <> b.o_orderstatus)
+  FROM r a JOIN t b ON a.n_name = b.n_name AND a.c_mktsegment = b.c_mktsegment AND a.o_orderkey <> b.o_orderkey AND a.o_orderpriority <> b.o_orderpriority AND a.o_orderstatus <> b.o_orderstatus)
 SELECT o_orderkey, donor, CAST(k AS INT) AS place FROM p WHERE k <= 2""")
 def _(s, d):
-    r = typed_orders(s, d).where("o_orderkey % 20 = 0")
-    pairs = cd.donor_pairs(r, r, SCHEMA, SCHEMA.substrate, SCHEMA.condition, "all")
+    t = typed_orders(s, d)
+    pairs = cd.donor_pairs(t.where("o_orderkey % 20 = 0"), t, SCHEMA, SCHEMA.substrate, SCHEMA.condition, "all")
     return cd.pick_donors(pairs, SCHEMA, cd.by_strategy("random", SCHEMA, 3), 2).select(F.col("s_o_orderkey").alias("o_orderkey"), F.col("d_o_orderkey").alias("donor"), "place")
 
 
-@query("recombine_conditions")
+@query("recombine_conditions", f"""
+WITH {T}, c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM t GROUP BY 1, 2),
+b AS (SELECT *, sum(n) OVER (ORDER BY o_orderpriority, o_orderstatus) - n AS low, sum(n) OVER (ORDER BY o_orderpriority, o_orderstatus) AS high FROM c),
+w AS (SELECT o_orderkey, n_name, c_mktsegment, o_orderpriority AS op, o_orderstatus AS os, unnest(range(1, 13)) AS k FROM t),
+u AS (SELECT *, floor(CAST(CAST('0x' || substr(sha256('11:' || o_orderkey || ':' || k), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 * (SELECT count(*) FROM t)) AS pos FROM w),
+x AS (SELECT o_orderkey, n_name, c_mktsegment, o_orderpriority, o_orderstatus, min(k) AS k FROM u JOIN b ON pos >= low AND pos < high WHERE o_orderpriority <> op OR o_orderstatus <> os GROUP BY 1, 2, 3, 4, 5),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY k) AS INT) AS place FROM x)
+SELECT o_orderkey, n_name, c_mktsegment, o_orderpriority, o_orderstatus, place FROM r WHERE place <= 3""")
 def _(s, d):
     t = typed_orders(s, d)
     return cd.recombine(t, t, SCHEMA, 3, 11)
@@ -147,14 +163,14 @@ def _(s, d):
 
 
 @query("hidden_probes", f"""
-WITH {T}, h AS (SELECT * FROM t WHERE o_orderkey % 10 = 0), l AS (SELECT * FROM t WHERE o_orderkey % 10 > 6),
+WITH {T}, h AS (SELECT * FROM t WHERE o_orderkey % 10 = 0), l AS (SELECT * FROM t WHERE o_orderkey % 10 > 0),
 s AS (SELECT h.o_orderkey, min(l.o_orderkey) AS source FROM h JOIN l ON h.n_name = l.n_name AND h.c_mktsegment = l.c_mktsegment AND h.o_orderpriority <> l.o_orderpriority AND h.o_orderstatus <> l.o_orderstatus GROUP BY 1),
 d AS (SELECT o_orderpriority, o_orderstatus, min(o_orderkey) AS donor FROM l GROUP BY 1, 2)
 SELECT h.o_orderkey, source, donor, CASE WHEN source IS NULL THEN 'no_source' WHEN donor IS NULL THEN 'no_donor' END AS exclusion
 FROM h LEFT JOIN s USING (o_orderkey) LEFT JOIN d ON h.o_orderpriority = d.o_orderpriority AND h.o_orderstatus = d.o_orderstatus""")
 def _(s, d):
     t = typed_orders(s, d)
-    return cd.hidden_probes(t.where("o_orderkey % 10 = 0"), t.where("o_orderkey % 10 > 6"), SCHEMA, SCHEMA.condition)
+    return cd.hidden_probes(t.where("o_orderkey % 10 = 0"), t.where("o_orderkey % 10 > 0"), SCHEMA, SCHEMA.condition)
 
 
 @query("reference_donors", f"""
@@ -167,17 +183,24 @@ def _(s, d):
 
 @query("mixup_pairs", """
 WITH r AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v, label, row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings)
-SELECT a.vec_id, b.vec_id AS partner, 0.25 * a.label + 0.75 * b.label AS label FROM r a JOIN r b ON b.r = (a.r + 1) % a.n""")
+SELECT a.vec_id, b.vec_id AS partner, CAST(0.25 * a.label + 0.75 * b.label AS DOUBLE) AS label, round(0.25 * a.v[1] + 0.75 * b.v[1], 6) AS first,
+  round(0.25 * list_sum(list_transform(a.v, lambda x: x * x)) + 0.75 * list_inner_product(a.v, b.v), 6) AS along FROM r a JOIN r b ON b.r = (a.r + 1) % a.n""")
 def _(s, d):
     e = read(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("double").alias("label"))
-    return cd.mixup(e, "vec_id", "v", "label", 2, 0.25).select("vec_id", "partner", "label")
+    m = cd.mixup(e, "vec_id", "v", "label", 2, 0.25).join(e.select("vec_id", F.col("v").alias("own")), "vec_id")
+    return m.select("vec_id", "partner", "label", F.round(F.col("v")[0], 6).alias("first"), F.round(sm.inner("v", "own"), 6).alias("along"))
 
 
-@query("latent_interpolation")
+@query("latent_interpolation", f"""
+WITH {_E}, p AS (SELECT a.id AS query, b.id AS neighbour, {_COS} AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS place FROM p)
+SELECT query, neighbour, round((a.v[1] + b.v[1]) / 2, 6) AS first, round((list_inner_product(a.v, a.v) + list_inner_product(a.v, b.v)) / 2, 6) AS along
+FROM r JOIN e a ON a.id = query JOIN e b ON b.id = neighbour WHERE place <= 2""")
 def _(s, d):
     e = _vectors(s, d).withColumn("vec", F.col("vec").cast("array<double>"))
     near = sm.dense_topk(e.where("id % 20 = 0"), e, 2).select("query", "neighbour")
-    return cd.interpolate(near, e, 0.5).select("query", "neighbour", F.size("vec").alias("width"))
+    z = cd.interpolate(near, e, 0.5).join(e.select(F.col("id").alias("query"), F.col("vec").alias("own")), "query")
+    return z.select("query", "neighbour", F.round(F.col("vec")[0], 6).alias("first"), F.round(sm.inner("vec", "own"), 6).alias("along"))
 
 
 @query("stratified_oversampling", f"""
@@ -278,7 +301,7 @@ def _(s, d):
 
 
 @query("label_strategies", f"""
-WITH {T} SELECT o_orderkey, greatest(0.0, least(300000.0, p)) AS teacher, greatest(0.0, least(300000.0, (y + p) / 2)) AS average FROM t""")
+WITH {T} SELECT o_orderkey, CAST(greatest(0.0, least(300000.0, p)) AS DOUBLE) AS teacher, CAST(greatest(0.0, least(300000.0, (y + p) / 2)) AS DOUBLE) AS average FROM t""")
 def _(s, d):
     a = lambda k: lb.label(k, F.col("p"), F.col("y"), F.col("p"), 0.0, 300000.0).cast("double")
     return typed_orders(s, d).select("o_orderkey", a("teacher").alias("teacher"), a("average").alias("average"))
@@ -304,16 +327,29 @@ def _(s, d):
     return lb.conformal_quantile(typed_orders(s, d).withColumn("s", F.abs(F.col("y") - F.col("p"))), ["n_name"], "s", 0.9)
 
 
-@query("ridge_fit_predict")
+@query("ridge_fit_predict", """
+WITH m AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(l_quantity) AS a, sum(l_discount) AS b, sum(l_extendedprice) AS y, sum(l_quantity * l_quantity) AS aa, sum(l_quantity * l_discount) AS ab,
+  sum(l_discount * l_discount) AS bb, sum(l_quantity * l_extendedprice) AS ay, sum(l_discount * l_extendedprice) AS yb FROM lineitem),
+c AS (SELECT *, aa - a * a / n + 1 AS p, ab - a * b / n AS q, bb - b * b / n + 1 AS r, ay - a * y / n AS u, yb - b * y / n AS v FROM m),
+w AS (SELECT *, (r * u - q * v) / (p * r - q * q) AS wa, (p * v - q * u) / (p * r - q * q) AS wb FROM c)
+SELECT l_orderkey, l_linenumber, round((y - wa * a - wb * b) / n + wa * l_quantity + wb * l_discount, 1) AS prediction FROM lineitem, w""")
 def _(s, d):
     x = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
-    return lb.predict(x, lb.ridge(x, ["l_quantity", "l_discount"], "l_extendedprice", 1.0)).select("l_orderkey", "l_linenumber", "prediction")
+    return lb.predict(x, lb.ridge(x, ["l_quantity", "l_discount"], "l_extendedprice", 1.0)).select("l_orderkey", "l_linenumber", F.round("prediction", 1).alias("prediction"))
 
 
-@query("split_conformal_intervals")
+@query("split_conformal_intervals", """
+WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS q, l_extendedprice AS y FROM lineitem),
+f AS (SELECT *, CAST(CAST('0x' || substr(sha256('1:' || id), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 < 0.5 AS fit FROM x),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(q) AS a, sum(y) AS s, sum(q * q) AS aa, sum(q * y) AS ay FROM f WHERE fit),
+w AS (SELECT n, a, s, (ay - a * s / n) / (aa - a * a / n + 1) AS w FROM m), p AS (SELECT id, fit, y, (s - w * a) / n + w * q AS prediction FROM f, w),
+r AS (SELECT abs(y - prediction) AS e, row_number() OVER (ORDER BY abs(y - prediction)) AS k, count(*) OVER () AS n FROM p WHERE NOT fit),
+h AS (SELECT e FROM r WHERE k = least(n, ceil((n + 1) * 0.9)))
+SELECT id, round(prediction, 1) AS prediction, round(prediction - e, 1) AS low, round(prediction + e, 1) AS high FROM p, h""")
 def _(s, d):
-    x = sp.calibration_part(read(s, d, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber").alias("id"), "l_quantity", "l_extendedprice"), "id", 1, 0.5)
-    return lb.split_conformal(x, "part", ["l_quantity"], "l_extendedprice", 1.0, 0.9).select("id", "prediction", "low", "high")
+    x = sp.calibration_part(read(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_extendedprice"), "id", 1, 0.5)
+    out = lb.split_conformal(x, "part", ["l_quantity"], "l_extendedprice", 1.0, 0.9)
+    return out.select("id", *[F.round(c, 1).alias(c) for c in ("prediction", "low", "high")])
 
 
 @query("low_rank_projection")
@@ -446,12 +482,13 @@ def _(s, d):
 
 
 @query("oracle_diagnostic", f"""
-WITH {T}, g AS (SELECT n_name, c_mktsegment, CAST(floor(CAST(sum(y) AS DOUBLE) / count(y)) AS BIGINT) AS y, CAST(floor(CAST(sum(p) AS DOUBLE) / count(p)) AS BIGINT) AS p FROM t GROUP BY 1, 2),
-k AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(abs(p - y)) AS e, sum(p - y) AS b, CAST(count(*) FILTER (y >= 250000) AS DOUBLE) AS h, CAST(count(*) FILTER (p >= 250000) AS DOUBLE) AS s, CAST(count(*) FILTER (y >= 250000 AND p >= 250000) AS DOUBLE) AS t FROM g)
-SELECT CAST(n AS BIGINT) AS n, e / n AS mae, b / n AS bias, h / n AS prevalence, t / nullif(s, 0) AS precision, t / nullif(h, 0) AS recall, t / nullif(s, 0) / nullif(h / n, 0) AS enrichment FROM k""")
+WITH {T}, g AS (SELECT n_name, c_mktsegment, CAST(sum(y) AS DOUBLE) / count(y) AS y, CAST(sum(p) AS DOUBLE) / count(p) AS p FROM t GROUP BY 1, 2),
+k AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(abs(p - y)) AS e, sum(p - y) AS b, sum((p - y) * (p - y)) AS q, CAST(count(*) FILTER (y >= 250000) AS DOUBLE) AS h, CAST(count(*) FILTER (p >= 250000) AS DOUBLE) AS s, CAST(count(*) FILTER (y >= 250000 AND p >= 250000) AS DOUBLE) AS t FROM g)
+SELECT CAST(n AS BIGINT) AS n, round(e / n, 6) AS mae, round(b / n, 6) AS bias, round(sqrt(q / n), 6) AS rmse, h / n AS prevalence, t / nullif(s, 0) AS precision, t / nullif(h, 0) AS recall, t / nullif(s, 0) / nullif(h / n, 0) AS enrichment FROM k""")
 def _(s, d):
     t = typed_orders(s, d).withColumn("cell", F.concat_ws("|", "n_name", "c_mktsegment"))
-    return mt.oracle_diagnostic(t, t, "cell", "p", "y", 250000)
+    out = mt.oracle_diagnostic(t, t, "cell", "p", "y", 250000)
+    return out.withColumns({c: F.round(c, 6) for c in ("mae", "bias", "rmse")})
 
 
 @query("support_summary", f"""
@@ -479,12 +516,14 @@ def _(s, d):
 
 
 @query("midrank_percentile", f"""
-WITH {T}, a AS (SELECT n_name, o_orderstatus, CAST(max(y) // 2 AS BIGINT) AS v FROM t GROUP BY 1, 2), r AS (SELECT n_name, y AS r FROM t WHERE o_orderkey % 3 = 0)
-SELECT n_name, o_orderstatus, v, count(*) AS n_random, 50 * (2 * count(*) FILTER (r < v) + count(*) FILTER (r = v)) / count(*) AS percentile FROM a JOIN r USING (n_name) GROUP BY 1, 2, 3""")
+WITH {T}, a AS (SELECT n_name, o_orderstatus, CAST(max(y) // 2 AS BIGINT) AS v FROM t GROUP BY 1, 2), r AS (SELECT n_name, y AS r FROM t)
+SELECT n_name, o_orderstatus, v, count(*) AS n_random, 50 * (2 * count(*) FILTER (r < v) + count(*) FILTER (r = v)) / count(*) AS percentile,
+  v - CAST(sum(r) AS DOUBLE) / count(*) AS advantage, (v - CAST(sum(r) AS DOUBLE) / count(*)) / sqrt({_VAR('r', 'r')} / CAST(count(*) * (count(*) - 1) AS DOUBLE)) AS z
+FROM a JOIN r USING (n_name) GROUP BY 1, 2, 3""")
 def _(s, d):
     t = typed_orders(s, d)
     a = t.groupBy("n_name", "o_orderstatus").agg(F.expr("max(y) div 2").alias("v"))
-    return mt.midrank_percentile(a, t.where("o_orderkey % 3 = 0").select("n_name", F.col("y").alias("v")), ["n_name"], "v")
+    return mt.midrank_percentile(a, t.select("n_name", F.col("y").alias("v")), ["n_name"], "v")
 
 
 @query("bootstrap_ci")
@@ -502,10 +541,18 @@ def _(s, d):
     return g.select("n_name", mt.verdict(F.col("lo"), F.col("hi"), F.col("k"), F.col("n"), F.col("n") < 500).alias("verdict"))
 
 
-@query("signed_rank")
+@query("signed_rank", f"""
+WITH RECURSIVE {T}, g AS (SELECT n_name, CAST(max(p) - max(y) AS DOUBLE) AS x FROM t GROUP BY n_name, yr),
+a AS (SELECT n_name, count(*) AS n, CAST(avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0) AS DOUBLE) AS t FROM g GROUP BY 1),
+r AS (SELECT n_name, x, 2 * rank() OVER (PARTITION BY n_name ORDER BY abs(x)) + count(*) OVER (PARTITION BY n_name, abs(x)) - 1 AS r, row_number() OVER (PARTITION BY n_name ORDER BY abs(x), x) AS k FROM g WHERE abs(x) > 1e-12),
+w AS (SELECT n_name, CAST(coalesce(sum(r) FILTER (x > 0), 0) AS BIGINT) AS w, count(*) AS m FROM r GROUP BY 1),
+s AS (SELECT n_name, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS v, CAST(1 AS DOUBLE) AS ways FROM w
+  UNION ALL SELECT n_name, k, v, sum(ways) FROM (SELECT s.n_name, r.k, s.v + r.r * b AS v, s.ways FROM s JOIN r ON r.n_name = s.n_name AND r.k = s.k + 1, (SELECT unnest([0, 1]) AS b)) GROUP BY 1, 2, 3),
+p AS (SELECT n_name, least(1.0, 2 * least(sum(ways) FILTER (v <= w), sum(ways) FILTER (v >= w)) / sum(ways)) AS p FROM s JOIN w USING (n_name) WHERE k = m GROUP BY 1)
+SELECT a.n_name, a.n AS n_pairs, CAST(w.w AS DOUBLE) / 2 AS w_plus, round(p.p, 9) AS p_value, round(a.t, 6) AS t FROM a LEFT JOIN w USING (n_name) LEFT JOIN p USING (n_name)""")
 def _(s, d):
     g = typed_orders(s, d).groupBy("n_name", "yr").agg((F.max("p") - F.max("y")).alias("delta"))
-    return mt.signed_rank(g, ["n_name"], "delta")
+    return mt.signed_rank(g, ["n_name"], "delta").withColumns({"p_value": F.round("p_value", 9), "t": F.round("t", 6)})
 
 
 @query("sharing_counts", f"""
@@ -523,10 +570,10 @@ def _(s, d):
 
 
 @query("reconcile_outer", """
-WITH a AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders WHERE o_orderkey % 7 > 0), b AS (SELECT l_orderkey AS k, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1)
+WITH a AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders), b AS (SELECT l_orderkey AS k, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1)
 SELECT k, a.v AS left_value, b.v AS right_value, CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' WHEN abs(a.v - b.v) <= 1e-8 THEN 'equal' ELSE 'differs' END AS status FROM a FULL JOIN b USING (k)""")
 def _(s, d):
-    a = read(s, d, "orders").where("o_orderkey % 7 > 0").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").cast("long").alias("v"))
+    a = read(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.floor("o_totalprice").cast("long").alias("v"))
     b = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum(F.floor("l_extendedprice").cast("long")).alias("v"))
     return mt.reconcile(a, b, ["k"], "v")
 
@@ -550,16 +597,23 @@ def _(s, d):
     return aq.random_batch(read(s, d, "orders"), "o_orderkey", 9, 32).select("o_orderkey")
 
 
-@query("expected_improvement")
+@query("expected_improvement", f"""
+WITH {T}, x AS (SELECT o_orderkey, CAST(p AS DOUBLE) - 450000 AS gap, greatest((o_orderkey % 100 + 1000.0::DOUBLE) / 1.6448536269514722::DOUBLE, 1e-9) AS s FROM t),
+z AS (SELECT *, gap / s AS z, gap / s / sqrt(2.0::DOUBLE) AS x FROM x), k AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(x)) AS k FROM z),
+e AS (SELECT *, sign(x) * (1 - k * (0.254829592::DOUBLE + k * (-0.284496736::DOUBLE + k * (1.421413741::DOUBLE + k * (-1.453152027::DOUBLE + k * 1.061405429::DOUBLE)))) * exp(-x * x)) AS erf FROM k)
+SELECT o_orderkey, round(gap * (1 + erf) / 2 + s * exp(-z * z / 2) / sqrt(2 * pi()), 4) AS score FROM e ORDER BY score DESC, o_orderkey LIMIT 50""")
 def _(s, d):
     t = typed_orders(s, d)
-    return aq.top(t, aq.expected_improvement(F.col("p").cast("double"), F.col("o_orderkey") % 100 + 1000.0, F.lit(450000.0)), "o_orderkey", 50).select("o_orderkey", "score")
+    return aq.top(t, F.round(aq.expected_improvement(F.col("p").cast("double"), F.col("o_orderkey") % 100 + 1000.0, F.lit(450000.0)), 4), "o_orderkey", 50).select("o_orderkey", "score")
 
 
-@query("thompson_topk")
+@query("thompson_topk", f"""
+WITH {T}, u AS (SELECT o_orderkey, p, greatest(CAST(CAST('0x' || substr(sha256('3:u:' || o_orderkey), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0, 1e-12) AS u,
+  CAST(CAST('0x' || substr(sha256('3:v:' || o_orderkey), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS v FROM t)
+SELECT o_orderkey, round(p + 5000 * sqrt(-2 * ln(u)) * cos(2 * pi() * v), 4) AS score FROM u ORDER BY score DESC, o_orderkey LIMIT 50""")
 def _(s, d):
     t = typed_orders(s, d)
-    return aq.top(t, aq.thompson(F.col("p").cast("double"), F.lit(5000.0), 3, F.col("o_orderkey")), "o_orderkey", 50).select("o_orderkey", "score")
+    return aq.top(t, F.round(aq.thompson(F.col("p").cast("double"), F.lit(5000.0), 3, F.col("o_orderkey")), 4), "o_orderkey", 50).select("o_orderkey", "score")
 
 
 @query("diverse_batch")

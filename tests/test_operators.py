@@ -195,9 +195,11 @@ def test_features(spark):
     r = [x[0] for x in df.orderBy("id").select(ft.hash_bits_blake(64, 1)(F.col("s"))).collect()]
     assert r[0] == sorted(set(r[0])) and r[1] == [] and r[2] == []
     assert [x[0] for x in df.orderBy("id").select(F.size(ft.hash_bits(F.col("s")))).collect()][1:] == [0, 0]
-    assert ft.layout("role_separated", 16)["width"] == 112 and ft.incompatible({"a": 1}, {"a": 2, "b": 1}) == ["a", "b"]
+    schema = RoleSchema(("a", "b"), ("c", "d", "e", "f"), "y", "id", ("p",))
+    assert ft.layout(schema, 16)["width"] == 112 and ft.layout(schema, 16, "part", deltas=(("substrate", "product"),))["names"][-1] == "product-substrate"
+    assert ft.layout(schema, 8, parts=("condition",))["width"] == 32 and ft.incompatible({"a": 1}, {"a": 2, "b": 1}) == ["a", "b"]
     with pytest.raises(ValueError):
-        ft.layout("nope", 2)
+        ft.layout(schema, 2, "nope")
 
 
 def test_acquisition(spark):
@@ -209,6 +211,23 @@ def test_acquisition(spark):
     assert abs(x - 0.975) < 1e-5
     with pytest.raises(ValueError):
         aq.register_strategy("ucb", lambda **_: None)
+    with pytest.raises(ValueError):
+        aq.campaign(df, "c", "k", "y", 1, 5, 3, 4, "nope")
+    logs = {p: [(r["round"], r["key"]) for r in aq.campaign(df, "c", "k", "y", 1, 5, 3, 4, p, "y").collect()] for p in aq.POLICIES}
+    assert all(len(set(x)) == 17 and x[:5] == logs["greedy"][:5] for x in logs.values()) and logs["thompson"] != logs["random"] != logs["greedy"]
+
+
+def test_midrank_keeps_repeated_rows(spark):
+    a = spark.createDataFrame([("u", 5), ("u", 5), ("u", 9), ("w", 1)], "g string, v int")
+    r = spark.createDataFrame([("u", 1), ("u", 5), ("u", 5), ("u", 7), ("u", None)], "g string, v int")
+    got = sorted((x["v"], x["n_random"], x["percentile"], x["advantage"]) for x in mt.midrank_percentile(a, r, ["g"], "v").collect())
+    assert got == [(5, 4, 50.0, 0.5), (5, 4, 50.0, 0.5), (9, 4, 100.0, 4.5)]
+
+
+def test_bootstrap_groups_draw_their_own(spark):
+    df = spark.createDataFrame([(g, float(v)) for g in "ab" for v in (1, 2, 4, 8, 16)], "g string, v double")
+    got = {r["g"]: (r["low"], r["high"], r["mean"]) for r in mt.bootstrap_ci(df, ["g"], "v", 200).collect()}
+    assert got["a"][2] == got["b"][2] and got["a"] != got["b"]
 
 
 def test_protocol(tmp_path):
