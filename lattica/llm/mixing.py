@@ -46,6 +46,7 @@ MAX_DOMAINS = 16
 ITERATIONS = 60
 RUNS = (1, 4, 16, 64, 256, 1024, 4096)  # plain steps that are tried at once
 TOLERANCE = 1e-9
+STALLED = 1e-8
 TEMPERATURE = 0.5
 
 
@@ -149,42 +150,65 @@ def fit_rates(groups: DataFrame, targets: list[float], iterations: int = ITERATI
     steps, each projected once, are the trials of a line search.  One aggregation
     gives the totals after every trial, that curvature and the residual of the
     optimality conditions.  Ends when targets are met, no group wants to move, or
-    no trial lessens the error.
+    a move lessens the error by less than STALLED of the targets' sum.
     """
     k = len(targets)
-    at = lambda i: F.element_at("p", i + 1)
-    dot = lambda v: sum((at(i) * F.lit(float(v[i])) for i in range(k)), F.lit(0.0))
-    second = lambda free: [F.coalesce(F.sum(F.when(free, F.col("tokens") * at(i) * at(j))), F.lit(0.0)) for i in range(k) for j in range(k)]
-    mass = [F.coalesce(F.sum(F.col("tokens") * at(i)), F.lit(0.0)) for i in range(k)]
-    got = np.array(groups.agg(*mass, *second(F.lit(True)), F.coalesce(F.sum(F.col("tokens").cast("double")), F.lit(0.0))).first(), float)
-    present, target, largest, tokens = got[:k], np.array(targets, float), got[:k].max(), got[-1]
+    mass = [f"sum(tokens * p[{i}])" for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    second = lambda free: [f"sum(if({free}, tokens * p[{i}] * p[{j}], 0D))" for i, j in pairs]
+    got = groups.agg(*map(F.expr, [*mass, *second("true"), "sum(cast(tokens as double))"])).first()
     state, moves = groups.withColumn("rate", F.lit(1.0)), []
-    if not largest:
+    if not got[-1]:
         return state
-    error, curve = present - target, got[k:-1].reshape(k, k) / largest
+    got = np.array(got, float)
+    present, target, largest, tokens = got[:k], np.array(targets, float), got[:k].max(), got[-1]
+    error, curve = present - target, _square(got[k:-1] / largest, pairs, k)
+    norm, scale = float(np.linalg.norm(error)), float(target.sum()) or 1.0
     for _ in range(iterations):
-        if np.linalg.norm(error) <= tolerance * (target.sum() or 1.0):
+        if norm <= tolerance * scale:
             break
-        trials = [_run(error / largest, curve, j) for j in RUNS]
-        now = _moved(state, moves, k)
-        after = lambda v: F.greatest(F.lit(0.0), F.col("rate") - dot(v))
-        plain = after(trials[0])
-        sums = [F.sum(F.col("tokens") * at(i) * after(v)) for v in trials for i in range(k)]
-        sums += second((F.col("rate") > 0) | (dot(error) < 0))
-        got = np.array(now.agg(*sums, F.sum(F.col("tokens") * (F.col("rate") - plain) ** 2)).first(), float)
-        if math.sqrt(got[-1] / tokens) <= tolerance:
+        trials = [[float(x) for x in _run(error / largest, curve, j)] for j in RUNS]
+        # parameters stand in array literals, so the compiled plan is the same for each move
+        now = _moved(state, moves, k).selectExpr("tokens", "p", "rate", f"rate > 0 or {_dot(_literal(trials[0]), k)} < 0 as free", f"posexplode({_literal(trials)}) as (trial, v)")
+        now = now.selectExpr("trial", "tokens", "p", "rate", "free", f"greatest(0D, rate - ({_dot('v', k)})) as after")
+        sums = [f"sum(tokens * p[{i}] * after)" for i in range(k)] + second("free") + ["sum(tokens * (rate - after) * (rate - after))"]
+        got = np.array(sorted(now.groupBy("trial").agg(*map(F.expr, sums)).collect()), float)[:, 1:]  # a row for each trial
+        if math.sqrt(got[0, -1] / tokens) <= tolerance:
             break
-        errors = got[: len(RUNS) * k].reshape(-1, k) - target
+        errors = got[:, :k] - target
         best = int(np.argmin((errors**2).sum(1)))
-        if not (errors[best] ** 2).sum() < (error**2).sum():
+        less = norm - float(np.linalg.norm(errors[best]))
+        if less <= 0:
             break
-        moves.append([float(x) for x in trials[best]])
-        error, curve = errors[best], got[len(RUNS) * k : -1].reshape(k, k) / largest
+        moves.append(trials[best])
+        error, curve, norm = errors[best], _square(got[0, k:-1] / largest, pairs, k), norm - less
+        if less <= STALLED * scale and norm > STALLED * scale:
+            break  # targets that can't be met
         if len(moves) == 20:  # the state is written now and then, so that plans stay short
             state, moves = save(_moved(state, moves, k), "rates"), []
     return _moved(state, moves, k)
 
 
+def _literal(x) -> str:
+    return f"{x!r}D" if isinstance(x, float) else f"array({', '.join(map(_literal, x))})"
+
+
+def _dot(v: str, k: int) -> str:
+    return " + ".join(f"p[{i}] * {v}[{i}]" for i in range(k))
+
+
+def _square(values, pairs, k):
+    out = np.zeros((k, k))
+    for (i, j), v in zip(pairs, values, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def _moved(state: DataFrame, moves: list, k: int) -> DataFrame:
+    """The rates after steps along ``moves``."""
+    return state.withColumn("rate", F.expr(f"aggregate({_literal(moves)}, rate, (r, v) -> greatest(0D, r - ({_dot('v', k)})))")) if moves else state
+
+
 def _run(gradient, curve, j: int):
     """The sum of j plain steps, if the gradient changes by ``curve`` with each of them."""
     value, vector = np.linalg.eigh(curve)
@@ -192,14 +216,6 @@ def _run(gradient, curve, j: int):
     return vector @ (times * (vector.T @ gradient)) if j > 1 else gradient
 
 
-def _moved(state: DataFrame, moves: list, k: int) -> DataFrame:
-    """The rates after steps along ``moves``."""
-    if not moves:
-        return state
-    step = lambda r, v: F.greatest(F.lit(0.0), r - sum((F.element_at("p", i + 1) * F.element_at(v, i + 1) for i in range(k)), F.lit(0.0)))
-    return state.withColumn("rate", F.aggregate(F.lit(moves), F.col("rate"), step))
-
-
 def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, label_cols=("quality", "toxic"), max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), p_domain, rate of each row.
 
