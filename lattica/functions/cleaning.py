@@ -96,3 +96,19 @@ def clean(df: DataFrame, outcome: str, required: str, optional: list[str], leadi
     out = out.withColumn(outcome, numeric(F.col(outcome))).where(in_range(F.col(outcome)) & known(F.col(required)))
     out = out.withColumns({c: fill_unknown(F.col(c)) for c in optional if c in out.columns})
     return project(drop_all_unknown(out, [c for c in optional if c in out.columns]), leading)
+
+
+def dict_field(c: Column, field: str) -> Column:
+    """A field of a record written as a dict literal ('single quotes'), as text; null where it can't be read."""
+    return F.get_json_object(F.replace(c, F.lit("'"), F.lit('"')), f"$.{field}")
+
+
+def stage_counts(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
+    """(stage, n_rows) left after each filter, in order, from one aggregation; stage 0 is the input."""
+    ok, counts = F.lit(True), []
+    for name, test in [("input", F.lit(True)), *stages]:
+        ok = ok & F.coalesce(test, F.lit(False))
+        counts.append((name, F.count_if(ok)))
+    one = df.agg(*[c.alias(f"n{i}") for i, (_, c) in enumerate(counts)])
+    items = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("stage"), F.col(f"n{i}").alias("n_rows")) for i, (n, _) in enumerate(counts)])
+    return one.select(F.explode(items).alias("x")).select("x.*")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +44,26 @@ def uniform(seed, c: Column) -> Column:
 
 
 def derived_seed(seed, c: Column) -> Column:
-    """An integer seed for each key, from the first 15 hex digits."""
-    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), c.cast("string")), 256), 1, 15), 16, 10).cast("long")
+    """An integer seed for each key: the first eight bytes of the digest, little end first."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), c.cast("string")), 256)
+    return F.conv(F.concat(*[F.substring(digest, 2 * i + 1, 2) for i in reversed(range(8))]), 16, 10).cast("decimal(20,0)")
+
+
+def vector_hash(vec: str):
+    """I8: a column function for the SHA-256 of a header with the length, a NUL, and the values as little-endian float32; null if one isn't finite."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def run(v: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return None
+            a = np.asarray(x, "<f4")
+            return hashlib.sha256(f'{{"dtype":"<f4","n":{len(a)}}}'.encode() + b"\0" + a.tobytes()).hexdigest() if np.isfinite(a).all() else None
+
+        return v.map(one)
+
+    return run(F.col(vec))
 
 
 def canonicalise(df: DataFrame, columns: list[str], canonical: Callable[[Column], Column], valid: Callable[[Column], Column]) -> DataFrame:
@@ -153,10 +174,10 @@ def measured_keys(df: DataFrame, stored: Column, live: Column) -> DataFrame:
 def assignment_hash(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """One digest for each group of ``by``, independent of row order.
 
-    XOR and sum of row hashes are aggregated (two longs a group), then digested
-    with the count; rows are never gathered.
+    XOR and sum of 60-bit row digests are aggregated (two numbers a group), then
+    digested with the count; rows are never gathered.
     """
-    h = F.xxhash64(*columns)
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256), 1, 15), 16, 10).cast("long")
     g = df.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
     return g.select(*by, F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("x").cast("string"), F.col("s").cast("string")), 256).alias("digest"))
 

@@ -132,3 +132,27 @@ def permuted(df: DataFrame, tokens_col: str, copies: int, seed: int, id_col: str
     rows = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     keyed = F.transform(tokens_col, lambda x, i: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("copy").cast("string"), i.cast("string")), 256).alias("k"), x.alias("t")))
     return rows.withColumn(tokens_col, F.array_sort(keyed)["t"])
+
+
+#: The columns that apply_parse adds, in this order.
+PARSED = ("parse_status", "parse_message", "substrate", "condition", "product", "assembled")
+
+
+def apply_parse(df: DataFrame, c: str, width: int = 6, substrates: int = 2) -> DataFrame:
+    """The table with the columns of PARSED; token lists are joined by dots, empty where the record is malformed."""
+    fixed, right = parse_fixed(F.col(c), width), tokens(F.element_at(F.split(F.col(c), ">>"), -1))
+    out = df.withColumn("_f", fixed)
+    good = F.col("_f.status") == "ok"
+    parts = F.col("_f.parts")
+    added = {
+        "parse_status": F.col("_f.status"), "parse_message": F.col("_f.message"), "substrate": F.array_join(F.slice(parts, 1, substrates), "."),
+        "condition": F.array_join(F.slice(parts, substrates + 1, max(width - substrates, 1)), "."), "product": F.when(good, F.array_join(right, ".")).otherwise(""),
+        "assembled": F.when(good, assemble(parts, right)).otherwise(""),
+    }
+    return out.withColumns(added).drop("_f").select(*[x for x in df.columns if x not in PARSED], *PARSED)
+
+
+def stress_table(df: DataFrame, left: str, right: str) -> DataFrame:
+    """The table with product_key and reactant_key, the groups of the stress splits; sources.io.write_fresh is its sink."""
+    product, reactant = stress_keys(F.col(left), F.col(right))
+    return df.withColumns({"product_key": product, "reactant_key": reactant})

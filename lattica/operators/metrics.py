@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -299,3 +300,76 @@ def effects(df: DataFrame, by: list[str], delta: str) -> DataFrame:
     """Helped, hurt or neutral at 1e-9."""
     kind = F.when(F.col(delta) > 1e-9, "helped").when(F.col(delta) < -1e-9, "hurt").otherwise("neutral")
     return df.groupBy(*by, kind.alias("effect")).agg(F.count("*").alias("n"))
+
+
+def three_way(df: DataFrame, by: list[str], arm: str, arms: tuple[str, str, str], v: str) -> DataFrame:
+    """Values of three arms side by side and their deltas; only keys that have all three, one row each."""
+    a, b, c = (df.where(F.col(arm) == x).select(*by, F.col(v).alias(f"v{i}")) for i, x in enumerate(arms))
+    j = a.join(b, by).join(c, by)
+    return j.select(*by, "v0", "v1", "v2", (F.col("v1") - F.col("v0")).alias("d10"), (F.col("v2") - F.col("v0")).alias("d20"), (F.col("v2") - F.col("v1")).alias("d21"))
+
+
+def constrained_best(df: DataFrame, by: list[str], coverage: str, target: float, order: list[Column]) -> DataFrame:
+    """Of rows that reach the target coverage the first by ``order``; of none do, the one of highest coverage, with feasible = false."""
+    feasible = F.coalesce(F.col(coverage) >= target, F.lit(False))
+    miss = F.when(feasible, F.lit(0.0)).otherwise(-F.coalesce(F.col(coverage), F.lit(-1.0)))
+    return best_per_group(df.withColumn("feasible", feasible), by, [F.col("feasible").desc(), miss, *order])
+
+
+def top_fraction_enrichment(df: DataFrame, by: list[str], p: str, y: str, tie: str, fraction: float, threshold) -> DataFrame:
+    """Hits among the max(1, ceil(fraction * n)) best predicted over the share of hits, by group (null without hits)."""
+    n = df.groupBy(*by).agg(F.count("*").alias("n"), (F.count_if(F.col(y) >= threshold) / F.count("*")).alias("prevalence"))
+    n = n.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(fraction))))
+    r = ranked_by(df, by, p, tie).join(n, by).where(F.col("rn") <= F.col("k"))
+    out = r.groupBy(*by, "n", "k", "prevalence").agg((F.count_if(F.col(y) >= threshold) / F.count("*")).alias("precision"))
+    return out.withColumn("enrichment", F.try_divide("precision", "prevalence"))
+
+
+def final_summary(percentiles: DataFrame, by: list[str], unit: str, bar: float = 95.0) -> DataFrame:
+    """Units, their mean percentile and how many are at the bar or above."""
+    return percentiles.groupBy(*by).agg(F.count_distinct(unit).alias("n_units"), F.avg("percentile").alias("mean_percentile"), F.count_if(F.col("percentile") >= bar).alias("units_at_or_above_95th"))
+
+
+def margin_wins(deltas: DataFrame, by: list[str], delta: str, margin: float) -> DataFrame:
+    """Wins by at least the margin (lower is better), losses, and whether the arm is kept: more wins than half of the pairs and a mean below zero."""
+    d = F.col(delta)
+    out = deltas.groupBy(*by).agg(F.count(d).alias("n_pairs"), F.count_if(d <= -margin).alias("n_wins"), F.count_if(d >= margin).alias("n_losses"), (F.sum(d).cast("double") / F.count(d)).alias("mean_delta"))
+    return out.withColumn("kept", (F.col("n_wins") * 2 > F.col("n_pairs")) & (F.col("mean_delta") < 0))
+
+
+def top_excluding(df: DataFrame, chosen: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows by ``order`` that are not chosen yet."""
+    return df.join(chosen.select(key), key, "left_anti").orderBy(*order).limit(n)
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+    out = d
+    for m in range(1, 500):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + k * d
+            d = 1 / (d if abs(d) > 1e-300 else 1e-300)
+            c = 1 + k / c
+            c = c if abs(c) > 1e-300 else 1e-300
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
+def t_test(df: DataFrame, by: list[str], d: str) -> DataFrame:
+    """Paired t statistic and two-sided p-value of a group's deltas; null for fewer than two or without spread."""
+
+    @F.pandas_udf("double")
+    def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else _beta_share((k - 1) / 2, 0.5, (k - 1) / (k - 1 + x * x)) for x, k in zip(t, n, strict=True)], dtype="float64")
+
+    out = df.groupBy(*by).agg(F.count(d).alias("n"), (F.sum(d).cast("double") / F.count(d)).alias("mean_delta"), std_samp(df, d).alias("_std"))
+    out = out.withColumn("t", F.try_divide(F.col("mean_delta") * F.sqrt("n"), F.col("_std"))).drop("_std")
+    return out.withColumn("p_value", p_value("t", "n"))

@@ -222,3 +222,10 @@ def campaign_pool(df: DataFrame, cell: list[str], row_id: str, seed, n_seed: int
 
 def target_size(n: int, fraction: float) -> int:
     return max(1, math.ceil(n * fraction))
+
+
+def inner_split(df: DataFrame, group: str, seed, fraction: float) -> DataFrame:
+    """Whole groups to valid in hash order, max(1, ceil(groups * fraction)) of them and never all; the order of rows plays no part."""
+    r = ranked(df.select(group).distinct(), seed, group)
+    take = F.least(F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(fraction))), F.col("n") - 1)
+    return df.join(r.select(group, F.when(F.col("rank") < take, "valid").otherwise("train").alias("inner")), group)
