@@ -27,6 +27,8 @@ class FTRL:
 
     def update(self, at: np.ndarray, value, label: int) -> None:
         """One example: distinct coordinates, their values, and the class (or 0/1)."""
+        if len(self.z) == 1:
+            return self._update_one(at, value, label)
         z, n = self.z[:, at], self.n[:, at]
         w, b = self._weights(z, n), self.bias()
         s = (w * value).sum(1) + b
@@ -43,6 +45,22 @@ class FTRL:
         self.bias_z += err - (np.sqrt(self.bias_n + err * err) - np.sqrt(self.bias_n)) / self.alpha * b
         self.bias_n += err * err
 
+    def _update_one(self, at, value, label) -> None:
+        """The same for one class, on flat arrays."""
+        zs, ns = self.z[0], self.n[0]
+        z, n = zs[at], ns[at]
+        root = np.sqrt(n)
+        over = np.abs(z) - self.l1
+        w = np.where(over > 0, -np.copysign(over, z) / ((self.beta + root) / self.alpha + self.l2), 0.0)
+        b = self.bias()[0]
+        err = 1 / (1 + np.exp(-min(max(float((w * value).sum()) + b, -35.0), 35.0))) - label
+        g = err * value
+        n += g * g
+        zs[at] = z + g - (np.sqrt(n) - root) / self.alpha * w
+        ns[at] = n
+        self.bias_z[0] += err - (np.sqrt(self.bias_n[0] + err * err) - np.sqrt(self.bias_n[0])) / self.alpha * b
+        self.bias_n[0] += err * err
+
     def weights(self) -> np.ndarray:
         return self._weights(self.z, self.n)
 
