@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import chat, decontaminate, fingerprint, jaccard, language, mixing, pii, quality, secrets, toxicity
+from lattica.llm import bpe, chat, decontaminate, fingerprint, jaccard, language, mixing, periodic, pii, quality, secrets, toxicity, vector_codes
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,12 +15,16 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_secrets": secrets.op10_secrets,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_periodic": periodic.op13_periodic,
 }
 
 SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op3_jaccard_join": jaccard.OP3_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
 }
 
 
