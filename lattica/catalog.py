@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.plans import more, records, relations
+from lattica.plans import models, more, records, relations
 
 FLAGSHIP = "replicate_stats"
-_PLANS = {**records.Q, **relations.Q, **more.Q}
+_PLANS = {**records.Q, **relations.Q, **more.Q, **models.Q}
 
 
 def queries():

@@ -103,6 +103,19 @@ def split_conformal(df: DataFrame, part: str, features: list[str], y: str, alpha
     return out.withColumns({"low": F.col("prediction") - half, "high": F.col("prediction") + half})
 
 
+def calibrated(df: DataFrame, part: str, y: str, kind: str, coverage: float, prediction: str = "prediction", spread: str = "spread", low: str | None = None, high: str | None = None) -> DataFrame:
+    """``df`` with ``low`` and ``high`` from raw predictions: the scores (L9) of ``calibration`` rows give one order statistic (L10),
+    by which intervals are widened: times the spread for scaled residuals, beyond the raw bounds for quantiles."""
+    bounds = (F.col(low), F.col(high)) if low and high else (F.col(prediction), F.col(prediction))
+    scores = df.where((F.col(part) == "calibration") & F.col(y).isNotNull() & F.col(prediction).isNotNull())
+    score = calibration_score(kind, F.col(y), F.col(prediction), F.col(spread) if kind == "scaled_residual" else None, *bounds)
+    q = conformal_quantile(scores.select(score.cast("double").alias("_score"), F.lit(1).alias("_g")), ["_g"], "_score", coverage).first()
+    add = F.lit(None if q is None else float(q["quantile"])).cast("double")
+    if kind == "scaled_residual":
+        add = add * F.greatest(F.col(spread), F.lit(1e-9))
+    return df.withColumns({"low": bounds[0] - add, "high": bounds[1] + add})
+
+
 def low_rank(df: DataFrame, vec: str, k: int) -> DataFrame:
     """projections on the top ``k`` right singular vectors of the centred vectors.
 
