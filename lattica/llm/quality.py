@@ -79,7 +79,7 @@ def _dictionary(texts: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICT_BYTES, parts).as_bytes()
     except zstandard.ZstdError:  # too few samples: their text itself serves as a raw dictionary
-        return b"".join(parts)[-DICT_BYTES:] or b"\n" * 8
+        return b"".join(parts) or b"\n" * 8
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> QualityModel:
@@ -113,47 +113,6 @@ def _learn(rows, share) -> QualityModel:
     return model
 
 
-def score(self, diffs: np.ndarray) -> np.ndarray:
-        return np.full(len(diffs), self.constant) if self.constant is not None else sigmoid(self.a * diffs + self.b)
-
-
-def _ready(raw: bytes):
-    d = zstandard.ZstdCompressionDict(raw)
-    d.precompute_compress(level=LEVEL)
-    return d
-
-
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Trained on the pieces of all texts."""
-    parts = [p for t in texts for p in pieces(t)]
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, parts).as_bytes()
-    except zstandard.ZstdError:  # too few samples: their text itself serves as a raw dictionary
-        return b"".join(parts)[-DICT_BYTES:] or b"\n" * 8
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> QualityModel:
-    """Learn from labelled rows (the caller leaves out what must not be learned from)."""
-    rows = labelled(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, label, max_rows, per_class=True).collect()  # at most max_rows of each label
-    # all rows count for the share of labels; the sample has as many of each as there are
-    share = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    rows = sorted(rows, key=lambda r: int(T.mix(np.array([r["doc_id"]]).astype(np.uint64))[0]))
-    texts = [[(r["text"] or "").encode() for r in rows if r["label"] == k] for k in (0, 1)]
-    if not (texts[0] and texts[1]):
-        return QualityModel(b"", b"", constant=0.5 if share is None else float(share))
-    train, test = [t[: max(1, len(t) * 2 // 3)] for t in texts], [t[len(t) * 2 // 3 :] for t in texts]
-    model = QualityModel(_dictionary(train[1]), _dictionary(train[0]))
-    comp = model.compressors()
-    diffs = np.array([model.difference(t, comp) for k in (0, 1) for t in test[k]])
-    y = np.array([k for k in (0, 1) for _ in test[k]])
-    a, b = platt(diffs, y)
-    # the sample has its own share of labels; the intercept is moved to that of all labelled rows
-    mine = min(max(y.mean(), 1e-6), 1 - 1e-6)
-    share = min(max(share, 1e-6), 1 - 1e-6)
-    model.a, model.b = max(a, 1e-6), b + float(np.log(share / (1 - share)) - np.log(mine / (1 - mine)))
-    return model
-
-
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id and score of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES

@@ -47,6 +47,15 @@ def saved(spark, corpus, path):
     return str(path)
 
 
+def test_fits_bring_no_rows_to_the_driver():
+    import inspect
+
+    for m in (quality, toxicity, language):
+        source = inspect.getsource(m)
+        assert source.count("\ndef fit(") == 1 and source.count("\ndef score(") <= 1
+        assert "collect()" not in inspect.getsource(m.fit) and "toPandas" not in inspect.getsource(m.fit)
+
+
 def test_quality_and_toxicity_and_language_held_out(spark, corpus, tmp_path):
     d = saved(spark, corpus, tmp_path)
     n = len(corpus) + len(EDGE)

@@ -29,3 +29,15 @@ def test_stages_take_effect(spark, tmp_path):
     assert not ids[0] & toxic and len(everything - ids[0]) <= len(toxic) + 3
     assert ids[0] - ids[1] == {1000} and ids[1] - ids[2] == {1001} and ids[2] == ids[3] == ids[4]
     assert all(r["rate"] >= 0 for r in df.collect())
+
+
+def test_nothing_to_learn_rejects_nothing(spark, tmp_path):
+    docs = [(1, "plain words here"), (2, None), (3, ""), (None, "more words"), (4, "!!! ..."), (5, "other plain words"), (6, "a few words")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash") for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    for n, rows in enumerate(([(1, 1)], [(1, 1), (5, 1), (6, 0)], [(1, 1), (5, 1)])):
+        spark.createDataFrame([(i, 1, t) for i, t in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        kept = cp.drop_toxic(spark, df, f"{tmp_path}/{n}")
+        assert kept.columns == df.columns
+        assert {r["text"] for r in kept.collect()} >= {None, "", "!!! ..."}
+    assert cp.drop_toxic(spark, df, f"{tmp_path}/0").count() == len(docs)
+    assert cp.drop_toxic(spark, df.where("false"), f"{tmp_path}/0").count() == 0
