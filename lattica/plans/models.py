@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattica.operators import components as co
 from lattica.operators import forests as fo
 from lattica.operators import labels as lb
 from lattica.operators import splits as sp
-from lattica.plans.base import read
+from lattica.plans.base import T, read, typed_orders
 
 Q: dict = {}
 
@@ -92,3 +93,39 @@ def _(s, d):
         F.round(F.avg(F.col("high") - F.col("low")), 3).alias("width"),
         *[F.round(loss(b, q), 3).alias(f"pinball_{b}") for b, q in (("prediction", 0.5), ("raw_low", 0.05), ("raw_high", 0.95))],
     )
+
+
+def _tokens(s, d):
+    t = typed_orders(s, d)
+    bits = F.array(*[F.concat(F.lit(f"{c}="), F.col(c)) for c in ("n_name", "c_mktsegment", "o_orderpriority", "o_orderstatus")])
+    rows = t.select(F.col("o_orderkey").alias("id"), "y", bits.alias("bits"))
+    return rows, co.cells_of(rows, "id", "bits")
+
+
+@query("pls_scores", f"""
+WITH {T}, x AS MATERIALIZED (SELECT o_orderkey AS id, CAST(y AS DOUBLE) - (SELECT sum(y) / count(*) FROM t WHERE o_orderkey % 5 > 0) AS y, o_orderkey % 5 > 0 AS fit,
+  unnest(['n_name=' || n_name, 'c_mktsegment=' || c_mktsegment, 'o_orderpriority=' || o_orderpriority, 'o_orderstatus=' || o_orderstatus]) AS bit FROM t),
+n AS (SELECT CAST(count(DISTINCT id) AS DOUBLE) AS n FROM x WHERE fit),
+m AS (SELECT bit, count(*) / (SELECT n FROM n) AS mean, sum(y) AS c FROM x WHERE fit GROUP BY bit),
+w1 AS (SELECT *, c / (SELECT sqrt(sum(c * c)) * sign(arg_max(c, abs(c))) FROM m) AS w FROM m),
+t1 AS (SELECT id, fit, any_value(y) AS y, sum(coalesce(w, 0)) - (SELECT sum(mean * w) FROM w1) AS t FROM x LEFT JOIN w1 USING (bit) GROUP BY id, fit),
+s1 AS (SELECT sum(t * t) AS tt, sum(t * y) AS ty, sum(t) AS st FROM t1 WHERE fit),
+p1 AS (SELECT bit, (sum(t) - any_value(mean) * any_value(st)) / any_value(tt) AS p FROM x JOIN t1 USING (id) JOIN m USING (bit), s1 WHERE x.fit GROUP BY bit),
+m2 AS (SELECT bit, mean, w, p, c - p * ty AS raw FROM w1 JOIN p1 USING (bit), s1),
+w2 AS (SELECT *, raw / (SELECT sqrt(sum(raw * raw)) * sign(arg_max(raw, abs(raw))) FROM m2) AS v FROM m2),
+r2 AS (SELECT bit, mean, v - w * (SELECT sum(p * v) FROM w2) AS r FROM w2),
+t2 AS (SELECT id, fit, any_value(y) AS y, sum(coalesce(r, 0)) - (SELECT sum(mean * r) FROM r2) AS t FROM x LEFT JOIN r2 USING (bit) GROUP BY id, fit),
+s2 AS (SELECT sum(t * t) AS tt, sum(t * y) AS ty FROM t2 WHERE fit)
+SELECT id, round(t1.t, 6) AS t1, round(t2.t, 6) AS t2, round((SELECT sum(y) / count(*) FROM t WHERE o_orderkey % 5 > 0) + t1.t * s1.ty / s1.tt + t2.t * s2.ty / s2.tt, 2) AS prediction FROM t1 JOIN t2 USING (id), s1, s2""")
+def _(s, d):
+    rows, cells = _tokens(s, d)
+    model = co.pls(cells, rows.where("id % 5 > 0").select("id", "y"), 2)
+    return co.pls_scores(cells, rows, model).select("id", F.round("t1", 6).alias("t1"), F.round("t2", 6).alias("t2"), F.round("prediction", 2).alias("prediction"))
+
+
+@query("sparse_svd")
+def _(s, d):
+    """Scores of all rows on three singular vectors of the training rows' tokens."""
+    rows, cells = _tokens(s, d)
+    model = co.svd(cells.where("id % 5 > 0"), 3, oversample=8, passes=4)
+    return co.svd_scores(cells, rows, model).select("id", *[F.round(f"s{i}", 5).alias(f"s{i}") for i in (1, 2, 3)])
