@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.identity import hash_order, uniform
+from lattica.operators.ranking import greedy_rankings
 
 
 def erf(x: Column) -> Column:
@@ -55,27 +56,9 @@ def random_batch(df: DataFrame, key: str, seed, k: int) -> DataFrame:
 
 
 def greedy_diverse(df: DataFrame, campaign: str, key: str, mean: str, vec: str, k: int, weight: float) -> DataFrame:
-    """One pick after the other by mean - weight * highest cosine to the picks so far.
-
-    Serial within a campaign by definition; campaigns run in parallel.  A
-    campaign's pool is a pre-filtered batch, not a table.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = np.array(pdf[vec].tolist(), float)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        m, near, free, out = pdf[mean].to_numpy(float), np.zeros(len(pdf)), np.ones(len(pdf), bool), []
-        for place in range(min(k, len(pdf))):
-            s = np.where(free, np.round(m - weight * near, 9), -np.inf)
-            i = int(s.argmax())
-            free[i] = False
-            out.append((pdf[campaign].iloc[0], int(pdf[key].iloc[i]), place + 1, float(s[i])))
-            near = np.maximum(near, x @ x[i])
-        return pd.DataFrame(out, columns=["campaign", "key", "place", "score"])
-
-    kind = dict(df.dtypes)[campaign]
-    return df.select(campaign, key, mean, vec).groupBy(campaign).applyInPandas(run, f"campaign {kind}, key long, place int, score double")
+    """One pick after the other by mean - weight * highest cosine to the picks so far, in every campaign."""
+    got = greedy_rankings(df, campaign, key, vec, {"diverse": (F.col(mean), weight)}, k)
+    return got.select(F.col(campaign).alias("campaign"), F.col(key).cast("long").alias("key"), "place", "score")
 
 
 def campaign(df: DataFrame, campaign_col: str, key: str, y: str, seed: int, n_seed: int, rounds: int, batch: int, strategy: str = "greedy", feature: str | None = None, **settings) -> DataFrame:

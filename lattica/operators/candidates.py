@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.identity import hash_order, uniform
+from lattica.operators.order import positions
 from lattica.schema import RoleSchema
 
 
@@ -74,7 +75,7 @@ def with_fallback(first: DataFrame, second: DataFrame, source: str) -> DataFrame
 
 def traversal(df: DataFrame, columns: list[str]) -> DataFrame:
     """The canonical order of rows, as a 1-based position."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*columns)))
+    return positions(df, columns, total="_n").drop("_n").withColumn("position", F.col("position") + 1)
 
 
 def capped(pairs: DataFrame, source: str, order: list[Column], per_source: int, budget: int) -> DataFrame:

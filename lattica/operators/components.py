@@ -2,7 +2,7 @@
 
 A table of cells has the columns ``id``, ``bit`` (of any type) and ``v``; zeros are left out and rows need not have a
 cell.  Nothing of the size of rows times bits, or bits times bits, is ever made: a pass multiplies the cells by a table
-of one row a bit (or a row) and sums by row (or by bit).  That table is broadcast if it has at most ``SMALL`` rows, and
+of one row a bit (or a row) and sums by row (or by bit).  That table is broadcast if it has at most ``store.SMALL`` rows, and
 else joined by its key, where adaptive execution splits frequent bits.  The driver sees numbers of components only.
 
 Defined results: null bits and values are left out, equal cells of a row are added, a null outcome takes the row out of
@@ -17,9 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.store import kept
+from lattica.store import kept, sized
 
-SMALL = 200_000  # rows of a table that is sent to every task
 TINY = 1e-18
 
 
@@ -33,11 +32,6 @@ def _clean(cells: DataFrame) -> DataFrame:
     return fine.groupBy("id", "bit").agg(F.sum(F.col("v").cast("double")).alias("v")).where("v <> 0")
 
 
-def _sized(table: DataFrame) -> DataFrame:
-    """The table with a hint to broadcast it, if it is small enough; it has been written, so counting it is cheap."""
-    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
-
-
 def _sum(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0.0))
 
@@ -80,10 +74,10 @@ def pls(cells: DataFrame, outcomes: DataFrame, components: int) -> PLS:
         dots = m.agg(*[_sum(F.col(f"p{j}") * F.col(f"w{k}")) for j in range(1, k)], F.lit(0.0)).first()
         m = kept(m.withColumn(f"r{k}", F.col(f"w{k}") - sum((F.col(f"r{j}") * dots[j - 1] for j in range(1, k)), F.lit(0.0))), "pls-bits")
         offset = m.agg(_sum(F.col("mean") * F.col(f"r{k}"))).first()[0]
-        some = x.join(_sized(m.select("bit", f"r{k}")), "bit").groupBy("id").agg(F.sum(F.col("v") * F.col(f"r{k}")).alias("s"))
+        some = x.join(sized(m.select("bit", f"r{k}")), "bit").groupBy("id").agg(F.sum(F.col("v") * F.col(f"r{k}")).alias("s"))
         scores = kept(y.join(some, "id", "left").select("id", "y", (F.coalesce("s", F.lit(0.0)) - offset).alias("t")), "pls-scores")
         tt, ty, st = scores.agg(_sum(F.col("t") * F.col("t")), _sum(F.col("t") * F.col("y")), _sum(F.col("t"))).first()
-        load = x.select("id", "bit", "v").join(_sized(scores.select("id", "t")), "id").groupBy("bit").agg(F.sum(F.col("v") * F.col("t")).alias("vt"))
+        load = x.select("id", "bit", "v").join(sized(scores.select("id", "t")), "id").groupBy("bit").agg(F.sum(F.col("v") * F.col("t")).alias("vt"))
         p = (F.coalesce("vt", F.lit(0.0)) - F.col("mean") * st) / (tt if tt > TINY else 1.0)
         m = kept(m.join(load, "bit", "left").withColumn(f"p{k}", p).drop("vt"), "pls-bits")
         offsets.append(offset)
@@ -95,7 +89,7 @@ def pls(cells: DataFrame, outcomes: DataFrame, components: int) -> PLS:
 def pls_scores(cells: DataFrame, rows: DataFrame, model: PLS) -> DataFrame:
     """(id, t1 .. tk, prediction) of each id of ``rows``; bits that training didn't have count as zero."""
     k = len(model.offsets)
-    some = _clean(cells).join(_sized(model.rotations.drop("mean")), "bit").groupBy("id").agg(*[F.sum(F.col("v") * F.col(f"r{i}")).alias(f"t{i}") for i in range(1, k + 1)])
+    some = _clean(cells).join(sized(model.rotations.drop("mean")), "bit").groupBy("id").agg(*[F.sum(F.col("v") * F.col(f"r{i}")).alias(f"t{i}") for i in range(1, k + 1)])
     out = rows.select("id").join(some, "id", "left")
     out = out.withColumns({f"t{i}": F.coalesce(f"t{i}", F.lit(0.0)) - model.offsets[i - 1] for i in range(1, k + 1)})
     return out.withColumn("prediction", sum((F.col(f"t{i}") * w for i, w in enumerate(model.weights, 1)), F.lit(model.mean)))
@@ -148,10 +142,10 @@ def svd(cells: DataFrame, components: int, oversample: int = 10, passes: int = 7
     for step in range(passes + 1):
         z = _times(z, "bit", names, _whitening(_gram(z, names)), names)
         z = kept(z, "svd-basis")
-        y = x.join(_sized(z), "bit").groupBy("id").agg(*[F.sum(F.col("v") * F.col(n)).alias(n) for n in names])
+        y = x.join(sized(z), "bit").groupBy("id").agg(*[F.sum(F.col("v") * F.col(n)).alias(n) for n in names])
         if step < passes:
             y = kept(y, "svd-rows")
-            z = kept(x.join(_sized(y), "id").groupBy("bit").agg(*[F.sum(F.col("v") * F.col(n)).alias(n) for n in names]), "svd-bits")
+            z = kept(x.join(sized(y), "id").groupBy("bit").agg(*[F.sum(F.col("v") * F.col(n)).alias(n) for n in names]), "svd-bits")
     values, vectors = np.linalg.eigh(_gram(y, names))  # of the basis's images: squared singular values within it
     top = np.argsort(-values)[:components]
     values = np.sqrt(np.maximum(values[top], 0.0))
@@ -165,5 +159,5 @@ def svd(cells: DataFrame, components: int, oversample: int = 10, passes: int = 7
 def svd_scores(cells: DataFrame, rows: DataFrame, model: SVD) -> DataFrame:
     """(id, s1 .. sk): each id of ``rows`` times the singular vectors."""
     k = len(model.values)
-    some = _clean(cells).join(_sized(model.vectors), "bit").groupBy("id").agg(*[F.sum(F.col("v") * F.col(f"v{i}")).alias(f"s{i}") for i in range(1, k + 1)])
+    some = _clean(cells).join(sized(model.vectors), "bit").groupBy("id").agg(*[F.sum(F.col("v") * F.col(f"v{i}")).alias(f"s{i}") for i in range(1, k + 1)])
     return rows.select("id").join(some, "id", "left").select("id", *[F.coalesce(f"s{i}", F.lit(0.0)).alias(f"s{i}") for i in range(1, k + 1)])

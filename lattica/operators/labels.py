@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.identity import std_pop
+from lattica.operators.order import order_statistic, quantile_edges
 
 
 def ensemble(df: DataFrame, candidate: str, prediction: str) -> DataFrame:
@@ -34,8 +35,7 @@ def sample_weight(is_real: Column, similarity: Column, low: float, high: float,
 
 def strata(df: DataFrame, y: str, quantiles: list[float]) -> DataFrame:
     """The number of distinct quantile edges below or at... right-closed bins: edges smaller than y."""
-    edges = df.agg(*[F.percentile(y, q).alias(f"q{i}") for i, q in enumerate(quantiles)]).first()
-    cuts = sorted({e for e in edges if e is not None})
+    cuts = sorted({e for e in quantile_edges(df, y, quantiles) if e is not None})
     return df.withColumn("stratum", sum(((F.col(y) > c).cast("int") for c in cuts), F.lit(0)))
 
 
@@ -52,11 +52,8 @@ def calibration_score(kind: str, y: Column, pred: Column, spread: Column | None
 
 def conformal_quantile(df: DataFrame, by: list[str], score: str, coverage: float) -> DataFrame:
     """The order statistic of rank min(n, ceil((n + 1) * coverage)) in each group."""
-    w = Window.partitionBy(*by)
-    order = w.orderBy(score)
-    r = df.withColumn("_r", F.row_number().over(order)).withColumn("n", F.count("*").over(w))
-    rank = F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(coverage)))
-    return r.where(F.col("_r") == rank).select(*by, "n", F.col(score).alias("quantile"))
+    rank = F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(coverage))) - 1
+    return order_statistic(df, score, rank, by).select(*by, "n", F.col(score).alias("quantile"))
 
 
 def ridge(df: DataFrame, features: list[str], y: str, alpha: float) -> dict:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.identity import std_samp
+from lattica.operators.order import positions, quantile_edges
 
 _BIG = "decimal(38,0)"
 
@@ -151,8 +152,8 @@ def selective_curve(df: DataFrame, by: list[str], score: str, y: str, p: str) ->
 
 def tertiles(df: DataFrame, c: str) -> DataFrame:
     """Low, medium or high by the exact third and two-thirds quantiles."""
-    e = df.agg(F.percentile(c, 1 / 3).alias("a"), F.percentile(c, 2 / 3).alias("b")).first()
-    return df.withColumn("tertile", F.when(F.col(c).isNull(), None).when(F.col(c) <= F.lit(e["a"]), "low").when(F.col(c) <= F.lit(e["b"]), "medium").otherwise("high"))
+    a, b = (F.lit(e) for e in quantile_edges(df, c, [1 / 3, 2 / 3]))
+    return df.withColumn("tertile", F.when(F.col(c).isNull(), None).when(F.col(c) <= a, "low").when(F.col(c) <= b, "medium").otherwise("high"))
 
 
 def stratified_errors(df: DataFrame, dimensions: list[str], target: str, y: str, p: str) -> DataFrame:
@@ -282,10 +283,11 @@ def sharing_counts(df: DataFrame, key: str, roles: list[str], row_id: str) -> Da
 
 def strided(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """``n`` rows evenly strided by rank, places rounded half to even."""
-    total = df.count()
-    r = df.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1)
+    r = positions(df, order, name="_r", total="_n")
+    first = r.select("_n").first()
+    total = first["_n"] if first else 0
     places = sorted({int(x) for x in np.round(np.linspace(0, total - 1, min(n, total)))}) if total else []
-    return r.where(F.col("_r").isin(places) if places else F.lit(False)).drop("_r")
+    return r.where(F.col("_r").isin(places) if places else F.lit(False)).drop("_r", "_n")
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], v: str, tolerance: float = 1e-8) -> DataFrame:

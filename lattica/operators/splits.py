@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.identity import hash_order, uniform
+from lattica.operators.order import positions
 
 
 def ranked(df: DataFrame, seed, *keys: str, within: list[str] | None = None, name: str = "rank") -> DataFrame:
@@ -123,8 +124,8 @@ def grouped_outer_sized(sizes: DataFrame, group: str, size: str, seed, ratios: d
 
 def nested_prefixes(sizes: DataFrame, group: str, size: str, order: str, fractions: list[float]) -> DataFrame:
     """K7: a group is in the prefix of a fraction if the rows before it are fewer than max(1, ceil(n * f)); fractions are nested."""
-    w = Window.orderBy(order, group).rowsBetween(Window.unboundedPreceding, -1)  # the group table
-    rows = sizes.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0))).withColumn("n", F.sum(size).over(Window.partitionBy()))
+    rows = positions(sizes.select(group, size, order), [order, group], name="_place", total="_groups", before={"before": size})
+    rows = rows.withColumn("n", F.lit(sizes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]))
     rows = rows.withColumn("fraction", F.explode(F.lit([float(f) for f in fractions])))
     target = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("fraction")))
     return rows.where((F.col("fraction") == 1.0) | (F.col("before") < target)).select(group, "fraction", size)
@@ -167,33 +168,6 @@ def bounded_test_components(components: DataFrame, seed, target: int, min_train:
     return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(fill, "comp long, n long, split string")
 
 
-def cluster_holdouts(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Greedy clusters of a neighbour table (a, b): by falling number of free neighbours, ties by id.
-
-    Rounds are serial by definition; ``ids`` (id) and ``pairs`` are the tables of
-    distinct fingerprints, one row each.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in pdf[["a", "b"]].itertuples(index=False):
-            near.setdefault(a, set())
-            if b is not None and not pd.isna(b):
-                near[a].add(int(b))
-                near.setdefault(int(b), set()).add(a)
-        order = sorted(near, key=lambda k: (-len(near[k]), k))
-        free, out = set(near), []
-        for k in order:
-            if k in free:
-                members = {k} | (near[k] & free)
-                free -= members
-                out += [(m, k) for m in sorted(members)]
-        return pd.DataFrame(out, columns=["id", "cluster"])
-
-    rows = ids.select(F.col("id").cast("long").alias("a")).join(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("double").alias("b")), "a", "left")
-    return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "id long, cluster long")
-
-
 def evaluation_roles(df: DataFrame, split: str, included: Column, outcome: str) -> DataFrame:
     """Labelled, hidden, valid, test; hidden and test rows lose their outcome."""
     role = F.when((F.col(split) == "train") & included, "labeled").when(F.col(split) == "train", "hidden").otherwise(F.col(split))

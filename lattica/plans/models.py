@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattica.operators import candidates as cd
 from lattica.operators import components as co
 from lattica.operators import forests as fo
 from lattica.operators import labels as lb
+from lattica.operators import order as od
 from lattica.operators import splits as sp
-from lattica.plans.base import T, read, typed_orders
+from lattica.plans.base import CELL, T, read, typed_orders
 
 Q: dict = {}
 
@@ -129,3 +131,18 @@ def _(s, d):
     rows, cells = _tokens(s, d)
     model = co.svd(cells.where("id % 5 > 0"), 3, oversample=8, passes=4)
     return co.svd_scores(cells, rows, model).select("id", *[F.round(f"s{i}", 5).alias(f"s{i}") for i in (1, 2, 3)])
+
+
+@query("canonical_traversal", f"""
+WITH {T} SELECT o_orderkey, row_number() OVER (ORDER BY n_name, c_mktsegment, o_orderpriority, o_orderstatus, o_orderkey) AS position FROM t""")
+def _(s, d):
+    return cd.traversal(typed_orders(s, d), [*CELL, "o_orderkey"]).select("o_orderkey", "position")
+
+
+@query("group_order_statistics", f"""
+WITH {T}, r AS (SELECT n_name, y, row_number() OVER (PARTITION BY n_name ORDER BY y DESC, o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY n_name) AS n, coalesce(sum(y) OVER (PARTITION BY n_name ORDER BY y DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM t)
+SELECT n_name, y, k, n, CAST(ahead AS BIGINT) AS ahead FROM r WHERE k % 10 = 0""")
+def _(s, d):
+    """Each tenth place of a nation's outcomes from the highest down, with the sum of those ahead."""
+    t = typed_orders(s, d).select("n_name", "y", "o_orderkey")
+    return od.positions(t, [F.col("y").desc(), "o_orderkey"], ["n_name"], "k", "n", {"ahead": "y"}).where("k % 10 = 0").drop("o_orderkey")

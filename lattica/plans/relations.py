@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from lattica.operators import acquire as aq
 from lattica.operators import audit as au
 from lattica.operators import candidates as cd
+from lattica.operators import clusters as cu
 from lattica.operators import labels as lb
 from lattica.operators import metrics as mt
 from lattica.operators import protocol as pr
+from lattica.operators import ranking as rk
 from lattica.operators import similarity as sm
 from lattica.operators import splits as sp
 from lattica.plans.base import SCHEMA, T, read, typed_orders
@@ -54,10 +56,30 @@ def _(s, d):
     return sm.components(sm.similar_pairs(e, 0.6), e)
 
 
-@query("cluster_holdouts")
+# the sequential rule: node by node in order, with the list of those that have a cluster
+_CLUSTERS = f"""{_E}, g AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id <> b.id WHERE {_COS} >= 0.35),
+nb AS (SELECT a, list(b) AS l FROM g GROUP BY a), o AS MATERIALIZED (SELECT id, l, row_number() OVER (ORDER BY coalesce(len(l), 0) DESC, id) AS k FROM e LEFT JOIN nb ON a = id),
+w AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS taken
+  UNION ALL SELECT o.k, CASE WHEN NOT list_contains(taken, id) THEN id END, CASE WHEN list_contains(taken, id) THEN taken ELSE list_concat(taken, list_prepend(id, coalesce(l, []))) END FROM w JOIN o ON o.k = w.k + 1),
+c AS (SELECT id, arg_min(leader, k) AS cluster FROM (SELECT leader AS id, leader, k FROM w WHERE leader IS NOT NULL UNION ALL SELECT g.b, leader, k FROM w JOIN g ON g.a = leader) GROUP BY id)"""
+
+
+@query("cluster_holdouts", f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM c")
+def _(s, d):
+    e = _vectors(s, d)
+    return cu.greedy_clusters(sm.similar_pairs(e, 0.35), e)
+
+
+@query("cluster_folds", f"""
+WITH RECURSIVE {_CLUSTERS}, r AS (SELECT cluster, label FROM c JOIN e USING (id)),
+f AS (SELECT cluster, count(*) AS n_test, count(DISTINCT label) AS test_groups, (SELECT count(*) FROM r) - count(*) AS n_train, (SELECT count(DISTINCT label) FROM r x WHERE x.cluster <> r.cluster) AS train_groups FROM r GROUP BY cluster),
+t AS (SELECT *, concat_ws('; ', CASE WHEN n_test < 2 THEN 'n_test_below_minimum(observed=' || n_test || ',required=2)' END, CASE WHEN n_train < 10 THEN 'n_train_below_minimum(observed=' || n_train || ',required=10)' END,
+  CASE WHEN test_groups < 2 THEN 'test_groups_below_minimum(observed=' || test_groups || ',required=2)' END, CASE WHEN train_groups < 2 THEN 'train_groups_below_minimum(observed=' || train_groups || ',required=2)' END) AS reasons FROM f)
+SELECT *, reasons = '' AS supported FROM t""")
 def _(s, d):
     e = _vectors(s, d)
-    return sp.cluster_holdouts(sm.similar_pairs(e, 0.6), e)
+    c = cu.greedy_clusters(sm.similar_pairs(e, 0.35), e)
+    return cu.cluster_folds(e.select("id", "label").join(c, "id"), "cluster", "label", 2, 10, 2, 2)
 
 
 @query("bounded_test_split", f"""
@@ -616,7 +638,25 @@ def _(s, d):
     return aq.top(t, F.round(aq.thompson(F.col("p").cast("double"), F.lit(5000.0), 3, F.col("o_orderkey")), 4), "o_orderkey", 50).select("o_orderkey", "score")
 
 
-@query("diverse_batch")
+def _picks(policies: str, k: int) -> str:
+    """Step by step: a pick of each policy and label, and the pool without it with raised similarities."""
+    steps = [f"s0 AS (SELECT policy, label, id, v, base, penalty, 0.0::DOUBLE AS near FROM (SELECT *, id % 97 / 97.0::DOUBLE AS mean, id % 13 / 13.0::DOUBLE AS half FROM e) x, {policies})"]
+    for i in range(k):
+        steps.append(f"p{i} AS MATERIALIZED (SELECT * FROM s{i} QUALIFY row_number() OVER (PARTITION BY policy, label ORDER BY round(base - penalty * near, 9) DESC, id) = 1)")
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT a.* REPLACE (greatest(a.near, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))) AS near) FROM s{i} a JOIN p{i} b ON a.policy = b.policy AND a.label = b.label AND a.id <> b.id)")
+    all_ = " UNION ALL ".join(f"SELECT label, policy, CAST({i + 1} AS INT) AS place, id, round(base - penalty * near, 9) AS score FROM p{i}" for i in range(k))
+    return f"WITH {_E}, {', '.join(steps)}, r AS ({all_})"
+
+
+@query("greedy_rankings", _picks("(SELECT 'predicted' AS policy, mean AS base, 0.0::DOUBLE AS penalty UNION ALL SELECT 'confidence', mean + 2 * half, 0.0 UNION ALL SELECT 'diverse', mean, 0.7 UNION ALL SELECT 'support', 0.25 * mean, 1.0) q", 12) + " SELECT label, policy, place, id, round(score, 6) AS score FROM r")
+def _(s, d):
+    e = _vectors(s, d).withColumn("mean", F.col("id") % 97 / F.lit(97.0))
+    half = F.col("id") % 13 / F.lit(13.0)
+    policies = {"predicted": (F.col("mean"), 0.0), "confidence": (F.col("mean") + 2 * half, 0.0), "diverse": (F.col("mean"), 0.7), "support": (0.25 * F.col("mean"), 1.0)}
+    return rk.greedy_rankings(e, "label", "id", "vec", policies, 12).withColumn("score", F.round("score", 6))
+
+
+@query("diverse_batch", _picks("(SELECT 'diverse' AS policy, mean AS base, 0.5::DOUBLE AS penalty) q", 8) + " SELECT label AS campaign, id AS key, place, score FROM r")
 def _(s, d):
     e = _vectors(s, d).withColumn("mean", (F.col("id") % 97).cast("double") / 97)
     return aq.greedy_diverse(e, "label", "id", "mean", "vec", 8, 0.5)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -38,3 +39,11 @@ def _clear() -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session has ended; its owner clears the folder
             return
+
+
+SMALL = 200_000  # rows of a table that may be sent to every task
+
+
+def sized(table: DataFrame, limit: int = SMALL) -> DataFrame:
+    """``table`` with a hint to broadcast it if it has at most ``limit`` rows; meant for written tables, which are cheap to count."""
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table

@@ -46,7 +46,7 @@ def test_pls_equals_brute_force(spark):
 @pytest.mark.parametrize("small", [True, False])
 def test_svd_equals_brute_force(spark, small, monkeypatch):
     if not small:
-        monkeypatch.setattr(co, "SMALL", 3)
+        monkeypatch.setattr(co, "sized", lambda t: t)
     x, y = data(90, 12, 1)
     train = np.arange(90) % 3 > 0
     cells, out, rows = frames(spark, x, y, train)
