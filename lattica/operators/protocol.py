@@ -5,12 +5,14 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.metrics import best_per_group
+from lattica.sources import shared_files as sf
 from lattica.sources.io import document_hash
 
 
@@ -77,6 +79,62 @@ class Registry:
         return [u for u in units if self.state(u) in ("reserved", "prediction_complete")]
 
 
+class ClaimError(ValueError):
+    """A unit that is claimed already, or a step that isn't the next one."""
+
+
+@dataclass
+class SharedRegistry:
+    """O3, O4 for several drivers: the same states in a folder that all of them reach, with times, so that stale claims end.
+
+    Step k of a unit is one file that can be created once, whatever state it holds: of two drivers that move a unit, or of
+    one that completes it and another that gives it up, one wins.  A unit that was given up is never evaluated again.
+    """
+
+    spark: SparkSession
+    root: str
+
+    def _file(self, unit: dict | str, step: int) -> str:
+        key = document_hash(unit)
+        return f"{self.root}/{key[:2]}/{key}.{step}.json"
+
+    def records(self, unit: dict | str) -> list[dict]:
+        """What is known of a unit, step by step."""
+        out = []
+        while (text := sf.read(self.spark, self._file(unit, len(out)))) is not None:
+            r = json.loads(text)
+            if document_hash({k: v for k, v in r.items() if k != "hash"}) != r["hash"] or r["unit"] != unit:
+                raise ClaimError(f"the record of {unit} was changed")
+            out.append(r)
+        return out
+
+    def state(self, unit: dict | str) -> str | None:
+        r = self.records(unit)
+        return r[-1]["state"] if r else None
+
+    def move(self, unit: dict | str, state: str, payload: dict | None = None, now: float | None = None) -> dict:
+        """Take a unit to its next state; an error if it can't go there, or another driver was first."""
+        seen = self.records(unit)
+        last = seen[-1]["state"] if seen else None
+        if state not in Registry.NEXT.get(last, ()):
+            raise ClaimError(f"{unit}: {last} can't become {state}")
+        body = {"unit": unit, "state": state, "at": time.time() if now is None else now, "payload": payload or {}}
+        body["hash"] = document_hash(body)
+        if not sf.create_once(self.spark, self._file(unit, len(seen)), json.dumps(body, sort_keys=True)):
+            raise ClaimError(f"{unit}: another driver was first")
+        return body
+
+    def inspect(self, unit: dict | str, stale_after: float, now: float | None = None) -> str | None:
+        """The state, after a claim without a sign for ``stale_after`` seconds has been given up for good."""
+        seen, now = self.records(unit), time.time() if now is None else now
+        if seen and seen[-1]["state"] in ("reserved", "prediction_complete") and now - seen[-1]["at"] >= stale_after:
+            try:
+                self.move(unit, "failed_or_uncertain", {"reason": f"{seen[-1]['state']} for {stale_after:g} seconds"}, now)
+            except ClaimError:  # another driver moved it meanwhile
+                return self.state(unit)
+        return self.state(unit)
+
+
 class ConfigError(ValueError):
     pass
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from lattica import store
+from lattica.functions import canonical as cn
+from lattica.operators import bin_policy as bp
 from lattica.operators import candidates as cd
 from lattica.operators import components as co
 from lattica.operators import forests as fo
@@ -11,6 +16,7 @@ from lattica.operators import labels as lb
 from lattica.operators import order as od
 from lattica.operators import splits as sp
 from lattica.plans.base import CELL, T, read, typed_orders
+from lattica.sources import pools
 
 Q: dict = {}
 
@@ -146,3 +152,72 @@ def _(s, d):
     """Each tenth place of a nation's outcomes from the highest down, with the sum of those ahead."""
     t = typed_orders(s, d).select("n_name", "y", "o_orderkey")
     return od.positions(t, [F.col("y").desc(), "o_orderkey"], ["n_name"], "k", "n", {"ahead": "y"}).where("k % 10 = 0").drop("o_orderkey")
+
+
+_POOL = [*CELL, "o_orderkey", "y"]
+_TEXT = " || '|' || ".join(f"coalesce('{c}=' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '{c}=-')" for c in sorted(_POOL))
+_LANES = ", ".join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS s{i}" for i in range(8))
+
+
+def _with_gaps(s, d):
+    return typed_orders(s, d).select(*[F.when(F.col("o_orderkey") % 11 > 0, F.col(c)).alias(c) for c in CELL], "o_orderkey", "y")
+
+
+_GAPS = f"g AS (SELECT {', '.join(f'CASE WHEN o_orderkey % 11 > 0 THEN {c} END AS {c}' for c in CELL)}, o_orderkey, y FROM t)"
+
+
+@query("pool_digest", f"""
+WITH {T}, {_GAPS}, h AS (SELECT sha256({_TEXT}) AS h FROM g), a AS (SELECT count(*) AS rows, {_LANES} FROM h)
+SELECT rows, sha256(rows || ',' || {" || ',' || ".join(f's{i}' for i in range(8))}) AS digest FROM a""")
+def _(s, d):
+    return pools.table_digest(_with_gaps(s, d))
+
+
+@query("immutable_pool", f"WITH {T}, {_GAPS} SELECT * FROM g")
+def _(s, d):
+    """The rows of a pool that was written, named by its content, and checked on loading."""
+    path = pools.write_pool(_with_gaps(s, d), f"{store.shared_dir(s)}/lattica/pools-{uuid.uuid4().hex}", "observed", {"gaps": 11})
+    return pools.load_pool(s, path, "observed")[0]
+
+
+def _sorted_words(values):
+    return [None if "green" in v else " ".join(sorted(v.strip().lower().split(" "))) for v in values]
+
+
+@query("canonical_plugin", """
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN ' ' ELSE p_name END AS p_name, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END AS p_brand FROM part),
+c AS (SELECT p_partkey, u.c AS c, u.v AS v FROM p, unnest([{'c': 'p_name', 'v': p_name}, {'c': 'p_brand', 'v': p_brand}]) x(u)),
+e AS (SELECT *, CASE WHEN trim(coalesce(v, '')) = '' THEN 'missing' WHEN contains(v, 'green') THEN 'unparsable' END AS error_type FROM c)
+SELECT p_partkey, c AS role, error_type, CASE WHEN error_type IS NULL THEN array_to_string(list_sort(string_split(lower(trim(v)), ' ')), ' ') END AS canonical, error_type IS NULL AS valid,
+  (SELECT count(DISTINCT v) FROM c WHERE trim(coalesce(v, '')) <> '') AS plugin_calls FROM e""")
+def _(s, d):
+    p = read(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, " ").otherwise(F.col("p_name")).alias("p_name"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand")).alias("p_brand"))
+    plugin = cn.Plugin("sorted-words", "1", _sorted_words)
+    calls = cn.dictionary(p, ["p_name", "p_brand"], plugin).count()  # one for each distinct value
+    out = cn.canonicalise(p, ["p_name", "p_brand"], plugin)
+    role = lambda c: F.struct(F.lit(c).alias("role"), F.col(f"{c}_error_type").alias("error_type"), F.col(f"{c}_canonical").alias("canonical"), F.col(f"{c}_valid").alias("valid"))
+    return out.select("p_partkey", F.explode(F.array(role("p_name"), role("p_brand"))).alias("r")).select("p_partkey", "r.*", F.lit(calls).cast("long").alias("plugin_calls"))
+
+
+def _policy_sql(rounds: int, batches: int, size: int, take: int) -> str:
+    u = lambda what, r: f"CAST(CAST('0x' || substr(sha256('3:{what}:{r}:' || b || ':' || j), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0"
+    ctes = [f"WITH {T}, a AS (SELECT CAST(least(4, y // 100000) AS INT) AS bin, y, o_orderkey FROM t)", "k AS MATERIALIZED (SELECT bin, y, row_number() OVER (PARTITION BY bin ORDER BY o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY bin) AS n FROM a)"]
+    ctes += ["n AS (SELECT DISTINCT bin, n FROM k)", "p0 AS (SELECT CAST(b AS INT) AS bin, 0.2::DOUBLE AS p, CAST(NULL AS DOUBLE) AS e FROM range(5) r(b))"]
+    for r in range(rounds):
+        ctes += [
+            f"u{r} AS (SELECT bin, sum(p) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS c FROM p{r})",
+            f"d{r} AS MATERIALIZED (SELECT b, j, CAST((SELECT count(*) FROM u{r} WHERE bin < 4 AND {u('bin', r)} >= c) AS INT) AS bin, {u('row', r)} AS v FROM range({batches}) x(b), range({size}) y(j))",
+            f"s{r} AS (SELECT b, avg(CAST(y AS DOUBLE)) AS s FROM d{r} JOIN n USING (bin) JOIN k ON k.bin = d{r}.bin AND k.place = floor(v * n.n) GROUP BY b)",
+            f"b{r} AS MATERIALIZED (SELECT * FROM s{r} ORDER BY s DESC, b LIMIT {take})",
+            f"h{r} AS (SELECT bin, count(*) AS h FROM d{r} JOIN b{r} USING (b) GROUP BY bin)",
+            f"p{r + 1} AS MATERIALIZED (SELECT bin, 0.5::DOUBLE * p + 0.5::DOUBLE * (1 + coalesce(h, 0)) / (5 + (SELECT sum(h) FROM h{r})) AS p, (SELECT sum(s) / count(*) FROM b{r}) AS e FROM p{r} LEFT JOIN h{r} USING (bin))",
+        ]
+    rows = " UNION ALL ".join(f"SELECT CAST({r} AS INT) AS round, bin, round(p, 9) AS probability, round(e, 3) AS elite_reward FROM p{r}" for r in range(rounds + 1))
+    return ",\n".join(ctes) + "\n" + rows
+
+
+@query("bin_policy", _policy_sql(3, 20, 10, 4))
+def _(s, d):
+    t = typed_orders(s, d).withColumn("bin", F.least(F.lit(4), F.floor(F.col("y") / 100000)))
+    out = bp.bin_policy(t, "o_orderkey", "bin", "y", bp.PolicySettings(5, 3, 20, 10, 0.2, 0.5, 3))
+    return out.select("round", "bin", F.round("probability", 9).alias("probability"), F.round("elite_reward", 3).alias("elite_reward"))
