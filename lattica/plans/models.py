@@ -12,6 +12,7 @@ from lattica.operators import bin_policy as bp
 from lattica.operators import candidates as cd
 from lattica.operators import components as co
 from lattica.operators import forests as fo
+from lattica.operators import index as ix
 from lattica.operators import labels as lb
 from lattica.operators import order as od
 from lattica.operators import splits as sp
@@ -221,3 +222,32 @@ def _(s, d):
     t = typed_orders(s, d).withColumn("bin", F.least(F.lit(4), F.floor(F.col("y") / 100000)))
     out = bp.bin_policy(t, "o_orderkey", "bin", "y", bp.PolicySettings(5, 3, 20, 10, 0.2, 0.5, 3))
     return out.select("round", "bin", F.round("probability", 9).alias("probability"), F.round("elite_reward", 3).alias("elite_reward"))
+
+
+_NEAREST = """WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
+p AS (SELECT a.id AS query, b.id AS b, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) AS s FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 20 = 0),
+n AS (SELECT query, b AS nearest, s AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, b) = 1)"""
+
+
+def _index(s, d):
+    """An index that is written, opened again and searched: every row whose id is divisible by 20, against all rows."""
+    v = read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    path = f"{store.shared_dir(s)}/lattica/index-{uuid.uuid4().hex}"
+    ix.build_index(v, path)
+    return ix.nearest(ix.open_index(s, path), v.where("id % 20 = 0"))
+
+
+@query("index_nearest", f"{_NEAREST} SELECT * FROM n")
+def _(s, d):
+    return _index(s, d).drop("visited")
+
+
+_AT = (5, 25, 50, 75, 95)
+_QUANTILES = ", ".join(f"q{k} AS (SELECT {k / 100}::DOUBLE AS q, round(quantile_cont(similarity, {k / 100}), 9) AS similarity FROM n)" for k in _AT)
+
+
+@query("nearest_similarity_quantiles", f"{_NEAREST}, {_QUANTILES} " + " UNION ALL ".join(f"SELECT * FROM q{k}" for k in _AT))
+def _(s, d):
+    at = [k / 100 for k in _AT]
+    edges = od.quantile_edges(_index(s, d), "similarity", at)
+    return s.createDataFrame([(q, None if e is None else round(e, 9)) for q, e in zip(at, edges, strict=True)], "q double, similarity double")
