@@ -8,11 +8,13 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-from lattica.functions.identity import hash_order, uniform
+from lattica.functions.identity import hash_order, std_samp, uniform
 from lattica.operators.ranking import greedy_rankings
+from lattica.store import kept
 
 
 def erf(x: Column) -> Column:
@@ -68,39 +70,57 @@ def campaign(df: DataFrame, campaign_col: str, key: str, y: str, seed: int, n_se
     (overall mean where there is none), its half width the sample deviation over
     the root of their number (of all acquired rows where there are fewer than two).
     ``random`` takes rows in hash order; ``greedy``, ``ucb`` (beta), ``expected_improvement``
-    (xi) and ``thompson`` score them, ties in hash order; another name is an error.  Serial
-    within a campaign, which is one task over its pool; output (campaign, round, key, outcome).
+    (xi) and ``thompson`` score them, ties in hash order; another name is an error.
+
+    A round is one pass over the rows that are left, all campaigns at once: each task keeps its best ``batch`` rows of a campaign,
+    and only those are compared, so a pool of any size is never in one task.  Rows with a null campaign, key or outcome are left
+    out.  Output (campaign, round, key, outcome).
     """
     if strategy not in POLICIES:
         raise ValueError(f"unknown strategy {strategy}; known: {', '.join(sorted(POLICIES))}")
     score = POLICIES[strategy]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_h").reset_index(drop=True)
-        out, got = [], np.zeros(len(pdf), bool)
-        outcome = pdf[y].to_numpy(float)
-        f = pdf[feature].to_numpy() if feature else np.zeros(len(pdf))
-        draw = pdf["_u"].to_numpy(float)
-        pick = np.arange(min(n_seed, len(pdf)))
-        for r in range(rounds + 1):
-            got[pick] = True
-            out += [(pdf[campaign_col].iloc[0], r, int(pdf[key].iloc[i]), outcome[i]) for i in pick]
-            rest = np.flatnonzero(~got)
-            if not len(rest):
-                break
-            seen = pd.Series(outcome[got]).groupby(f[got]).agg(["mean", "std", "count"])
-            own = seen.reindex(f[rest])
-            spread = float(np.std(outcome[got], ddof=1)) if got.sum() > 1 else 0.0
-            mean = own["mean"].fillna(outcome[got].mean()).to_numpy()
-            half = (own["std"].fillna(spread) / np.sqrt(own["count"].fillna(1.0))).to_numpy()
-            guess = score(mean, half, best=float(outcome[got].max()), draw=draw[rest], **settings)
-            pick = rest[:batch] if guess is None else rest[np.argsort(-np.round(guess, 9), kind="stable")[:batch]]
-        return pd.DataFrame(out, columns=["campaign", "round", "key", "outcome"])
-
-    kind = dict(df.dtypes)[campaign_col]
-    cols = dict.fromkeys([campaign_col, key, y] + ([feature] if feature else []))
-    rows = df.select(*cols, hash_order(seed, campaign_col, key).alias("_h"), uniform(f"{seed}:draw", F.col(key)).alias("_u"))
-    return rows.groupBy(campaign_col).applyInPandas(run, f"campaign {kind}, round int, key long, outcome double")
+    f = F.col(feature).cast("string") if feature else F.lit("")
+    rows = df.select(F.col(campaign_col).alias("campaign"), F.col(key).cast("long").alias("key"), F.col(y).alias("y"), f.alias("f"), hash_order(seed, campaign_col, key).alias("h"), uniform(f"{seed}:draw", F.col(key)).alias("u"))
+    rest = kept(rows.where("campaign is not null and key is not null and y is not null"), "campaign-pool")
+    schema = S.StructType([*rest.schema.fields, S.StructField("guess", S.DoubleType())])
+
+    def best(k, scored):
+        def run(frames):
+            held = None
+            for pdf in frames:
+                guess = score(pdf["mean"].to_numpy(float), pdf["half"].to_numpy(float), best=pdf["best"].to_numpy(float), draw=pdf["u"].to_numpy(float), **settings) if scored and len(pdf) else None
+                pdf["guess"] = 0.0 if guess is None else np.round(np.asarray(guess, float), 9)
+                pdf = pdf[schema.names]
+                held = pdf if held is None else pd.concat([held, pdf])
+                held = held.sort_values(["guess", "h", "key"], ascending=[False, True, True]).groupby("campaign", sort=False).head(k)
+            if held is not None:
+                yield held
+
+        return run
+
+    def first(df_, k, scored, number):
+        top = df_.mapInPandas(best(k, scored), schema)
+        w = Window.partitionBy("campaign").orderBy(F.col("guess").desc(), "h", "key")  # k rows a task at most
+        top = top.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+        return kept(top.select("campaign", F.lit(number).cast("int").alias("round") if isinstance(number, int) else number.alias("round"), "key", "y", "f"), "campaign-picks")
+
+    if strategy == "random":  # the order never changes: one pass for all rounds
+        number = F.when(F.col("_r") <= n_seed, 0).otherwise(F.expr(f"1 + (_r - {n_seed} - 1) div {batch}")).cast("int")
+        return first(rest, n_seed + rounds * batch, False, number).select("campaign", "round", "key", F.col("y").cast("double").alias("outcome"))
+    # joins to what was acquired, and to sums of it, are broadcasts while Spark's own bound on their size allows it
+    largest = rest.groupBy("campaign").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    rounds = min(rounds, max(0, -(-(largest - n_seed) // batch)))
+    done = first(rest, n_seed, False, 0)
+    paths = [done.stored_path]
+    for r in range(1, rounds + 1):
+        own = done.groupBy("campaign", "f").agg(F.avg("y").alias("m"), std_samp(done, "y").alias("s"), F.count("y").alias("c"))
+        all_ = done.groupBy("campaign").agg(F.avg("y").alias("am"), F.coalesce(std_samp(done, "y", 0.0), F.lit(0.0)).alias("as_"), F.max("y").cast("double").alias("best"))
+        x = rest.join(done.select("campaign", "key"), ["campaign", "key"], "left_anti").join(own, ["campaign", "f"], "left").join(all_, "campaign")
+        half = F.coalesce("s", "as_") / F.sqrt(F.coalesce("c", F.lit(1)).cast("double"))
+        new = first(x.select(*rest.columns, F.coalesce("m", "am").alias("mean"), half.alias("half"), "best"), batch, True, r)
+        paths.append(new.stored_path)
+        done = df.sparkSession.read.schema(done.schema).parquet(*paths)
+    return done.select("campaign", "round", "key", F.col("y").cast("double").alias("outcome"))
 
 
 def _improvement(mean, half, best=0.0, xi=0.0, coverage_z=1.6448536269514722, **_):
@@ -115,7 +135,7 @@ def _draw(mean, half, draw=None, **_):
     return mean + half * np.array([normal.inv_cdf(min(max(u, 1e-12), 1 - 1e-12)) for u in draw])
 
 
-#: The strategies of campaigns; a rule gets arrays (mean, half width) and best, draw and the caller's settings.
+#: The strategies of campaigns; a rule gets arrays (mean, half width), arrays best and draw, and the caller's settings.
 POLICIES: dict[str, Callable] = {
     "random": lambda mean, half, **_: None,
     "greedy": lambda mean, half, **_: mean,

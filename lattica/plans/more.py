@@ -16,6 +16,7 @@ from lattica.operators import similarity as sm
 from lattica.operators import splits as sp
 from lattica.operators import transfer as tr
 from lattica.plans.base import SCHEMA, T, read, typed_orders
+from lattica.plans.relations import campaign_sql
 from lattica.sources import io, saved_splits
 
 Q: dict = {}
@@ -394,6 +395,6 @@ def _(s, d):
     return aq.campaign(typed_orders(s, d), "n_name", "o_orderkey", "y", 64, 16, 10, 8, "random")
 
 
-@query("campaign_ucb")
+@query("campaign_ucb", campaign_sql("mean + 2 * half"))
 def _(s, d):
     return aq.campaign(typed_orders(s, d), "n_name", "o_orderkey", "y", 64, 16, 10, 8, "ucb", "o_orderpriority", beta=2.0)

@@ -662,7 +662,24 @@ def _(s, d):
     return aq.greedy_diverse(e, "label", "id", "mean", "vec", 8, 0.5)
 
 
-@query("campaign")
+def campaign_sql(guess: str, rounds: int = 10, seeds: int = 16, batch: int = 8) -> str:
+    """Round by round: a model of what was acquired, and the best rows of what is left."""
+    ctes = [
+        f"WITH {T}, x AS MATERIALIZED (SELECT n_name, o_orderkey, y, o_orderpriority AS f, sha256('64:' || n_name || ':' || o_orderkey) AS h FROM t)",
+        f"a0 AS MATERIALIZED (SELECT *, 0 AS round FROM x QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY h, o_orderkey) <= {seeds})",
+    ]
+    std = "sqrt(CAST(count(y) * sum(CAST(y AS HUGEINT) * y) - CAST(sum(y) AS HUGEINT) * sum(y) AS DOUBLE) / nullif(CAST(count(y) * (count(y) - 1) AS DOUBLE), 0))"
+    for r in range(rounds):
+        ctes += [
+            f"o{r} AS (SELECT n_name, f, avg(y) AS m, {std} AS s, count(*) AS c FROM a{r} GROUP BY 1, 2)",
+            f"l{r} AS (SELECT n_name, avg(y) AS am, coalesce({std}, 0) AS als FROM a{r} GROUP BY 1)",
+            f"g{r} AS (SELECT x.*, coalesce(m, am) AS mean, coalesce(s, als) / sqrt(coalesce(c, 1)) AS half FROM x LEFT JOIN o{r} USING (n_name, f) JOIN l{r} USING (n_name) WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a{r}))",
+            f"a{r + 1} AS MATERIALIZED (SELECT * FROM a{r} UNION ALL SELECT n_name, o_orderkey, y, f, h, {r + 1} FROM (SELECT * FROM g{r} QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY round({guess}, 9) DESC, h, o_orderkey) <= {batch}))",
+        ]
+    return ", ".join(ctes) + f" SELECT n_name AS campaign, CAST(round AS INT) AS round, o_orderkey AS key, CAST(y AS DOUBLE) AS outcome FROM a{rounds}"
+
+
+@query("campaign", campaign_sql("mean"))
 def _(s, d):
     t = typed_orders(s, d)
     return aq.campaign(t, "n_name", "o_orderkey", "y", 64, 16, 10, 8, "greedy", "o_orderpriority")

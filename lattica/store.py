@@ -23,12 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read back; it is deleted when the program ends."""
+    """``df`` written once as Parquet and read back (its path is ``stored_path``); it is deleted when the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
 
 
 @atexit.register
