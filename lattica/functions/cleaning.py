@@ -100,7 +100,8 @@ def clean(df: DataFrame, outcome: str, required: str, optional: list[str], leadi
 
 def dict_field(c: Column, field: str) -> Column:
     """A field of a record written as a dict literal ('single quotes'), as text; null where it can't be read."""
-    return F.get_json_object(F.replace(c, F.lit("'"), F.lit('"')), f"$.{field}")
+    options = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    return F.from_json(c, f"`{field}` STRING", options)[field]
 
 
 def stage_counts(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:

@@ -247,8 +247,15 @@ def verdict(low: Column, high: Column, n_improved: Column, n: Column, degenerate
     return out if degenerate is None else F.when(degenerate, "degenerate_pool").otherwise(out)
 
 
+EXACT_PAIRS = 50
+
+
 def signed_rank(df: DataFrame, by: list[str], d: str) -> DataFrame:
-    """Wilcoxon W+ and the exact two-sided p-value (up to 20 pairs that differ, else null); the t statistic and its pairs."""
+    """Wilcoxon W+ and its two-sided p-value; the t statistic and its pairs.
+
+    Up to EXACT_PAIRS pairs that differ, all signs are counted (ties included); beyond, the p-value is that of the normal
+    approximation with the variance corrected for ties, as the common library test switches, too.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[d].dropna().to_numpy(float)
@@ -259,7 +266,11 @@ def signed_rank(df: DataFrame, by: list[str], d: str) -> DataFrame:
         if len(x):
             r = pd.Series(np.abs(x)).rank().to_numpy() * 2
             w = float(r[x > 0].sum()) / 2
-            if len(x) <= 20:
+            if len(x) > EXACT_PAIRS:
+                m, ties = len(x), np.unique(r, return_counts=True)[1]
+                deviation = np.sqrt(m * (m + 1) * (2 * m + 1) / 24 - (ties**3 - ties).sum() / 48)
+                p = math.erfc(abs(w - m * (m + 1) / 4) / deviation / math.sqrt(2))
+            else:
                 ways = np.zeros(int(r.sum()) + 1)
                 ways[0] = 1
                 for k in r.astype(int):
