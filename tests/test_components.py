@@ -23,13 +23,13 @@ def test_pls_equals_brute_force(spark):
     x, y = data(120, 14, 0)
     train = np.arange(120) % 4 > 0
     cells, out, rows = frames(spark, x, y, train)
-    model = co.pls(cells, out, 3)
+    model = co.pls(cells, out, 2)
     got = {r["id"]: r for r in co.pls_scores(cells, rows, model).collect()}
     fit = train & (np.arange(120) % 29 > 0)
     xm, ym = x[fit].mean(0), y[fit].mean()
     a, t_all, rest = x[fit] - xm, [], x - xm
     want = np.full(120, ym)
-    for _ in range(3):
+    for _ in range(2):
         w = a.T @ (y[fit] - ym)
         w /= np.linalg.norm(w)
         w *= np.sign(w[np.abs(w).argmax()])
@@ -39,19 +39,17 @@ def test_pls_equals_brute_force(spark):
         want = want + ta * ((y[fit] - ym) @ t / (t @ t))
         t_all.append(ta)
     for i in range(120):
-        assert [got[i][f"t{k}"] for k in (1, 2, 3)] == pytest.approx([t[i] for t in t_all], abs=1e-8)
+        assert [got[i][f"t{k}"] for k in (1, 2)] == pytest.approx([t[i] for t in t_all], abs=1e-8)
         assert got[i]["prediction"] == pytest.approx(want[i], abs=1e-8)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_svd_equals_brute_force(spark, small, monkeypatch):
-    if not small:
-        monkeypatch.setattr(co, "sized", lambda t: t)
+def test_svd_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(co, "sized", lambda t: t)  # the way beyond the bound of broadcasts
     x, y = data(90, 12, 1)
     train = np.arange(90) % 3 > 0
     cells, out, rows = frames(spark, x, y, train)
     ids = out.select("id")
-    model = co.svd(cells.join(ids, "id", "left_semi"), 3, oversample=8, passes=6)
+    model = co.svd(cells.join(ids, "id", "left_semi"), 3, oversample=9, passes=2)
     _, s, vt = np.linalg.svd(x[train], full_matrices=False)
     vt = vt[:3] * np.sign(vt[np.arange(3), np.abs(vt[:3]).argmax(1)])[:, None]
     assert model.values == pytest.approx(s[:3].tolist(), rel=1e-9)
