@@ -352,10 +352,20 @@ def _(s, d):
     return mt.pivot(best(t, "all").unionByName(best(t.where("o_orderstatus = 'O'"), "open")), ["yr"], "arm", ["all", "open"], "v")
 
 
-@query("paired_t_test")
+# the share of Student's distribution within the statistic, by its finite series in the angle, for odd and even degrees of freedom
+@query("paired_t_test", f"""
+WITH RECURSIVE {T}, g AS (SELECT n_name, max(p) - max(y) AS d FROM t GROUP BY n_name, yr),
+a AS (SELECT n_name, count(*) AS n, CAST(sum(d) AS DOUBLE) / count(*) AS mean_delta, {_VAR('d', 'd')} / nullif(CAST(count(*) * (count(*) - 1) AS DOUBLE), 0) AS v FROM g GROUP BY 1),
+b AS (SELECT n_name, n, mean_delta, CASE WHEN v > 0 THEN mean_delta * sqrt(n) / sqrt(v) END AS t, n - 1 AS f FROM a),
+c AS (SELECT *, f / (f + t * t) AS c2, abs(t) / sqrt(f + t * t) AS si FROM b WHERE t IS NOT NULL),
+s AS (SELECT n_name, 0 AS k, 1.0::DOUBLE AS term FROM c WHERE f > 1
+  UNION ALL SELECT s.n_name, s.k + 1, term * c2 * CASE WHEN f % 2 = 1 THEN 2.0 * (s.k + 1) / (2 * s.k + 3) ELSE (2.0 * s.k + 1) / (2 * s.k + 2) END FROM s JOIN c USING (n_name) WHERE s.k + 1 <= (f - 2 - f % 2) // 2),
+r AS (SELECT n_name, sum(term) AS s FROM s GROUP BY 1),
+p AS (SELECT n_name, 1 - CASE WHEN f % 2 = 1 THEN 2 / pi() * (atan2(si, sqrt(c2)) + si * sqrt(c2) * coalesce(s, 0)) ELSE si * s END AS p_value FROM c LEFT JOIN r USING (n_name))
+SELECT n_name, n, round(mean_delta, 6) AS mean_delta, round(t, 6) AS t, round(p_value, 9) AS p_value FROM b LEFT JOIN p USING (n_name)""")
 def _(s, d):
     g = typed_orders(s, d).groupBy("n_name", "yr").agg((F.max("p") - F.max("y")).alias("d"))
-    return mt.t_test(g, ["n_name"], "d")
+    return mt.t_test(g, ["n_name"], "d").select("n_name", "n", *[F.round(c, k).alias(c) for c, k in (("mean_delta", 6), ("t", 6), ("p_value", 9))])
 
 
 # ---- similarity and acquisition
