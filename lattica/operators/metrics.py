@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -226,19 +225,21 @@ def midrank_percentile(df: DataFrame, random: DataFrame, by: list[str], v: str)
 def bootstrap_ci(df: DataFrame, by: list[str], v: str, draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Percentile bootstrap of the mean of a group's values (one for each seed: a small group).
 
-    One task a group; the generator is seeded by the caller's seed and the group's key.
+    Place j of draw k is the value at floor(u * n) in ascending order, with u from the hash of (seed, group, k, j).  Nulls are left out.
     """
     lo, hi = (1 - level) / 2, (1 + level) / 2
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[v].to_numpy(float))
-        key = hashlib.sha256("|".join([str(seed), *(str(pdf[c].iloc[0]) for c in by)]).encode()).digest()
-        rng = np.random.default_rng(int.from_bytes(key[:8], "little"))
-        means = x[rng.integers(0, len(x), (draws, len(x)))].mean(1)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [len(x)], "mean": [x.mean()], "low": [np.quantile(means, lo)], "high": [np.quantile(means, hi)]})
-
-    schema = ", ".join([f"{c} {dict(df.dtypes)[c]}" for c in by] + ["n long, mean double, low double, high double"])
-    return df.select(*by, v).groupBy(*by).applyInPandas(run, schema)
+    x = df.where(F.col(v).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.col(v).cast("double"))).alias("_x"), F.count(v).alias("n"))
+    x = x.withColumn("_name", F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in by]))
+    x = x.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+
+    def value(j):
+        u = F.conv(F.substring(F.sha2(F.concat_ws(":", "_name", F.col("_k").cast("string"), j.cast("string")), 256), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+        return F.get("_x", F.floor(u * F.col("n")).cast("int"))
+
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    mean = add(F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), value)) / F.col("n")
+    x = x.select(*by, "n", (add(F.col("_x")) / F.col("n")).alias("mean"), mean.alias("_m"))
+    return x.groupBy(*by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.percentile("_m", lo).alias("low"), F.percentile("_m", hi).alias("high"))
 
 
 def verdict(low: Column, high: Column, n_improved: Column, n: Column, degenerate: Column | None = None) -> Column:

@@ -548,10 +548,17 @@ def _(s, d):
     return mt.midrank_percentile(a, t.select("n_name", F.col("y").alias("v")), ["n_name"], "v")
 
 
-@query("bootstrap_ci")
+@query("bootstrap_ci", f"""
+WITH {T}, g AS (SELECT n_name, CAST(sum(p - y) AS DOUBLE) / count(*) AS x FROM t GROUP BY n_name, yr),
+o AS (SELECT n_name, x, row_number() OVER (PARTITION BY n_name ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY n_name) AS n FROM g),
+k AS (SELECT DISTINCT n_name, n FROM o),
+d AS (SELECT n_name, k, CAST(floor(CAST(CAST('0x' || substr(sha256('1:' || n_name || ':' || k || ':' || j), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 * n) AS BIGINT) AS r FROM k, range(500) a(k), range(n) b(j)),
+m AS (SELECT n_name, k, sum(x) / any_value(n) AS m FROM d JOIN o USING (n_name, r) GROUP BY 1, 2),
+q AS (SELECT n_name, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1)
+SELECT n_name, n, round(mean, 3) AS mean, round(low, 3) AS low, round(high, 3) AS high FROM (SELECT n_name, count(*) AS n, sum(x) / count(*) AS mean FROM g GROUP BY 1) JOIN q USING (n_name)""")
 def _(s, d):
     g = typed_orders(s, d).groupBy("n_name", "yr").agg((F.sum(F.col("p") - F.col("y")) / F.count("*")).alias("delta"))
-    return mt.bootstrap_ci(g, ["n_name"], "delta", 500, 1)
+    return mt.bootstrap_ci(g, ["n_name"], "delta", 500, 1).select("n_name", "n", *[F.round(c, 3).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("verdict_table", f"""
