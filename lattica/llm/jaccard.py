@@ -65,7 +65,7 @@ SHINGLE = 3
 PERCENT = 90
 PARTS = 16
 SMALL = 512  # sets of a bucket far from its leader up to which they are compared with the others
-STARS = 1  # leaders of a bucket before its rest is compared
+STARS = 2  # leaders of a bucket before its rest is compared; the second one links most near copies of a large group that the first one is too far from
 SKETCH = 16  # words of a parity sketch, a power of two; with more, the compiled comparison is too long for the JVM's own compiler
 ROWS_A_FILE = 100_000  # of the tables of links, whose size is known before they are written
 FAR = 0.6  # Jaccard distance to the leader from which a set counts as unrelated to it
