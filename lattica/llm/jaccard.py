@@ -370,13 +370,16 @@ class _Join:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link: overlaps of their parts are counted fragment by fragment and summed."""
+        pairs = save(pairs, "cross")
+        few = F.broadcast if pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else lambda t: t
         b = self.sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("parts").alias("pb"))
-        a = self.sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.posexplode("parts").alias("part", "ga"))
-        both = pairs.join(b, "b").select("a", "b", "nb", F.posexplode("pb").alias("part", "gb")).where(F.size("gb") > 0).join(a, ["a", "part"])
+        a = self.sets.join(few(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi")  # only parts that a pair asks for are dealt out
+        a = a.select(F.col("node").alias("a"), F.col("size").alias("na"), F.posexplode("parts").alias("part", "ga"))
+        both = few(pairs).join(b, "b").select("a", "b", "nb", F.posexplode("pb").alias("part", "gb")).where(F.size("gb") > 0).join(a, ["a", "part"])
         partial = save(both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common")).where("common > 0"), "partial")
         total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         out = save(total.where((100 + self.percent) * F.col("common") >= self.percent * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
-        discard(partial)
+        discard(partial, pairs)
         return out
 
     def small(self, unlike, a, b):
@@ -435,10 +438,10 @@ class _Join:
         """
         rows = save(rows, "active")
         nodes = rows.select("node", "comp").distinct()
-        grams = self.sets.select("node", "size", F.explode(F.flatten("parts")).alias("gram")).join(nodes, "node")
+        grams = self.sets.join(nodes, "node").select("node", "comp", F.explode(F.flatten("parts")).alias("gram"))
         shared = grams.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("gram")
-        counts = save(grams.join(shared, "gram", "left_semi").select("node", "size"), "shared")
-        counts = counts.groupBy("node", "size").agg(F.count("*").alias("n")).select("node", "size", (F.col("size") - F.col("n")).alias("own"))
+        counts = grams.join(shared, "gram", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
+        counts = self.sets.select("node", "size").join(save(counts, "shared"), "node").select("node", "size", (F.col("size") - F.col("n")).alias("own"))
         counts = counts.where(100 * (F.col("size") - F.col("own")) >= self.percent * F.col("size"))
         out = save(rows.join(counts, "node"), "pruned")
         discard(rows)

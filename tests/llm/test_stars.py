@@ -35,3 +35,18 @@ def test_pairs_of_a_large_group(spark, monkeypatch):
                 name[y] = x
     assert got == {i: root(i) for i in range(400)}
     assert sum(compared) <= 4 * 400
+
+
+def test_only_parts_of_asked_sets_are_dealt(spark, monkeypatch):
+    """One pair among 200 sets: the parts that meet are those of its two sets, not of all."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i if k > 20 else 0}x{k}" for k in range(60 if i > 1 else 200))) for i in range(200)], "doc_id long, text string")
+    join = jaccard._Join(docs, 90, 3)
+    join.sets = jaccard.save(docs.select("text").mapInArrow(jaccard._kept(join.bands, 3, frozenset()), jaccard._SETS), "kept")
+    a, b = (r["node"] for r in join.sets.orderBy("size").select("node").limit(2).collect())
+    plans, real = {}, jaccard.save
+    monkeypatch.setattr(jaccard, "save", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and real(df, name))
+    assert join.verify(spark.createDataFrame([(a, b)], "a long, b long")).count() == 0
+    dealt = plans["partial"].split("posexplode(parts")[1]
+    assert "LeftSemi" in dealt
+    links = join.verify(spark.createDataFrame([(a, a)], "a long, b long")).collect()
+    assert [tuple(r) for r in links] == [(a, a)]
