@@ -31,6 +31,7 @@ from lattica.store import kept
 
 CELLS = 1 << 22  # cells of a task's histogram
 LARGEST = 2**36  # outcomes below it are summed exactly in a batch
+CODES = 1 << 16  # different rows of codes up to which a task works by code instead of by row
 SUB = 4096  # rows of a batch
 
 
@@ -120,6 +121,35 @@ class Trees:
         return np.stack([mean[t, self.route(x, t)] for t in range(len(mean))], 1)
 
 
+def _grid(width: int, bins: int) -> np.ndarray | None:
+    """Every row of codes that ``width`` features can have; None if there are more than CODES."""
+    size = bins + 1
+    if size**width > CODES:
+        return None
+    return np.stack([np.arange(size**width) // size**i % size for i in range(width)], 1).reshape(-1, width)
+
+
+class _Coded:
+    """The coded rows of a task's batches, one batch after the other: what follows from codes alone is found for all codes at
+    once, if there are few of them, else for the rows of the batch."""
+
+    def __init__(self, width: int, bins: int):
+        self.width, self.radix, self.grid, self.known = width, (bins + 1) ** np.arange(width), _grid(width, bins), {}
+
+    def take(self, codes: pa.Array) -> None:
+        x = _matrix(codes, self.width)
+        if self.grid is None:
+            self.x, self.known = x, {}
+        else:
+            self.at = x @ self.radix
+
+    def of(self, name, find) -> np.ndarray:
+        """``find(codes)`` of each row, a function of its codes; ``name`` tells it from others."""
+        if name not in self.known:
+            self.known[name] = find(self.x if self.grid is None else self.grid)
+        return self.known[name] if self.grid is None else self.known[name][self.at]
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -139,24 +169,35 @@ def _cells(table: DataFrame, model: Trees, level: int, chosen: list[int], target
     shape = (len(chosen), first, width, bins)
     openings = model.feature[:, first // 2 : first] if level else None
 
+    def add(w, s, k, t, x, node, weight, y):
+        """Adds the rows of tree t that are in open nodes of the level."""
+        live = (node >= first) & (weight > 0)
+        if openings is not None:
+            live &= openings[t][np.where(node >= first, node // 2 - first // 2, 0)] >= 0
+        r = np.flatnonzero(live)
+        base = (k * first + node[r] - first) * width
+        for f in range(width):
+            key = (base + f) * bins + x[r, f]
+            np.add.at(w, key, weight[r])
+            np.add.at(s, key, y[r])
+
     def run(batches):
         w, s = np.zeros(shape, np.int64).ravel(), np.zeros(shape, np.int64).ravel()
+        rows = _Coded(width, model.bins)
+        few = rows.grid is not None
+        by_code = np.zeros((2, len(chosen), len(rows.grid)), np.int64) if few else None
         for batch in _pieces(batches):
-            x = _matrix(batch.column("codes"), width)
+            rows.take(batch.column("codes"))
             for k, t in enumerate(chosen):
-                weight, y = target(batch, x, t)
-                node = model.route(x, t)
-                live = (node >= first) & (weight > 0)
-                if openings is not None:
-                    live &= openings[t][np.where(node >= first, node // 2 - first // 2, 0)] >= 0
-                r = np.flatnonzero(live)
-                if not len(r):
-                    continue
-                base = (k * first + node[r] - first) * width
-                for f in range(width):
-                    key = (base + f) * bins + x[r, f]
-                    np.add.at(w, key, weight[r].astype(np.int64))
-                    np.add.at(s, key, weight[r] * y[r])
+                weight, y = target(batch, rows, t)
+                weight = weight.astype(np.int64)
+                if few:
+                    np.add.at(by_code[0, k], rows.at, weight)
+                    np.add.at(by_code[1, k], rows.at, weight * y)
+                else:
+                    add(w, s, k, t, rows.x, rows.of(t, lambda x, t=t: model.route(x, t)), weight, weight * y)
+        for k, t in enumerate(chosen if few else ()):
+            add(w, s, k, t, rows.grid, model.route(rows.grid, t), *by_code[:, k])
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at]), pa.array(s[at])], names=["key", "w", "s"])
 
@@ -196,13 +237,13 @@ def _split_sums(cells: DataFrame, cut: Column | None, min_leaf: int) -> DataFram
 
 def _grow(table: DataFrame, model: Trees, trees: list[int], target, cut: Column | None, min_leaf: int) -> None:
     """Grow ``trees`` of ``model`` in place."""
-    width = len(model.features) * (model.bins + 1)
+    width, grid = len(model.features) * (model.bins + 1), _grid(len(model.features), model.bins)
     for level in range(model.depth):
         if level:
             still = [t for t in trees if (model.feature[t, 2 ** (level - 1) : 2**level] >= 0).any()]
         else:
             still = trees
-        at_once = max(1, CELLS // (width * 2**level))
+        at_once = max(1, CELLS // max(width * 2**level, len(grid) if grid is not None else 0))
         for i in range(0, len(still), at_once):
             found = _split_sums(_cells(table, model, level, still[i : i + at_once], target), cut, min_leaf).collect()  # a row a node
             for r in found:
@@ -230,7 +271,7 @@ def extra_trees(df: DataFrame, features: list[str], y: str, row_id: str, seed=0,
     model = Trees.empty(features, limits, bins, depth, members * trees, np.repeat(np.arange(members), trees))
     member = model.member
 
-    def target(batch, x, t):
+    def target(batch, rows, t):
         y_ = batch.column("y").to_numpy()
         if len(y_) and np.abs(y_).max() >= LARGEST:
             raise ValueError(f"outcomes must be below {LARGEST}")
@@ -250,11 +291,15 @@ def ensemble_predictions(df: DataFrame, model: Trees, point: str = "prediction",
     coded = rest.withColumn("__codes", codes(model.features, model.limits, model.bins))
     schema = S.StructType([*rest.schema.fields, S.StructField(point, S.DoubleType()), S.StructField(spread, S.DoubleType())])
 
+    def by_member(x):
+        v = model.values(x) if len(x) else np.zeros((0, len(model.feature)))
+        return np.stack([v[:, model.member == m].mean(1) for m in range(members)], 1)
+
     def run(batches):
+        rows = _Coded(len(model.features), model.bins)
         for batch in _pieces(batches):
-            x = _matrix(batch.column("__codes"), len(model.features))
-            v = model.values(x) if len(x) else np.zeros((0, len(model.feature)))
-            by = np.stack([v[:, model.member == m].mean(1) for m in range(members)], 1)
+            rows.take(batch.column("__codes"))
+            by = rows.of("members", by_member)
             columns = [batch.column(c) for c in names] + [pa.array(by.mean(1), from_pandas=True), pa.array(by.std(1), from_pandas=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, point, spread])
 
@@ -288,10 +333,11 @@ def quantile_rank(n: int, q: float) -> int:
     return min(n, max(1, math.ceil(q * n)))
 
 
-def _leaf_quantiles(table: DataFrame, value, size: int, qs: np.ndarray, low: int, high: int, buckets: int = 1024) -> np.ndarray:
+def _leaf_quantiles(table: DataFrame, value, coded: tuple[int, int], size: int, qs: np.ndarray, low: int, high: int, buckets: int = 1024) -> np.ndarray:
     """For each of ``size`` groups the value at its quantile's place, by counts in ever finer buckets.
 
-    ``value`` gives (groups, values) of the rows of a batch, one pair of arrays for each model; groups are numbered from 0 and
+    ``value`` gives (groups, values) of a batch and its coded rows, one pair of arrays for each model; ``coded`` are the numbers of
+    features and bins.  Groups are numbered from 0 and
     qs[g] is the quantile of group g.  Each pass counts, in each group, the values in ``buckets`` parts of the range that is
     left, and the part where the place lies is the next range.  Passes: the logarithm of the range to the base ``buckets``.
     """
@@ -302,9 +348,10 @@ def _leaf_quantiles(table: DataFrame, value, size: int, qs: np.ndarray, low: int
         a, b, st = lo.copy(), hi.copy(), step.copy()
 
         def run(batches, a=a, b=b, st=st):
-            count = np.zeros(size * buckets, np.int64)
+            count, of_task = np.zeros(size * buckets, np.int64), _Coded(*coded)
             for batch in _pieces(batches):
-                for g, v in value(batch):
+                of_task.take(batch.column("codes"))
+                for g, v in value(batch, of_task):
                     inside = (v >= a[g]) & (v <= b[g])
                     g, v = g[inside], v[inside]
                     count += np.bincount(g * buckets + (v - a[g]) // st[g], minlength=len(count))
@@ -350,29 +397,28 @@ def quantile_boosting(df: DataFrame, features: list[str], y: str, quantiles=(0.5
     unit = 1000  # gradients in thousandths: whole numbers, so sums are exact
     up = [round(q * unit) for q in qs]
 
-    def outcomes(batch):
+    def outcomes(batch, rows):
         y_ = batch.column("y").to_numpy()
         return [(np.full(len(y_), q), y_) for q in range(k)]
 
-    model.start = _leaf_quantiles(table, outcomes, k, np.array(qs), edge["lo"], edge["hi"])
+    model.start = _leaf_quantiles(table, outcomes, (width, bins), k, np.array(qs), edge["lo"], edge["hi"])
     heap = 2 ** (depth + 1)
     least, most = model.start.copy(), model.start.copy()  # what any row's prediction can be
     for r in range(rounds):
         now = [r * k + q for q in range(k)]
 
-        def gradient(batch, x, t, model=model, r=r):
+        def gradient(batch, rows, t, model=model, r=r):
             y_ = batch.column("y").to_numpy()
-            above = y_ > model.predict(x, r)[:, t % k]
+            above = y_ > rows.of("predicted", lambda x: model.predict(x, r))[:, t % k]
             return np.ones(len(y_), np.int64), np.where(above, up[t % k], up[t % k] - unit)
 
         _grow(table, model.trees, now, gradient, None, min_leaf)
 
-        def residuals(batch, model=model, r=r):
-            x = _matrix(batch.column("codes"), width)
-            rest = batch.column("y").to_numpy()[:, None] - model.predict(x, r)
-            return [(q * heap + model.trees.route(x, r * k + q), rest[:, q]) for q in range(k)]
+        def residuals(batch, rows, model=model, r=r):
+            rest = batch.column("y").to_numpy()[:, None] - rows.of("predicted", lambda x: model.predict(x, r))
+            return [(q * heap + rows.of(q, lambda x, q=q: model.trees.route(x, r * k + q)), rest[:, q]) for q in range(k)]
 
-        moves = _leaf_quantiles(table, residuals, k * heap, np.repeat(qs, heap), int(edge["lo"] - most.max()), int(edge["hi"] - least.min()))
+        moves = _leaf_quantiles(table, residuals, (width, bins), k * heap, np.repeat(qs, heap), int(edge["lo"] - most.max()), int(edge["hi"] - least.min()))
         step = (moves.reshape(k, heap) * rate[0]) // rate[1]
         used = np.zeros((k, heap), bool)
         for q in range(k):
@@ -395,8 +441,10 @@ def quantile_predictions(df: DataFrame, model: Boosted, point: str = "prediction
     schema = S.StructType([*rest.schema.fields, *[S.StructField(c, S.LongType()) for c in new]])
 
     def run(batches):
+        rows = _Coded(len(t.features), t.bins)
         for batch in _pieces(batches):
-            p = model.predict(_matrix(batch.column("__codes"), len(t.features)))
+            rows.take(batch.column("__codes"))
+            p = rows.of("predicted", model.predict)
             columns = [batch.column(c) for c in names] + [pa.array(p[:, 0]), pa.array(p.min(1)), pa.array(p.max(1))]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
 
