@@ -62,7 +62,11 @@ class FTRL:
         self.bias_n[0] += err * err
 
     def weights(self) -> np.ndarray:
-        return self._weights(self.z, self.n)
+        out = np.zeros(self.z.shape)
+        for z, n, w in zip(self.z, self.n, out, strict=True):
+            at = np.flatnonzero(~((z <= self.l1) & (z >= -self.l1)))  # few; no copies of the whole state
+            w[at] = self._weights(z[at], n[at])
+        return out
 
 
 def sigmoid(x):

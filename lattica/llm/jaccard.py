@@ -73,6 +73,7 @@ BAND = 1.5
 BROADCAST_IDS = 1_000_000  # wanted doc ids up to which they are sent to all executors (16 bytes each)
 FRAGMENT = 2_000_000  # n-grams of a fragment of step 1
 BATCH = 2_000_000  # n-grams of a batch of texts of step 1
+BLOCK = 512 << 10  # bytes of text at once
 HOT = 4096  # a node of over 1 / HOT of all rows is joined by broadcast; there are fewer than HOT of them
 
 
@@ -172,7 +173,7 @@ def _measured(shingle):
     """(doc_id, size, both hashes) of each text."""
 
     def run(batches):
-        for rows, data, off in T.text_blocks(batches):
+        for rows, data, off in T.text_blocks(batches, block_bytes=BLOCK):
             got = list(sets(data, off, shingle))
             sums = [_sums(u) for u in got]
             columns = [rows.column("doc_id"), pa.array([len(u) for u in got], pa.int64()), *(pa.array([x[k] for x in sums], pa.int64()) for k in (0, 1))]
@@ -229,7 +230,7 @@ def _asks(fragments, shingle, clash):
     def run(batches):
         batch = TaskContext.get().partitionId() << 32
         held, size = [], 0
-        for _, data, off in T.text_blocks(batches):
+        for _, data, off in T.text_blocks(batches, block_bytes=BLOCK):
             for u in sets(data, off, shingle):
                 if not len(u):
                     continue
@@ -306,7 +307,7 @@ def _kept(bands, shingle, clash):
     cuts = (np.arange(1, PARTS, dtype=object) * (2**64 // PARTS)).astype(np.uint64)
 
     def run(batches):
-        for _, data, off in T.text_blocks(batches, block_bytes=1 << 20):
+        for _, data, off in T.text_blocks(batches, block_bytes=BLOCK):
             got = [u for u in sets(data, off, shingle) if len(u)]
             if not got:
                 continue
