@@ -24,15 +24,17 @@ def greedy_clusters(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     Self-links, repeated links, repeated ids, null ids and links to nodes that ``ids`` doesn't have make no difference.
     """
     nodes = ids.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
-    one = pairs.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v")
-    both = one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = both.join(nodes.withColumnRenamed("id", "u"), "u", "left_semi").join(nodes.withColumnRenamed("id", "v"), "v", "left_semi")
-    both = kept(both.select("u", "v"), "cluster-links")
-    degree = kept(both.groupBy("u").agg(F.count(F.lit(1)).alias("d")), "cluster-degrees")
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    links = pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()  # pairs are costly: they are asked for once
+    links = links.join(nodes.withColumnRenamed("id", "u"), "u", "left_semi").join(nodes.withColumnRenamed("id", "v"), "v", "left_semi")
+    links = kept(links.select("u", "v"), "cluster-links")
+    degree = kept(links.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("d")), "cluster-degrees")
     prio = lambda end: degree.select(F.col("u").alias(end), F.struct((-F.col("d")).alias("d"), F.col("u").alias("id")).alias(f"p{end}"))
-    known = kept(both.join(prio("u"), "u").join(prio("v"), "v"), "cluster-edges")
-    # (u, v): v comes before u
-    edges = known.where("pv < pu").select("u", "v")
+    known = links.join(prio("u"), "u").join(prio("v"), "v")
+    # (u, v): v comes before u; so does the leader of u that comes first, if u is no leader
+    first, last = F.least("pu", "pv"), F.greatest("pu", "pv")
+    known = kept(known.select(last["id"].alias("u"), first["id"].alias("v"), first.alias("pv")), "cluster-edges")
+    edges = known.select("u", "v")
     open_ = kept(degree.select("u"), "cluster-open")  # nodes without links lead clusters of their own
     leaders = []
     while open_.limit(1).count():
