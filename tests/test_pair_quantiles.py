@@ -31,3 +31,13 @@ def test_several_blocks(spark, monkeypatch):
         df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(3)
         got = list(sm.pair_quantiles(df).first())
         assert got == [0] + [None] * 5 if n == 1 else np.allclose(got, wanted(range(n), x), atol=2e-6)
+
+
+def test_pairs_are_counted_once_if_the_guess_is_right(spark, monkeypatch):
+    passes, whole = [], sm._over_blocks
+    monkeypatch.setattr(sm, "_over_blocks", lambda *a: passes.append(1) or whole(*a))
+    x = np.random.default_rng(4).normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(3)
+    assert np.allclose(list(sm.pair_quantiles(df).first()), wanted(range(3000), x), atol=2e-6) and len(passes) == 1
+    monkeypatch.setattr(sm, "_guessed", lambda packs, at: np.zeros(sm.BINS, bool))  # a wrong guess costs a pass, not the result
+    assert np.allclose(list(sm.pair_quantiles(df).first()), wanted(range(3000), x), atol=2e-6) and len(passes) == 3
