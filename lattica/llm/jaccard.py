@@ -74,6 +74,7 @@ BROADCAST_IDS = 1_000_000  # wanted doc ids up to which they are sent to all exe
 FRAGMENT = 2_000_000  # n-grams of a fragment of step 1
 BATCH = 2_000_000  # n-grams of a batch of texts of step 1
 BLOCK = 512 << 10  # bytes of text at once
+SLICES = 16  # ranges of n-grams of a batch or a fragment that are sorted one by one, as sorting takes many times what is sorted
 HOT = 4096  # a node of over 1 / HOT of all rows is joined by broadcast; there are fewer than HOT of them
 
 
@@ -199,7 +200,7 @@ def _steps(x):
 
 
 def _back(b):
-    return np.cumsum(np.frombuffer(b, "<u2"), dtype=np.int64)
+    return np.cumsum(np.frombuffer(b, "<u2"), dtype=np.uint16)
 
 
 def _asks(fragments, shingle, clash):
@@ -207,40 +208,51 @@ def _asks(fragments, shingle, clash):
     asks whether another set has ``gram``), and n-grams of several sets (``told``).  One more row holds the batch's sets."""
     low = np.array([-(-f * 2**32 // fragments) << 32 for f in range(fragments)], np.uint64)
 
-    def rows(held, batch):
-        node, first = np.unique(np.array([x for x, _ in held], np.int64), return_index=True)
-        held = [held[i][1] for i in first]
-        size = np.array([len(u) for u in held], np.int64)
-        gram = np.concatenate(held)
-        order = np.argsort(gram, kind="stable")
-        gram, own = gram[order], np.repeat(np.arange(len(size), dtype=np.uint16), size)[order]
-        start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        n = np.diff(np.append(start, len(gram)))
-        several = np.repeat(n > 1, n)
-        counts = np.bincount(own[several], minlength=len(size))
-        told, asked, own = gram[start[n > 1]], gram[~several], own[~several]
-        cut, cut_told = np.append(np.searchsorted(asked, low), len(asked)), np.append(np.searchsorted(told, low), len(told))
-        part = lambda x: (x & np.uint64(0xFFFFFFFF)).astype("<u4")
-        for f in range(fragments):
-            who, what = own[cut[f] : cut[f + 1]], part(asked[cut[f] : cut[f + 1]])
-            by = np.argsort(who, kind="stable")
-            yield (f, batch, _steps(who[by]), what[by].tobytes(), part(told[cut_told[f] : cut_told[f + 1]]).tobytes(), None, None, None)
-        yield (batch % fragments, batch, None, None, None, node.astype("<i8").tobytes(), size.astype("<i8").tobytes(), counts.astype("<i8").tobytes())
+    def tables(nodes, sizes, gram, batch):
+        own, place = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes), (gram >> np.uint64(60)).astype(np.uint8)
+        counts = np.zeros(len(sizes), np.int64)
+        part = lambda x: (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+        for k in range(SLICES):
+            at = np.flatnonzero(place == k)
+            at = at[np.argsort(gram[at], kind="stable")]
+            if not len(at):
+                continue
+            some, who = gram[at], own[at]
+            start = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+            n = np.diff(np.append(start, len(some)))
+            several = np.repeat(n > 1, n)
+            counts += np.bincount(who[several], minlength=len(sizes))
+            told, asked, who = some[start[n > 1]], some[~several], who[~several]
+            first = int(np.searchsorted(low, some[0], "right")) - 1
+            last = int(np.searchsorted(low, some[-1], "right"))
+            cut, cut_told = (np.concatenate(([0], np.searchsorted(x, low[first + 1 : last]), [len(x)])) for x in (asked, told))
+            out = []
+            for i in range(last - first):
+                w, what, tell = who[cut[i] : cut[i + 1]], asked[cut[i] : cut[i + 1]], told[cut_told[i] : cut_told[i + 1]]
+                by = np.argsort(w, kind="stable")
+                out.append((first + i, batch, _steps(w[by]), part(what[by]), part(tell), None, None, None))
+            yield _table(out)
+        yield _table([(batch % fragments, batch, None, None, None, *(np.array(x, "<i8").tobytes() for x in (nodes, sizes, counts)))])
 
     def run(batches):
         batch = TaskContext.get().partitionId() << 32
-        held, size = [], 0
+        nodes, sizes, size, gram = {}, [], 0, np.empty(BATCH, np.uint64)
         for _, data, off in T.text_blocks(batches, block_bytes=BLOCK):
             for u in sets(data, off, shingle):
-                if not len(u):
+                node = _node(u, clash)
+                if not len(u) or node in nodes:  # a set counts once in a batch
                     continue
-                held.append((_node(u, clash), u))
+                if nodes and (size + len(u) > BATCH or len(nodes) == 1 << 16):
+                    yield from tables(list(nodes), sizes, gram[:size], batch)
+                    nodes, sizes, size, batch = {}, [], 0, batch + 1
+                if len(u) > len(gram):
+                    gram = np.empty(len(u), np.uint64)
+                gram[size : size + len(u)] = u
+                nodes[node] = None
+                sizes.append(len(u))
                 size += len(u)
-                if size >= BATCH or len(held) == 1 << 16:
-                    yield _table(list(rows(held, batch)))
-                    held, size, batch = [], 0, batch + 1
-        if held:
-            yield _table(list(rows(held, batch)))
+        if nodes:
+            yield from tables(list(nodes), sizes, gram[:size], batch)
 
     return run
 
@@ -249,7 +261,8 @@ def _runs(batches, column):
     """Lists of rows that are next to each other and agree in ``column``."""
     now, rows = None, []
     for b in batches:
-        for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+        values = ([x.as_buffer() for x in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in b.columns)  # bytes stay where they lie
+        for r in zip(*values, strict=True):
             if r[column] != now and rows:
                 yield rows
                 rows = []
@@ -265,21 +278,24 @@ def _answers(batches):
         asks = [r for r in rows if r[2] is not None]
         if asks:
             gram = np.concatenate([np.frombuffer(r[3], "<u4") for r in asks])
-            told = np.unique(np.concatenate([np.frombuffer(r[4], "<u4") for r in asks]))
-            order = np.argsort(gram, kind="stable")
-            by = gram[order]
-            start = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1]))) if len(by) else np.zeros(0, np.int64)
-            n = np.diff(np.append(start, len(by)))
-            yes = np.empty(len(by), bool)
-            yes[order] = np.repeat((n > 1) | np.isin(by[start], told), n)
+            told = np.concatenate([np.frombuffer(r[4], "<u4") for r in asks])
+            yes = np.empty(len(gram), bool)
+            for k in range(SLICES):
+                at = np.flatnonzero(gram >> 28 == k)
+                at = at[np.argsort(gram[at], kind="stable")]
+                if len(at):
+                    by = gram[at]
+                    start = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
+                    n = np.diff(np.append(start, len(by)))
+                    yes[at] = np.repeat((n > 1) | np.isin(by[start], told[told >> 28 == k]), n)
             out, at = [], 0
             for r in asks:
                 who = _back(r[2])
-                out.append((None, r[1], _steps(who[yes[at : at + len(who)]].astype(np.uint16)), None, None, None, None, None))
+                out.append((None, r[1], _steps(who[yes[at : at + len(who)]]), None, None, None, None, None))
                 at += len(who)
             yield _table(out)
         if len(asks) < len(rows):
-            yield _table([r for r in rows if r[2] is None])
+            yield _table([(*r[:5], *(x.to_pybytes() for x in r[5:])) for r in rows if r[2] is None])
 
 
 def _enough(percent):
@@ -325,7 +341,7 @@ def _again(bands, level):
 
     def run(batches):
         for b in batches:
-            sigs = [bands.signatures(np.sort(np.array([x for p in parts for x in p], np.int64).view(np.uint64)), level) for parts in b.column("parts").to_pylist()]
+            sigs = [bands.signatures(np.sort(parts.values.flatten().to_numpy().view(np.uint64)), level) for parts in b.column("parts")]
             yield pa.RecordBatch.from_arrays([b.column("node"), _lists(sigs)], names=["node", "sigs"])
 
     return run
@@ -352,7 +368,7 @@ class _Join:
         """Nodes of which enough n-grams are in other sets, too."""
         fragments = self.grams // FRAGMENT + 1
         asks = self.docs.mapInArrow(_asks(fragments, self.shingle, frozenset(self.clash)), _ASKS)
-        answers = asks.repartition(fragments, "to").sortWithinPartitions("to").mapInArrow(_answers, _ASKS)
+        answers = asks.repartitionById(fragments, "to").sortWithinPartitions("to").mapInArrow(_answers, _ASKS)  # a fragment a task
         return answers.repartition("batch").sortWithinPartitions("batch").mapInArrow(_enough(self.percent), "node long").distinct()
 
     def kept(self) -> DataFrame:
