@@ -27,9 +27,21 @@ def cells_of(rows: DataFrame, row_id: str, bits: str) -> DataFrame:
     return rows.select(F.col(row_id).alias("id"), F.explode(F.array_distinct(bits)).alias("bit")).withColumn("v", F.lit(1.0)).where("bit is not null")
 
 
-def _clean(cells: DataFrame) -> DataFrame:
+def _present(cells: DataFrame) -> DataFrame:
     fine = cells.where(F.col("id").isNotNull() & F.col("bit").isNotNull() & F.col("v").isNotNull())
-    return fine.groupBy("id", "bit").agg(F.sum(F.col("v").cast("double")).alias("v")).where("v <> 0")
+    return fine.select("id", "bit", F.col("v").cast("double").alias("v"))
+
+
+def _clean(cells: DataFrame) -> DataFrame:
+    return _present(cells).groupBy("id", "bit").agg(F.sum("v").alias("v")).where("v <> 0")
+
+
+def _patterns(cells: DataFrame) -> DataFrame:
+    """Cells (id, n, bit, v) of the distinct rows, which are found once: n rows have the cells of one id (a new one)."""
+    one = _clean(cells.select("id", "bit", "v").repartition("id"))  # by row, so that cells are moved once
+    rows = one.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bit", "v"))).alias("row"))
+    same = kept(rows.groupBy("row").agg(F.count("*").cast("double").alias("n")).withColumn("id", F.monotonically_increasing_id()), "patterns")
+    return same.select("id", "n", F.explode("row").alias("cell")).select("id", "n", "cell.bit", "cell.v")
 
 
 def _sum(c: Column) -> Column:
@@ -89,7 +101,7 @@ def pls(cells: DataFrame, outcomes: DataFrame, components: int) -> PLS:
 def pls_scores(cells: DataFrame, rows: DataFrame, model: PLS) -> DataFrame:
     """(id, t1 .. tk, prediction) of each id of ``rows``; bits that training didn't have count as zero."""
     k = len(model.offsets)
-    some = _clean(cells).join(sized(model.rotations.drop("mean")), "bit").groupBy("id").agg(*[F.sum(F.col("v") * F.col(f"r{i}")).alias(f"t{i}") for i in range(1, k + 1)])
+    some = _present(cells).join(sized(model.rotations.drop("mean")), "bit").groupBy("id").agg(*[F.sum(F.col("v") * F.col(f"r{i}")).alias(f"t{i}") for i in range(1, k + 1)])
     out = rows.select("id").join(some, "id", "left")
     out = out.withColumns({f"t{i}": F.coalesce(f"t{i}", F.lit(0.0)) - model.offsets[i - 1] for i in range(1, k + 1)})
     return out.withColumn("prediction", sum((F.col(f"t{i}") * w for i, w in enumerate(model.weights, 1)), F.lit(model.mean)))
@@ -106,10 +118,11 @@ class SVD:
     values: list[float]
 
 
-def _gram(table: DataFrame, names: list[str]) -> np.ndarray:
+def _gram(table: DataFrame, names: list[str], weight: Column | None = None) -> np.ndarray:
     n = len(names)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    r = table.agg(*[_sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first()
+    weight = F.lit(1.0) if weight is None else weight
+    r = table.agg(*[_sum(weight * F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first()
     g = np.zeros((n, n))
     for (i, j), v in zip(pairs, r, strict=True):
         g[i, j] = g[j, i] = v
@@ -131,22 +144,23 @@ def _whitening(g: np.ndarray) -> np.ndarray:
 def svd(cells: DataFrame, components: int, oversample: int = 10, passes: int = 7, seed=0) -> SVD:
     """The leading singular vectors of the rows of ``cells`` (training rows only), by a randomised range finder.
 
+    Equal rows are one row with a weight, so passes grow with the distinct rows.
     The start is a hashed matrix of one row a bit; each pass multiplies it by the rows and back (two joins, two sums) and
     makes its columns orthonormal from their products.  Signs: the largest entry of a vector is positive (ties: the smallest bit).
     """
     width = components + oversample
     names = [f"z{i}" for i in range(width)]
-    x = kept(_clean(cells).select("id", "bit", "v"), "svd-cells")
+    x = kept(_patterns(cells), "svd-cells")
     unit = lambda i: F.xxhash64(F.lit(f"{seed}:{i}"), F.col("bit")).cast("double") / F.lit(2.0**63)
     z = kept(x.select("bit").distinct().select("bit", *[unit(i).alias(n) for i, n in enumerate(names)]), "svd-bits")
     for step in range(passes + 1):
         z = _times(z, "bit", names, _whitening(_gram(z, names)), names)
         z = kept(z, "svd-basis")
-        y = x.join(sized(z), "bit").groupBy("id").agg(*[F.sum(F.col("v") * F.col(n)).alias(n) for n in names])
+        y = x.join(sized(z), "bit").groupBy("id").agg(F.max("n").alias("n"), *[F.sum(F.col("v") * F.col(n)).alias(n) for n in names])
         if step < passes:
             y = kept(y, "svd-rows")
-            z = kept(x.join(sized(y), "id").groupBy("bit").agg(*[F.sum(F.col("v") * F.col(n)).alias(n) for n in names]), "svd-bits")
-    values, vectors = np.linalg.eigh(_gram(y, names))  # of the basis's images: squared singular values within it
+            z = kept(x.join(sized(y.drop("n")), "id").groupBy("bit").agg(*[F.sum(F.col("n") * F.col("v") * F.col(n)).alias(n) for n in names]), "svd-bits")
+    values, vectors = np.linalg.eigh(_gram(y, names, F.col("n")))  # of the basis's images: squared singular values within it
     top = np.argsort(-values)[:components]
     values = np.sqrt(np.maximum(values[top], 0.0))
     new = [f"v{i}" for i in range(1, len(top) + 1)]
@@ -159,5 +173,5 @@ def svd(cells: DataFrame, components: int, oversample: int = 10, passes: int = 7
 def svd_scores(cells: DataFrame, rows: DataFrame, model: SVD) -> DataFrame:
     """(id, s1 .. sk): each id of ``rows`` times the singular vectors."""
     k = len(model.values)
-    some = _clean(cells).join(sized(model.vectors), "bit").groupBy("id").agg(*[F.sum(F.col("v") * F.col(f"v{i}")).alias(f"s{i}") for i in range(1, k + 1)])
+    some = _present(cells).join(sized(model.vectors), "bit").groupBy("id").agg(*[F.sum(F.col("v") * F.col(f"v{i}")).alias(f"s{i}") for i in range(1, k + 1)])
     return rows.select("id").join(some, "id", "left").select("id", *[F.coalesce(f"s{i}", F.lit(0.0)).alias(f"s{i}") for i in range(1, k + 1)])

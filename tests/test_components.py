@@ -65,3 +65,20 @@ def test_few_bits_and_no_rows(spark):
     none = cells.where("false")
     assert {r["s1"] for r in co.svd_scores(none, rows, co.svd(none, 1, passes=1)).collect()} == {0.0}
     assert {r["prediction"] for r in co.pls_scores(none, rows, co.pls(none, out.where("false"), 1)).collect()} == {0.0}
+
+
+def test_svd_passes_over_distinct_rows(spark, monkeypatch):
+    """Equal rows are one row with a weight: what the passes hold doesn't grow with copies."""
+    x, _ = data(40, 8, 2)
+    held = {}
+    write = co.kept
+    monkeypatch.setattr(co, "kept", lambda df, name: held.setdefault(name, write(df, name)) if name == "svd-rows" else write(df, name))
+    sizes = []
+    for copies in (1, 5):
+        many = np.vstack([x] * copies)
+        cells = frames(spark, many, many[:, 0], np.zeros(len(many), bool))[0].where("bit is not null")
+        halves = cells.select("id", "bit", (cells.v / 2).alias("v"))
+        model = co.svd(halves.unionByName(halves), 3, oversample=5, passes=1)  # equal cells are added
+        assert model.values == pytest.approx(np.linalg.svd(many, compute_uv=False)[:3].tolist(), rel=1e-9)
+        sizes.append(held.pop("svd-rows").count())
+    assert sizes[0] == sizes[1] == len(np.unique(x[x.any(1)], axis=0))
